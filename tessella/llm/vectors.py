@@ -114,7 +114,7 @@ class BallTree:
         best_i = np.full((len(q), 0), 0, np.int64)
         exact = self.fast is not None and float(np.abs(q).max()) ** 2 * q.shape[1] < EXACT
         heap = [(-float(bound[:, 0].max()), 0)]
-        never = np.iinfo(np.int64).min
+        never = np.iinfo(np.int64).min + 1  # can be negated
         while heap:
             _, node = heapq.heappop(heap)
             alive = np.flatnonzero(bound[:, node] >= floor)
