@@ -36,6 +36,15 @@ SELECT doc_id, size, source_size, target,
   (size * least({MAX_REPEATS}, whole + CASE WHEN upto - own + upto < 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
 """
 
+OP6 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT rid, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+hit AS (SELECT rid, i FROM g QUALIFY coalesce(doc_id, 9223372036854775807) > min(coalesce(doc_id, 9223372036854775807)) OVER (PARTITION BY g)),
+gone AS (SELECT rid, list(DISTINCT i + k) AS gone FROM hit, (SELECT unnest(range(13)) AS k) GROUP BY rid),
+k AS (SELECT doc_id, w, list_filter(list_zip(w, range(1, len(w) + 1)), lambda x: NOT list_contains(coalesce(gone, []), x[2])) AS kept FROM d LEFT JOIN gone USING (rid))
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_removed, sha256(array_to_string(list_transform(kept, lambda x: x[1]), ' ')) AS kept_sha256 FROM k
+"""
+
 OP9 = """
 WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
@@ -76,4 +85,4 @@ SELECT sig.*, (NOT base_failed AND coalesce({ok}, false)) AS kept FROM sig
 
 OP10 = f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({_quality('documents')})"
 
-ORACLES = {"op1_url_filter": OP1, "op2_mix_sources": OP2, "op9_top_k": OP9, "op10_quality_rules": OP10}
+ORACLES = {"op1_url_filter": OP1, "op2_mix_sources": OP2, "op6_substring_dedup": OP6, "op9_top_k": OP9, "op10_quality_rules": OP10}
