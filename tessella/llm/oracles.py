@@ -36,6 +36,19 @@ SELECT doc_id, size, source_size, target,
   (size * least({MAX_REPEATS}, whole + CASE WHEN upto - own + upto < 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM x
 """
 
+OP4 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT rid, doc_id, hash(array_to_string(list_slice(w, i, i + 2), ' ')) AS g FROM (SELECT rid, doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT rid, count(*)::BIGINT AS n FROM s GROUP BY rid),
+e AS MATERIALIZED (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM (SELECT x.rid AS r, y.rid AS q, any_value(x.doc_id) AS xa, any_value(y.doc_id) AS ya, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.rid <> y.rid GROUP BY 1, 2) p
+  JOIN d x ON x.rid = r JOIN d y ON y.rid = q JOIN n nx ON nx.rid = r JOIN n ny ON ny.rid = q
+  WHERE 100 * k >= 85 * (nx.n + ny.n - k) AND x.doc_id IS NOT NULL AND y.doc_id IS NOT NULL),
+reach(doc_id, c) AS (SELECT doc_id, doc_id FROM d WHERE doc_id IS NOT NULL UNION SELECT e.b, reach.c FROM reach JOIN e ON e.a = reach.doc_id),
+low AS (SELECT doc_id, min(c) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, coalesce(d.doc_id = component_id, true) AS kept
+FROM d LEFT JOIN n USING (rid) LEFT JOIN low ON d.doc_id = low.doc_id
+"""
+
 OP6 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT rid, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
@@ -85,4 +98,4 @@ SELECT sig.*, (NOT base_failed AND coalesce({ok}, false)) AS kept FROM sig
 
 OP10 = f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({_quality('documents')})"
 
-ORACLES = {"op1_url_filter": OP1, "op2_mix_sources": OP2, "op6_substring_dedup": OP6, "op9_top_k": OP9, "op10_quality_rules": OP10}
+ORACLES = {"op1_url_filter": OP1, "op2_mix_sources": OP2, "op4_near_dedup": OP4, "op6_substring_dedup": OP6, "op9_top_k": OP9, "op10_quality_rules": OP10}

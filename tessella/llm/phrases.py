@@ -214,11 +214,11 @@ def _gather(answers: DataFrame, name: str) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """did, gone: packed hashes of the windows of each document that also stand in one with a smaller id. docs: did, text."""
+    """did, gone: packed hashes of the windows of each document that also stand in one with a smaller id. docs: did, text and any others."""
     spark = docs.sparkSession
     targets = 2 * shuffle_partitions(spark)
     n = shuffle_partitions(spark)
-    asked = docs.mapInArrow(_ask(targets), blocks.QUESTION)
+    asked = docs.select("did", "text").mapInArrow(_ask(targets), blocks.QUESTION)
     # Rows that need no answer are dealt by chance, the others by target.
     deal = lambda df, c: df.repartition(n, F.when(F.col("target") < 0, F.xxhash64(c)).otherwise(F.col("target").cast("long")))
     shared = _gather(deal(asked, "owners").mapInArrow(blocks.answer(True), blocks.ANSWER), "shared")
@@ -279,9 +279,9 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_windows(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns, with did (null ids last) and gone. The texts are dealt by id once and used twice."""
+    """The columns, with did (null ids last) and gone. Both joins read the same columns, so that Spark deals the texts by id only once."""
     keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"))
-    return keyed.join(repeated_windows(keyed.select("did", "text")), "did", "left")
+    return keyed.join(repeated_windows(keyed), "did", "left")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:

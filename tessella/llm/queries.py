@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import mixing, phrases, quality, urls, vectors
+from tessella.llm import mixing, neardup, phrases, quality, repeats, urls, vectors
 from tessella.llm.common import table
 
 #: Fixed values of the contract: (verdict, host, path).
@@ -26,6 +26,14 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup_report(table(spark, sf_dir, "documents"))
+
+
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(table(spark, sf_dir, "documents"), 3, 85)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.dedup_report(table(spark, sf_dir, "documents"))
 
@@ -38,4 +46,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op6_substring_dedup, op9_top_k, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_suffix_dedup, op4_near_dedup, op6_substring_dedup, op9_top_k, op10_quality_rules)}
