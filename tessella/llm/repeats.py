@@ -170,7 +170,7 @@ class Suffixes:
         #: Common prefix with the one before.
         self.common = np.concatenate([[0], np.where(own[1:] == own[:-1], common, 0)])
         #: The byte on the left; -1 where the segment begins.
-        self.left = np.where(self.offset > 0, flat[np.maximum(self.segment * width + self.offset - 1, 0)], -1).astype(np.int64)
+        self.left = np.where(self.offset > 0, flat[np.maximum(self.segment * width + self.offset - 1, 0)].astype(np.int64), -1)
         self.rank = rank[self.segment] * (width + 1) + self.offset
 
     def nodes(self) -> Iterator[tuple[int, int, int, list[int]]]:
