@@ -79,7 +79,7 @@ def window_hash(values: np.ndarray, k: int) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts: start, end (bytes), hash, and first (word number at which each text begins)."""
+    """The words of some texts: start, end (bytes), hash, and first (word number at which each text begins). offsets: of the texts."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         parts = []
@@ -93,7 +93,7 @@ class Words:
             parts.append(self._words(data[lo:hi], edge[lo : hi + 1], lo))
             lo = hi
         self.start, self.end, self.hash = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        self.first = np.searchsorted(self.start, offsets)
+        self.offsets, self.first = offsets, np.searchsorted(self.start, offsets)
 
     @staticmethod
     def _words(data: np.ndarray, edge: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
