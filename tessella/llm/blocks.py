@@ -150,11 +150,11 @@ def contains(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
 # Which keys occur more than once?
 
 QUESTION = "target int, keys binary, owners binary, known binary"
-ANSWER = "did long, keys binary"
+ANSWER = "target int, keys binary, owners binary"
 #: A block is closed at so many keys.
 BLOCK_KEYS = 1 << 20
 _question = pa.schema([("target", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("known", pa.binary())])
-_answer = pa.schema([("did", pa.int64()), ("keys", pa.binary())])
+_answer = pa.schema([("target", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary())])
 
 
 def ask(found: Iterator[tuple[np.ndarray, np.ndarray]], targets: int, distinct_owners: bool) -> Iterator[pa.RecordBatch]:
@@ -193,14 +193,30 @@ def ask(found: Iterator[tuple[np.ndarray, np.ndarray]], targets: int, distinct_o
         yield from close()
 
 
-def _by_owner(keys: np.ndarray, owners: np.ndarray) -> pa.RecordBatch:
-    order, begin = groups(owners)
-    keys = keys[order]
-    ends = np.append(begin[1:], len(keys))
-    return pa.RecordBatch.from_arrays([pa.array(owners[order][begin]), pa.array([keys[a:b].tobytes() for a, b in zip(begin, ends, strict=True)], pa.binary())], schema=_answer)
+def reply(keys: np.ndarray, owners: np.ndarray, targets: int) -> pa.RecordBatch:
+    """Blocks of answers, dealt by owner for ``deliver``."""
+    rows = [(t, keys[at], owners[at]) for t, at in deal(mix(owners.astype(np.uint64)), targets)]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([planes(r[2]) for r in rows], pa.binary())], schema=_answer)
 
 
-def answer(distinct_owners: bool):
+def deliver(name: str):
+    """For mapInArrow over answers dealt by target: one row for each owner."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.frombuffer(k, np.uint64), from_planes(o, np.int64)) for b in batches for k, o in zip(b.column("keys").to_pylist(), b.column("owners").to_pylist(), strict=True)]
+        if held:
+            keys, owners = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, begin = groups(owners)
+            keys, ids = keys[order], owners[order][begin]
+            ends = np.append(begin[1:], len(keys))
+            for lo in range(0, len(ids), 1000):
+                part = slice(lo, lo + 1000)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array([keys[a:b].tobytes() for a, b in zip(begin[part], ends[part], strict=True)], pa.binary())], names=["did", name])
+
+    return run
+
+
+def answer(distinct_owners: bool, targets: int):
     """For mapInArrow over questions dealt by target: each document's keys that occur more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +225,7 @@ def answer(distinct_owners: bool):
             for t, k, o, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 k, o = np.frombuffer(k, np.uint64), from_planes(o, np.int64)
                 if t < 0:
-                    yield _by_owner(k, o)
+                    yield reply(k, o, targets)
                 else:
                     held.append((k, o, np.frombuffer(known, bool)))
         if held:
@@ -221,6 +237,6 @@ def answer(distinct_owners: bool):
             twice |= (np.minimum.reduceat(owners, begin) != np.maximum.reduceat(owners, begin)) if distinct_owners else n > 1
             wanted = np.repeat(twice, n) & ~known  # the owners of known keys have been told
             if wanted.any():
-                yield _by_owner(keys[wanted], owners[wanted])
+                yield reply(keys[wanted], owners[wanted], targets)
 
     return run

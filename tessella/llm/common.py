@@ -36,3 +36,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
+
+
+def settle(asked: DataFrame, decide, name: str) -> DataFrame:
+    """did and ``name``, one row for each document that gets an answer.
+
+    asked: blocks of questions (see ``blocks``); ``decide`` answers a target's
+    blocks. Rows with target -1 need no other block and are dealt by chance.
+    Answers travel in blocks too, so that their rows do not follow the
+    number of keys.
+    """
+    from tessella.llm.blocks import ANSWER, deliver
+
+    n = shuffle_partitions(asked.sparkSession)
+    dealt = asked.repartition(n, F.when(F.col("target") < 0, F.xxhash64("owners")).otherwise(F.col("target").cast("long")))
+    return dealt.mapInArrow(decide, ANSWER).repartition(n, "target").mapInArrow(deliver(name), f"did long, {name} binary")

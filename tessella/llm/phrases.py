@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import blocks
 from tessella.llm.blocks import Words, mix, window_hash
-from tessella.llm.common import shuffle_partitions
+from tessella.llm.common import settle, shuffle_partitions
 
 WINDOW = 13
 ROUNDS = 2
@@ -182,7 +182,7 @@ def _claims(targets: int):
                 ends = np.searchsorted(p.doc, np.arange(hi - lo + 1))
                 mine = np.zeros(len(keys), bool)
                 for i in range(hi - lo):
-                    mine[ends[i] : ends[i + 1]] = blocks.contains(np.sort(np.frombuffer(b"".join(shared[lo + i]), np.uint64)), keys[ends[i] : ends[i + 1]])
+                    mine[ends[i] : ends[i + 1]] = blocks.contains(np.sort(np.frombuffer(shared[lo + i], np.uint64)), keys[ends[i] : ends[i + 1]])
                 if mine.any():
                     held.append((p.hash[mine], p.second()[mine], ids[lo + p.doc[mine]]))
                 if sum(len(x[0]) for x in held) >= blocks.BLOCK_KEYS:
@@ -193,46 +193,41 @@ def _claims(targets: int):
     return run
 
 
-def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = []
-    for b in batches:
-        for t, f, s, o in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            f, o = np.frombuffer(f, np.uint64), blocks.from_planes(o, np.int64)
-            if t < 0:
-                yield blocks._by_owner(f, o)
-            else:
-                held.append((f, np.frombuffer(s, np.uint64), o))
-    if held:
-        first, second, owners = (np.concatenate(x) for x in zip(*held, strict=True))
-        order, later, _ = _later(first, second, owners)
-        if later.any():
-            yield blocks._by_owner(first[order][later], owners[order][later])
-
+def _verdicts(targets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b in batches:
+            for t, f, s, o in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                f, o = np.frombuffer(f, np.uint64), blocks.from_planes(o, np.int64)
+                if t < 0:
+                    yield blocks.reply(f, o, targets)
+                else:
+                    held.append((f, np.frombuffer(s, np.uint64), o))
+        if held:
+            first, second, owners = (np.concatenate(x) for x in zip(*held, strict=True))
+            order, later, _ = _later(first, second, owners)
+            if later.any():
+                yield blocks.reply(first[order][later], owners[order][later], targets)
 
-def _gather(answers: DataFrame, name: str) -> DataFrame:
-    return answers.groupBy("did").agg(F.collect_list("keys").alias(name))
+    return run
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """did, gone: packed hashes of the windows of each document that also stand in one with a smaller id. docs: did, text and any others."""
-    spark = docs.sparkSession
-    targets = 2 * shuffle_partitions(spark)
-    n = shuffle_partitions(spark)
+    targets = 2 * shuffle_partitions(docs.sparkSession)
     asked = docs.select("did", "text").mapInArrow(_ask(targets), blocks.QUESTION)
-    # Rows that need no answer are dealt by chance, the others by target.
-    deal = lambda df, c: df.repartition(n, F.when(F.col("target") < 0, F.xxhash64(c)).otherwise(F.col("target").cast("long")))
-    shared = _gather(deal(asked, "owners").mapInArrow(blocks.answer(True), blocks.ANSWER), "shared")
+    shared = settle(asked, blocks.answer(True, targets), "shared")
     claims = docs.join(shared, "did").mapInArrow(_claims(targets), _CLAIM)
-    return _gather(deal(claims, "owners").mapInArrow(_verdicts, blocks.ANSWER), "gone")
+    return settle(claims, _verdicts(targets), "gone")
 
 
-def _removed(p: Piece, i: int, gone: list[bytes] | None) -> np.ndarray:
+def _removed(p: Piece, i: int, gone: bytes | None) -> np.ndarray:
     """Which words of the piece's document i go."""
     a, b = p.words.first[i : i + 2]
     out = np.zeros(b - a + 1, np.int64)
     if gone:
         lo, hi = np.searchsorted(p.doc, [i, i + 1])
-        hit = p.windows[lo:hi][blocks.contains(np.sort(np.frombuffer(b"".join(gone), np.uint64)), p.hash[lo:hi])] - a
+        hit = p.windows[lo:hi][blocks.contains(np.sort(np.frombuffer(gone, np.uint64)), p.hash[lo:hi])] - a
         np.add.at(out, hit, 1)
         np.add.at(out, hit + WINDOW, -1)
     return np.cumsum(out)[:-1] > 0

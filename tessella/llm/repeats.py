@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import blocks
 from tessella.llm.blocks import BYTE, INVERSE, PIECE, mix, powers
-from tessella.llm.common import shuffle_partitions
+from tessella.llm.common import settle, shuffle_partitions
 
 LENGTH, K = 100, 40
 LAST = (1 << 63) - 1
@@ -131,7 +131,7 @@ def _segments(collapse: bool):
                     mine = np.zeros(len(key), bool)
                     begin = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
                     for x, y in zip(begin, np.append(begin[1:], len(doc)), strict=True):
-                        mine[x:y] = blocks.contains(np.sort(np.frombuffer(b"".join(shared[lo + doc[x]]), np.uint64)), key[x:y])
+                        mine[x:y] = blocks.contains(np.sort(np.frombuffer(shared[lo + doc[x]], np.uint64)), key[x:y])
                     if mine.any():
                         row, p1, size = lo + doc[mine], p1[mine], (p2 - p1)[mine] + LENGTH
                         held.append((key[mine], own[mine], ids[row], versions[row], p1 - offsets[doc[mine]], size, [bytes(raw[s : s + n]) for s, n in zip(p1.tolist(), size.tolist(), strict=True)]))
@@ -304,8 +304,7 @@ def _in_buckets(keyed: DataFrame, collapse: bool) -> DataFrame:
     """Segments with a shared anchor, dealt by bucket and sorted. keyed: did, version, text and any others."""
     n = shuffle_partitions(keyed.sparkSession)
     asked = keyed.select("did", "text").mapInArrow(_ask(2 * n), blocks.QUESTION)
-    asked = asked.repartition(n, F.when(F.col("target") < 0, F.xxhash64("owners")).otherwise(F.col("target").cast("long")))
-    shared = asked.mapInArrow(blocks.answer(False), blocks.ANSWER).groupBy("did").agg(F.collect_list("keys").alias("shared"))
+    shared = settle(asked, blocks.answer(False, 2 * n), "shared")
     return keyed.join(shared, "did").mapInArrow(_segments(collapse), _SEGMENT).repartition(n, "bucket").sortWithinPartitions("bucket")
 
 
