@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessella.llm.licence_texts import EQUIVALENT, NOTICES, TEXTS
+from tessella.llm.licences import BREAKS, COPYRIGHT_LINE, NEITHER
 from tessella.llm.mixing import CYCLE, MAX_REPEATS
 from tessella.llm.quality import MIN_ROWS, SLACK, SPREAD
 
@@ -49,6 +51,29 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, coalesce(
 FROM d LEFT JOIN n USING (rid) LEFT JOIN low ON d.doc_id = low.doc_id
 """
 
+
+
+def _licences() -> str:
+    def lines(text: str) -> str:
+        c = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', '', 'g'), '{NEITHER}', ' ', 'g')"
+        for spelling, one in EQUIVALENT:
+            c = f"replace({c}, '{spelling}', '{one}')"
+        return c
+
+    rows = lambda known: ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in known)
+    digest = lambda c: f"md5(nullif(trim(regexp_replace({c}, '{BREAKS}', ' ', 'g')), ''))"
+    known = lambda r: f"SELECT {digest(lines('t'))} AS known, min(i) AS licence FROM (VALUES {rows(r)}) k(i, t) GROUP BY 1"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {lines('text')} AS c FROM documents),
+l AS (SELECT rid, unnest(list_transform(string_split(c, chr(10)), lambda x: md5(trim(x)))) AS known FROM d),
+h AS (SELECT rid, array_to_string(list_sort(list(DISTINCT licence)), ' ') AS notices, count(*)::BIGINT AS n FROM l JOIN ({known(NOTICES)}) USING (known) GROUP BY rid)
+SELECT doc_id, {digest('c')} AS digest, w.licence, coalesce(h.notices, '') AS notices, coalesce(h.n, 0)::BIGINT AS n_notice_lines
+FROM d LEFT JOIN h USING (rid) LEFT JOIN ({known(TEXTS)}) w ON w.known = {digest('c')}
+"""
+
+
+OP5 = _licences()
+
 OP6 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT rid, doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') AS g FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
@@ -98,4 +123,4 @@ SELECT sig.*, (NOT base_failed AND coalesce({ok}, false)) AS kept FROM sig
 
 OP10 = f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({_quality('documents')})"
 
-ORACLES = {"op1_url_filter": OP1, "op2_mix_sources": OP2, "op4_near_dedup": OP4, "op6_substring_dedup": OP6, "op9_top_k": OP9, "op10_quality_rules": OP10}
+ORACLES = {"op1_url_filter": OP1, "op2_mix_sources": OP2, "op4_near_dedup": OP4, "op5_licence_scan": OP5, "op6_substring_dedup": OP6, "op9_top_k": OP9, "op10_quality_rules": OP10}
