@@ -1,22 +1,53 @@
-"""From raw documents to token ids: five stages, each on all that its predecessor kept."""
+"""From raw documents to token ids: five stages, each on all that its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; a caller may
+write it as Parquet and read it again as the next one's docs. All but the last
+return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import mixing, quality
+from tessella.llm import bpe, mixing, neardup, phrases, quality
 from tessella.llm.common import table
+from tessella.llm.queries import vocabulary_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the base rules or the thresholds of their language and source go."""
     return quality.filter_documents(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents whose five-word shingles are similar by 0.8 or more, the one with the smallest doc_id stays."""
+    return neardup.keep_one(docs, 5, 80)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words in passages that an earlier document has too are cut from the texts."""
+    return phrases.dedup_documents(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are brought to their target weights; a document that is taken n times stands in n equal rows."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("mixing sources", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every row."""
+    return bpe.round_trip(docs, vocabulary_path(), with_ids=True)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_dedup),
+    ("substring dedup", substring_dedup),
+    ("mixing sources", mix_sources),
+    ("BPE encoding", encode),
+]
+#: SQL has no byte-pair encoding; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -428,15 +428,17 @@ def decode(coded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "
     return coded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, and ids if wanted."""
 
     def columns(coder: Coder, ids: list[np.ndarray]) -> dict[str, pa.Array]:
         digest = lambda b: hashlib.sha256(b).hexdigest()
+        own = {"ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))} if with_ids else {}
         return {
             "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
             "ids_sha256": pa.array([digest(x.astype("<u4").tobytes()) for x in ids], pa.string()),
             "decoded_sha256": pa.array([digest(coder.decode(x).encode()) for x in ids], pa.string()),
+            **own,
         }
 
-    return _coded(docs, path, "doc_id", "text", "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
+    return _coded(docs, path, "doc_id", "text", "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, columns)
