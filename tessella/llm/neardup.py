@@ -1,24 +1,30 @@
 """MinHash near-dedup with odd sketches.
 
 A document's set is its distinct word shingles, as 64-bit hashes. From it come a
-128-bit digest of the set, MinHash band keys and an odd sketch: each MinHash
-sample flips one bit of a small bitmap, so that the XOR of two bitmaps has about
-as many ones as the samples differ, which estimates high similarities closely.
+128-bit digest of the set, MinHash band keys and two odd sketches. In the first
+each MinHash sample flips one bit of a small bitmap, so that the XOR of two
+bitmaps has about as many ones as the samples differ, which estimates high
+similarities closely. In the second every shingle flips a bit: the XOR has at
+most as many ones as the sets differ in elements, a bound that drops no pair
+wrongly and is sharp for all but long texts.
 
 1. Documents with equal digests are one class; only its smallest doc_id goes on.
 2. In each band bucket every class is paired with the smallest one (a star, so
    pairs grow with the bucket, not with its square). Pairs whose sizes or
    sketches rule the similarity out are dropped, the others verified on the full
    sets, and connected components found.
-3. Where a bucket still has several components, the classes outside its first
+3. Where a bucket still has several components, each class outside the first is
+   paired with members drawn differently for each bucket; the NEAREST by sketch
+   are verified, and components found again.
+4. Where a bucket still has several components, the classes outside its first
    component are joined with the others of the bucket, sizes and sketches being
    part of the join's condition; what passes is verified, and components found
    again. After that every candidate pair of the bands is either verified or
-   inside one component.
+   inside one component. Step 3 only makes step 4 short.
 
 With BANDS x BAND_ROWS a pair at the threshold 0.85 shares no band with a
 probability below 1e-6, and its sketch estimate lies MARGIN too low with one
-below 1e-8.
+below 2e-5.
 
 Cases: texts without a word, and null texts, are linked with nothing; shorter
 texts than a shingle are one shingle; a null doc_id is linked with nothing, its
@@ -37,15 +43,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.llm import blocks
 from tessella.llm.blocks import LOWER, Words, mix, window_hash
 from tessella.llm.common import cut
 
 BANDS, BAND_ROWS = 24, 5
-SKETCH_LONGS = 4
-MARGIN = 0.2
-_SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, " + ", ".join(f"s{i} long" for i in range(SKETCH_LONGS))
+SKETCH_LONGS, SET_LONGS = 4, 16
+MARGIN = 0.15
+NEAREST = 3
+_COLUMNS = [f"s{i}" for i in range(SKETCH_LONGS)] + [f"t{i}" for i in range(SET_LONGS)]
+_SIGNATURE = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, " + ", ".join(f"{c} long" for c in _COLUMNS)
 #: Shingles whose MinHash values are taken at once: few enough for the processor's cache.
 _CACHE = 1 << 14
 
@@ -102,7 +111,7 @@ def _signatures(k: int):
                 full = np.flatnonzero(n)
                 d1, d2 = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
                 bands = np.zeros((hi - lo, BANDS), np.uint64)
-                sketch = np.zeros((hi - lo, SKETCH_LONGS), np.uint64)
+                sketch = np.zeros((hi - lo, SKETCH_LONGS + SET_LONGS), np.uint64)
                 if len(full):
                     begin = at[full]
                     d1[full], d2[full] = np.add.reduceat(mix(h * blocks._GOLD), begin), np.add.reduceat(mix(h ^ blocks._GOLD), begin)
@@ -115,9 +124,11 @@ def _signatures(k: int):
                     for p in range(samples):
                         bit = mix(m[p] + np.uint64(p)) % np.uint64(64 * SKETCH_LONGS)
                         sketch[full, (bit >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (bit & np.uint64(63))
+                    bit = mix(h + np.uint64(1)) % np.uint64(64 * SET_LONGS)
+                    np.bitwise_xor.at(sketch, (np.repeat(np.arange(hi - lo), n), SKETCH_LONGS + (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
                 longs = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (hi - lo + 1) * BANDS, BANDS, dtype=np.int32)), longs(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), longs(d1), longs(d2), lists, *[longs(sketch[:, i]) for i in range(SKETCH_LONGS)]], names=["doc_id", "n_shingles", "d1", "d2", "bands", *[f"s{i}" for i in range(SKETCH_LONGS)]])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(n.astype(np.int64)), longs(d1), longs(d2), lists, *[longs(sketch[:, i]) for i in range(len(_COLUMNS))]], names=["doc_id", "n_shingles", "d1", "d2", "bands", *_COLUMNS])
 
     return run
 
@@ -148,13 +159,18 @@ def _linked(percent: int):
     return run
 
 
+def _differ(x: str, y: str, columns: list[str]) -> Column:
+    return sum((F.bit_count(F.col(f"{x}{c}").bitwiseXOR(F.col(f"{y}{c}"))) for c in columns), F.lit(0))
+
+
 def plausible(x: str, y: str, percent: int) -> Column:
     """Whether sizes and sketches of two rows with prefixes x and y allow the similarity."""
     n, m, bits = F.col(f"{x}n"), F.col(f"{y}n"), 64 * SKETCH_LONGS
     samples, least = BANDS * BAND_ROWS, percent / 100 - MARGIN
     most = bits / 2 * (1 - math.exp(-4 * samples * (1 - least) / bits))
-    differ = sum((F.bit_count(F.col(f"{x}s{i}").bitwiseXOR(F.col(f"{y}s{i}"))) for i in range(SKETCH_LONGS)), F.lit(0))
-    return (100 * n >= percent * m) & (100 * m >= percent * n) & (differ <= most)
+    # Sets of n and m elements with similarity J differ in (n + m) (1 - J) / (1 + J) of them.
+    apart = (100 + percent) * _differ(x, y, _COLUMNS[SKETCH_LONGS:]) <= (100 - percent) * (n + m)
+    return (100 * n >= percent * m) & (100 * m >= percent * n) & (_differ(x, y, _COLUMNS[:SKETCH_LONGS]) <= most) & apart
 
 
 def connect(edges: DataFrame) -> DataFrame:
@@ -182,14 +198,11 @@ def connect(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of class representatives that are similar enough, by their full sets."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, set binary")
-    a = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
-    return cut(pairs.join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long"))
+    b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
+    both = b.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
+    return cut(both.select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long"))
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -199,32 +212,49 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     full = sig.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     member = cut(full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep", "d1", "d2"))
-    sketch = [F.col(f"s{i}") for i in range(SKETCH_LONGS)]
     slim = full.join(member.filter("doc_id = rep").select("doc_id", "d1", "d2").distinct(), ["doc_id", "d1", "d2"], "left_semi")
     # Of rows with one doc_id and several texts, each is a representative of its own class.
-    reps = cut(slim.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *sketch, "bands", "d1", "d2").dropDuplicates(["rep", "d1", "d2"]))
+    reps = slim.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *_COLUMNS, "bands", "d1", "d2").dropDuplicates(["rep", "d1", "d2"])
     keyed = reps.select("rep", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub <> top").select("key", "hub")
     in_bucket = cut(keyed.join(shared, "key"))
+    # From here on only classes count that share a bucket.
+    some = in_bucket.select("rep").distinct()
+    reps = cut(reps.drop("bands", "d1", "d2").join(some, "rep", "left_semi"))
+    texts = docs.filter(F.col("doc_id").isNotNull()).join(some.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
+    sets = cut(texts.mapInArrow(_sets(k), "doc_id long, set binary"))
+    side = lambda x: reps.select(*[F.col(c).alias(f"{x}{c}" if c != "rep" else x) for c in reps.columns])
 
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"{x}n"), *[F.col(f"s{i}").alias(f"{x}s{i}") for i in range(SKETCH_LONGS)])
     pairs = in_bucket.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(plausible("a", "b", percent)).select("a", "b").distinct()
-    texts = docs.filter(F.col("doc_id").isNotNull())
-    links = _verified(texts, pairs, k, percent)
-    label = connect(links)
-
-    # Buckets in which more than one component is left.
-    of = in_bucket.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("c"))
-    several = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-    rest = cut(of.join(several, "key", "left_semi").join(reps.select("rep", "n", *sketch), "rep"))
-    named = lambda x: rest.select("key", F.col("rep").alias(x), F.col("c").alias(f"{x}c"), F.col("n").alias(f"{x}n"), *[F.col(f"s{i}").alias(f"{x}s{i}") for i in range(SKETCH_LONGS)])
-    first = rest.filter("rep = hub").select("key", F.col("c").alias("first")).distinct()
-    minor = named("a").join(first, "key").filter("ac <> first").drop("first").withColumnRenamed("key", "k")
-    other = named("b")
+    links = _verified(pairs, sets, percent)
+
+    def undecided(links: DataFrame) -> DataFrame:
+        """key, hub, rep, c (component) of the buckets with more than one component."""
+        label = connect(links).withColumnRenamed("node", "rep")
+        of = in_bucket.join(label, "rep", "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("c"))
+        several = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
+        return cut(of.join(several, "key", "left_semi"))
+
+    def outside(rest: DataFrame) -> DataFrame:
+        """Of each bucket what is not in the hub's component."""
+        first = rest.filter("rep = hub").select("key", F.col("c").alias("first")).distinct()
+        return rest.join(first, "key").filter("c <> first").drop("first")
+
+    rest = undecided(links)
+    drawn = rest.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("b"), F.col("c").alias("bc")), F.xxhash64("rep", "key")).alias("x")).select("key", "x.*")
+    near = outside(rest).join(drawn, "key").filter("c <> bc").select(F.col("rep").alias("a"), "b").distinct()
+    near = near.join(side("a"), "a").join(side("b"), "b").filter(plausible("a", "b", percent)).select("a", "b", _differ("a", "b", _COLUMNS).alias("differ")).distinct()
+    nearest = Window.partitionBy("a").orderBy("differ", "b")
+    near = near.withColumn("k", F.row_number().over(nearest)).filter(F.col("k") <= NEAREST).select("a", "b")
+    links = links.union(_verified(near, sets, percent))
+
+    rest = undecided(links)
+    others = rest.select("key", F.col("rep").alias("b"), F.col("c").alias("bc")).join(side("b"), "b")
+    minor = outside(rest).select(F.col("key").alias("k"), F.col("rep").alias("a"), F.col("c").alias("ac")).join(side("a"), "a")
     on = (F.col("k") == F.col("key")) & (F.col("ac") != F.col("bc")) & plausible("a", "b", percent)
-    more = minor.join(other, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.union(_verified(texts, more, k, percent))
+    more = minor.join(others, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = links.union(_verified(more, sets, percent))
 
     label = connect(links.union(member.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
     out = sig.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
