@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\d_]+"
 TERM = r"[\p{L}\p{N}\p{Co}\p{M}]+"
@@ -31,12 +32,11 @@ def raw_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TERM})"), F.lit(0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_diacritics(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Letters without their marks. Meant for distinct terms, not for every occurrence."""
     for s in batches:
-        plain = s.str.isascii()
-        folded = s.where(plain, s.map(lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)), na_action="ignore"))
+        folded = s.map(lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)), na_action="ignore")
         yield folded
 
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 from pyspark.sql.window import Window
 
 from tessella.functions.globs import any_regex
@@ -90,7 +91,7 @@ def _edges(b: bytes, begin: int) -> bool:
     return not any(c == "�" or ord(c) <= 8 for c in text)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _sniff(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
     for df in batches:
         yield pd.Series([any(not _edges(bytes(p), int(a)) for p, a in zip(parts, at, strict=True)) for parts, at in zip(df["parts"], df["at"], strict=True)], dtype=bool)

@@ -17,7 +17,7 @@ def read_files(spark: SparkSession, roots: list[str], glob: str | None = None) -
 
 
 def mtime_seconds(ts):
-    return F.round(F.unix_millis(ts) / 1000).cast("long")
+    return F.round(F.unix_millis(ts.cast("timestamp")) / 1000).cast("long")
 
 
 def to_docs(files: DataFrame) -> DataFrame:

@@ -50,13 +50,23 @@ def main() -> int:
     spark, bad = session(), 0
     for name in args or list(entry.queries()):
         began = time.time()
-        df = entry.queries()[name](spark, sf_dir)
-        columns, rows = rows_of(df.columns, [tuple(r) for r in df.collect()])
+        try:
+            df = entry.queries()[name](spark, sf_dir)
+            columns, rows = rows_of(df.columns, [tuple(r) for r in df.collect()])
+        except Exception as e:
+            bad += 1
+            print(f"{name}: fails: {str(e)[:600]}", flush=True)
+            continue
         took = time.time() - began
         if name not in entry.oracle_sql():
             print(f"{name}: {sum(rows.values())} rows, no SQL, {took:.1f} s", flush=True)
             continue
-        want_columns, want = sql_rows(sf_dir, entry.oracle_sql()[name])
+        try:
+            want_columns, want = sql_rows(sf_dir, entry.oracle_sql()[name])
+        except Exception as e:
+            bad += 1
+            print(f"{name}: its SQL fails: {e}", flush=True)
+            continue
         same = columns == want_columns and rows == want
         bad += not same
         print(f"{name}: {'ok' if same else 'DIFFERS'} {sum(rows.values())} rows, {took:.1f} s", flush=True)
