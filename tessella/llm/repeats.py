@@ -119,9 +119,20 @@ def _segments(collapse: bool):
             if collapse:
                 k, o = key[order], own[order]
                 new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+            first, rest = order[new], order[~new]
+            # What is removed whole mostly stands together: one row for each run of it.
+            rest = rest[np.lexsort((start[rest], version[rest], did[rest]))]
+            d, v, lo = did[rest], version[rest], start[rest]
+            hi = lo + size[rest]
+            begin = np.ones(len(rest), bool)
+            begin[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1]) | (lo[1:] > hi[:-1])
+            at = np.flatnonzero(begin)
+            end = np.append(at[1:], len(rest))[: len(at)] - 1
             # A row that needs no bucket is dealt by chance.
-            bucket = np.where(new, key[order], mix(start[order].astype(np.uint64) + did[order].astype(np.uint64)))
-            return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), *[pa.array(x[order]) for x in (did, version, start)], pa.array(size[order].astype(np.int32)), pa.array([text[i] if n else None for i, n in zip(order.tolist(), new.tolist(), strict=True)], pa.binary())], names=_names)
+            bucket = np.concatenate([key[first], mix(lo[at].astype(np.uint64) + d[at].astype(np.uint64))])
+            columns = [np.concatenate([did[first], d[at]]), np.concatenate([version[first], v[at]]), np.concatenate([start[first], lo[at]])]
+            length = np.concatenate([size[first], hi[end] - lo[at]])
+            return pa.RecordBatch.from_arrays([pa.array(bucket.view(np.int64)), *[pa.array(x) for x in columns], pa.array(length.astype(np.int32)), pa.array([text[i] for i in first.tolist()] + [None] * len(at), pa.binary())], names=_names)
 
         for b in batches:
             ids, versions, shared = b.column("did").to_numpy(), b.column("version").to_numpy(), b.column("shared").to_pylist()
