@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def guarded(docs: DataFrame, needed: list[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage`` on docs with all but the needed columns renamed, so that none can clash with its own; it returns the columns it got."""
+    plain = docs.toDF(*[c if c in needed else f"__{k}" for k, c in enumerate(docs.columns)])
+    return stage(plain).select(*plain.columns).toDF(*docs.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm.common import WORD, cut
+from tessella.llm.common import WORD, cut, guarded
 
 MAX_REPEATS = 3
 CYCLE = 3
@@ -102,8 +102,12 @@ def mix(docs: DataFrame) -> DataFrame:
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix with all their columns; one that is taken n times gives n equal rows."""
-    slim = cut(sizes(docs).select("source", "size", "__h"))
-    t = thresholds(slim, targets(slim)).select(F.col("source").alias("__s"), "whole", "until")
-    out = docs.withColumn("__h", doc_hash(F.col("doc_id"))).join(t, F.col("source").eqNullSafe(F.col("__s")))
-    copies = F.least(F.col("whole") + F.when(F.col("__h") < F.col("until"), 1).otherwise(0), F.lit(MAX_REPEATS)).cast("int")
-    return out.withColumn("__n", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)
+
+    def stage(docs: DataFrame) -> DataFrame:
+        slim = cut(sizes(docs).select("source", "size", "__h"))
+        t = thresholds(slim, targets(slim)).select(F.col("source").alias("__s"), "whole", "until")
+        out = docs.withColumn("__h", doc_hash(F.col("doc_id"))).join(t, F.col("source").eqNullSafe(F.col("__s")))
+        copies = F.least(F.col("whole") + F.when(F.col("__h") < F.col("until"), 1).otherwise(0), F.lit(MAX_REPEATS)).cast("int")
+        return out.withColumn("__n", F.explode(F.array_repeat(F.lit(1), copies)))
+
+    return guarded(docs, ["doc_id", "source", "text"], stage)

@@ -47,7 +47,7 @@ from pyspark.sql.window import Window
 
 from tessella.llm import blocks
 from tessella.llm.blocks import LOWER, Words, mix, window_hash
-from tessella.llm.common import cut
+from tessella.llm.common import cut, guarded
 
 BANDS, BAND_ROWS = 24, 5
 SKETCH_LONGS, SET_LONGS = 4, 16
@@ -264,8 +264,12 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents that stand for their component, with all columns; of rows equal in doc_id and text one stays."""
-    gone = components(docs, k, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    marked = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    left = marked.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    unknown = left.filter(F.col("doc_id").isNull())
-    return left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "__row"]).union(unknown).select(*docs.columns)
+
+    def stage(docs: DataFrame) -> DataFrame:
+        gone = components(docs, k, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+        marked = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+        left = marked.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+        unknown = left.filter(F.col("doc_id").isNull())
+        return left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "__row"]).union(unknown)
+
+    return guarded(docs, ["doc_id", "text"], stage)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import blocks
 from tessella.llm.blocks import Words, mix, window_hash
-from tessella.llm.common import settle, shuffle_partitions
+from tessella.llm.common import guarded, settle, shuffle_partitions
 
 WINDOW = 13
 ROUNDS = 2
@@ -285,8 +285,10 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
-    """The documents without the words that repeat; all rows and columns stay. Column names starting with two underscores keep clear of did and gone."""
-    plain = docs.toDF(*[f"__{k}" if c not in ("doc_id", "text") else c for k, c in enumerate(docs.columns)])
-    out = _with_windows(plain, plain.columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    return out.mapInArrow(_rewrite, schema).select(*plain.columns).toDF(*docs.columns)
+    """The documents without the words that repeat; all rows and columns stay."""
+
+    def stage(docs: DataFrame) -> DataFrame:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+        return _with_windows(docs, docs.columns).mapInArrow(_rewrite, schema)
+
+    return guarded(docs, ["doc_id", "text"], stage)

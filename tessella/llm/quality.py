@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE, cut, words
+from tessella.llm.common import SPACE, cut, guarded, words
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
@@ -112,8 +112,12 @@ def assess(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
 
 def filter_documents(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     """The documents that pass, with their columns. Rows equal in doc_id, lang, source and text share a verdict; a null doc_id is a value like others."""
-    mark = lambda d: d.select("*", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("a"), F.xxhash64("doc_id", "lang", "source", "text").alias("b")).alias("__key"))
-    keyed = mark(docs)
-    sig = cut(signals(keyed.withColumn("doc_id", F.col("__key"))))
-    bad = judge(sig, min_rows).filter("kept").select(F.col("doc_id").alias("__key")).distinct()
-    return keyed.join(bad, "__key", "left_semi").select(*docs.columns)
+
+    def stage(docs: DataFrame) -> DataFrame:
+        key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("a"), F.xxhash64("doc_id", "lang", "source", "text").alias("b"))
+        keyed = docs.withColumn("__key", key)
+        sig = cut(signals(keyed.withColumn("doc_id", F.col("__key"))))
+        good = judge(sig, min_rows).filter("kept").select(F.col("doc_id").alias("__key")).distinct()
+        return keyed.join(good, "__key", "left_semi")
+
+    return guarded(docs, ["doc_id", "lang", "source", "text"], stage)

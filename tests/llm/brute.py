@@ -28,3 +28,47 @@ def op3(rows: list[tuple[int | None, str | None]], length: int = 100) -> list[tu
         spans = sum(1 for j, c in enumerate(cut) if c and (j == 0 or not cut[j - 1]))
         out.append((doc_id, len(t), sum(cut), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def op6(rows: list[tuple[int | None, str | None]], k: int = 13) -> dict[int, list[bool]]:
+    """Which words of each row go."""
+    last = (1 << 63) - 1
+    words = [(t or "").encode().split() for _, t in rows]
+    key = [last if i is None else i for i, _ in rows]
+    first: dict[tuple, int] = {}
+    for w, i in zip(words, key, strict=True):
+        for p in range(len(w) - k + 1):
+            g = tuple(w[p : p + k])
+            first[g] = min(first.get(g, last), i)
+    out = {}
+    for n, (w, i) in enumerate(zip(words, key, strict=True)):
+        cut = [False] * len(w)
+        for p in range(len(w) - k + 1):
+            if first[tuple(w[p : p + k])] < i:
+                cut[p : p + k] = [True] * k
+        out[n] = cut
+    return out
+
+
+def links(rows: list[tuple[int | None, str | None]], k: int, percent: int) -> dict[int, int]:
+    """Smallest linked doc_id of each doc_id."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for i, t in rows:
+        w = (t or "").translate(low).encode().split()
+        if i is not None and w:
+            sets.append((i, {tuple(w[p : p + k]) for p in range(max(1, len(w) - k + 1))}))
+    up = {i: i for i, _ in rows if i is not None}
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, (i, x) in enumerate(sets):
+        for j, y in sets[:a]:
+            both = len(x & y)
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                lo, hi = sorted((top(i), top(j)))
+                up[hi] = lo
+    return {i: top(i) for i in up}
