@@ -406,7 +406,7 @@ r AS (SELECT *, sum(new) OVER (ORDER BY ts, event_id) AS run FROM m)
 SELECT min(ts) AS began, max(ts) + INTERVAL 10 MINUTE AS ended, count(*)::BIGINT AS n_events, count(DISTINCT path)::BIGINT AS n_paths FROM r GROUP BY run"""
 )
 def coalesce_bursts(spark, d):
-    return st.coalesce_bursts(v.changes(spark, d), "10 minutes")
+    return st.coalesce_bursts(v.changes(spark, d), "10 minutes").drop("root")
 
 
 @query(ORACLES["latest_per_path"])

@@ -22,16 +22,15 @@ def latest_per_path(changes: DataFrame) -> DataFrame:
 
 
 def coalesce_bursts(changes: DataFrame, gap: str, late: str | None = None) -> DataFrame:
-    """began, ended, n_events, n_paths of every run of events less than ``gap`` apart, over all paths.
+    """root, began, ended, n_events, n_paths of every run of events less than ``gap`` apart, over all paths below one top folder.
 
-    late: how far events may come out of order; needed on a stream. The events of
-    one key are all there is here, so counts are aggregated before the sessions
-    are merged.
+    late: how far events may come out of order; needed on a stream.
     """
+    changes = changes.withColumn("root", F.regexp_extract("path", "^/?[^/]*", 0))
     if late:
         changes = changes.withWatermark("ts", late)
-    runs = changes.groupBy(F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_events"), F.size(F.collect_set("path")).cast("long").alias("n_paths"))
-    return runs.select(F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n_events", "n_paths")
+    runs = changes.groupBy("root", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_events"), F.size(F.collect_set("path")).cast("long").alias("n_paths"))
+    return runs.select("root", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n_events", "n_paths")
 
 
 def apply_changes(changes: DataFrame, index_dir: str, load: Callable[[DataFrame], DataFrame], globs: list[str], checkpoint: str, rescan: Callable[[], None] | None = None, once: bool = True) -> StreamingQuery:
