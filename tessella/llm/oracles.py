@@ -113,6 +113,7 @@ sig AS (SELECT b.* EXCLUDE (w, lines), m.* EXCLUDE (rid), coalesce(r, 0)::BIGINT
   CASE WHEN m.word_chars > 0 THEN 1000 * m.n_symbols // m.word_chars ELSE 0 END AS symbol_pm,
   CASE WHEN m.n_lines > 0 THEN 1000 * m.n_dup_lines // m.n_lines ELSE 0 END AS dup_line_pm,
   CASE WHEN m.n_words > 0 THEN 1000 * coalesce(r, 0)::BIGINT // m.n_words ELSE 0 END AS repeat_pm,
+  CASE WHEN m.n_words > 0 THEN 1000 * len(list_filter(list_zip(b.w, b.w[2:]), lambda x: x[1] = x[2])) // m.n_words ELSE 0 END AS echo_pm,
   CASE WHEN m.n_words > 0 THEN 100 * m.word_chars // m.n_words ELSE 0 END AS word_len
   FROM base b JOIN m USING (rid) LEFT JOIN rep USING (rid))
 SELECT sig.*, (NOT base_failed AND coalesce({ok}, false)) AS kept FROM sig

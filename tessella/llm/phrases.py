@@ -241,7 +241,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, removed, digest = [], [], []
         for t, g in zip(texts, gone, strict=True):
             own = (t or b"").split()
-            if g:
+            if g and own:  # rows of one id may hold different texts
                 data = np.frombuffer(t, np.uint8)
                 cut = _removed(Piece(data, np.array([0, len(data)])), 0, g)
                 kept = [w for w, c in zip(own, cut.tolist(), strict=True) if not c]
@@ -259,7 +259,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = b.schema.get_field_index("text")
         texts = b.column(at).cast(pa.binary()).to_pylist()
         for i, g in enumerate(b.column("gone").to_pylist()):
-            if g:
+            if g and texts[i]:
                 data = np.frombuffer(texts[i], np.uint8)
                 p = Piece(data, np.array([0, len(data)]))
                 cut = _removed(p, 0, g)

@@ -21,11 +21,11 @@ from tessella.llm.common import SPACE, cut, guarded, words
 
 WINDOW = 5
 SYMBOLS = r"[#*$%&|<>]"
-#: Signals are per mille (word_len: hundredths of a character). The fence above
+#: Signals are per mille (word_len: hundredths of a character; echo: words equal to the next one). The fence above
 #: the median is SPREAD times the distance from the lower quartile to the
 #: median, and at least the slack given here.
 SPREAD = 6
-SLACK = {"symbol_pm": 20, "dup_line_pm": 150, "repeat_pm": 100, "word_len": 400}
+SLACK = {"symbol_pm": 20, "dup_line_pm": 400, "repeat_pm": 200, "echo_pm": 150, "word_len": 400}
 MIN_ROWS = 30
 ACCURACY = 10_000
 
@@ -64,6 +64,7 @@ def signals(docs: DataFrame) -> DataFrame:
         *[c for c in d.columns if c not in ("lines", "h")],
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.size(F.filter(h, lambda w, i: F.get(h, i + 1) == w)).cast("long").alias("n_echoes"),
         F.when(F.size(h) >= WINDOW, F.transform(F.slice(h, 1, F.greatest(F.size(h) - (WINDOW - 1), F.lit(0))), gram)).otherwise(F.array().cast("array<bigint>")).alias("grams"),
     )
     d = d.withColumn("n_repeat_words", _repeat_words(F.col("grams")).cast("long")).drop("grams")
@@ -74,6 +75,7 @@ def signals(docs: DataFrame) -> DataFrame:
         pm(F.col("n_symbols"), F.col("word_chars"), 1000).alias("symbol_pm"),
         pm(F.col("n_dup_lines"), F.col("n_lines"), 1000).alias("dup_line_pm"),
         pm(F.col("n_repeat_words"), F.col("n_words"), 1000).alias("repeat_pm"),
+        pm(F.col("n_echoes"), F.col("n_words"), 1000).alias("echo_pm"),
         pm(F.col("word_chars"), F.col("n_words"), 100).alias("word_len"),
     )
 
