@@ -185,12 +185,12 @@ def connect(edges: DataFrame) -> DataFrame:
     print_of = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
     before = print_of(edges)
     while True:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
+        both = edges.select(F.inline(F.array(pair("a", "b"), pair("b", "a"))))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").filter(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b"), F.col("m"), F.col("a"))
-        star = small.select(F.col("m").alias("a"), "b").union(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+        star = large.join(least, "a").select(F.inline(F.array(pair("m", "b"), pair("m", "a")))).filter("a <> b").distinct()
         edges = cut(star)
         now = print_of(edges)
         if now == before:
@@ -227,7 +227,10 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     pairs = in_bucket.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(plausible("a", "b", percent)).select("a", "b").distinct()
-    links = _verified(pairs, sets, percent)
+    # An id that stands in several classes links them.
+    ties = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
+    ties = cut(member.join(ties, "doc_id").filter("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct())
+    links = ties.union(_verified(pairs, sets, percent))
 
     def undecided(links: DataFrame) -> DataFrame:
         """key, hub, rep, c (component) of the buckets with more than one component."""
@@ -256,8 +259,10 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     more = minor.join(others, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.union(_verified(more, sets, percent))
 
-    label = connect(links.union(member.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))))
-    out = sig.select("doc_id", "n_shingles").join(label.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    # A class's representative is its smallest id, so a component's smallest representative is its smallest id.
+    label = connect(links).withColumnRenamed("node", "rep")
+    of_doc = member.join(label, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
+    out = sig.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
