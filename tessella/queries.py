@@ -71,18 +71,18 @@ def cap_ignore(spark, d):
     return scan.cap_ignore(scan.parse_ignore(v.ignore_lines(spark, d)), FEW).withColumn("globs", F.array_join("globs", " "))
 
 
+# Of the lines in the view only *.dat and de/*.md can meet a file; the cap is above the lines of a root.
 @query(
     with_views("files", "ignore_lines")
-    + r""", on_files AS (SELECT path, '/ws/'||source AS root FROM files)
-SELECT root, path FROM on_files WHERE NOT (regexp_matches(path, '\.dat$') OR (contains(path, '/de/') AND regexp_matches(path, '/de/[^/]*\.md$')))"""
+    + r""", on_files AS (SELECT path, '/ws/'||source AS root FROM files),
+rules AS (SELECT DISTINCT root, root||'/'||CASE WHEN dir = '' THEN '' ELSE dir||'/' END AS below, line FROM ignore_lines)
+SELECT root, path FROM on_files f WHERE NOT EXISTS (SELECT 1 FROM rules r WHERE r.root = f.root
+  AND ((line = '*.dat' AND starts_with(path, below) AND ends_with(path, '.dat')) OR (line = 'de/*.md' AND starts_with(path, below||'de/') AND ends_with(path, '.md'))))"""
 )
 def apply_ignore(spark, d):
     files = v.files(spark, d).select(F.concat(F.lit("/ws/"), "source").alias("root"), "path")
-    capped = scan.cap_ignore(scan.parse_ignore(v.ignore_lines(spark, d)))
-    # Only two kinds of lines meet files here; the rules are cut to them, so that SQL can say the same.
-    kept = capped.withColumn("globs", F.array("globs")[0]).select("root", F.filter("globs", lambda g: g.isin("**/*.dat", "de/*.md")).alias("globs"))
-    kept = kept.withColumn("globs", F.array_union("globs", F.array(F.lit("**/*.dat"), F.lit("de/*.md"))))
-    return scan.apply_ignore(files, kept)
+    capped = scan.cap_ignore(scan.parse_ignore(v.ignore_lines(spark, d)), 10_000)
+    return scan.apply_ignore(files, capped)
 
 
 _NAME = "list_reverse(string_split(list_last(string_split(path, '/')), '.'))"
