@@ -29,6 +29,8 @@ from tessella.llm import blocks
 from tessella.llm.blocks import Words, mix
 
 ROWS_PER_LANGUAGE = 1500
+#: A model has a table of BUCKETS counts for each.
+MAX_LANGUAGES = 120
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 16
 SWITCH = 12.0
@@ -168,9 +170,13 @@ def _add(key: tuple, rows: pa.Table) -> pa.Table:
 def fit(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Learns from rows (doc_id, text, lang); the model has one column per language."""
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = rows.groupBy("lang").count().select(F.col("lang").alias("l"), (F.lit(rows_per_language) / F.col("count")).alias("share"))
+    counts = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # One row per language: broadcast, so that no text is dealt by its language.
+    share = rows.sparkSession.createDataFrame([(r["lang"], rows_per_language / r["count"]) for r in counts], "l string, share double")
     draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1_000_000)) / 1_000_000
-    sample = rows.join(share, F.col("lang") == F.col("l")).filter(draw < F.col("share")).select("lang", "text")
+    sample = rows.join(F.broadcast(share), F.col("lang") == F.col("l")).filter(draw < F.col("share")).select("lang", "text")
     schema = "lang string, grams binary, scripts binary, n long"
     # Each task sends one table of fixed size per language; the sum has one row per language.
     found = sorted(sample.coalesce(16).mapInArrow(_count, schema).groupBy("lang").applyInArrow(_add, schema).collect(), key=lambda r: r["lang"])
