@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 #: (spelling, the one it counts as), applied in this order to lower-case words.
 EQUIVALENT = [
     ("acknowledgement", "acknowledgment"),
@@ -44,3 +47,32 @@ TEXTS = [
     ("ISC", f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_WARRANTY_ISC}"),
     ("MIT", f'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n{_WARRANTY_MIT}'),
 ]
+
+#: Titles over the texts above, in the usual spellings.
+TITLES = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "BSD 0-Clause License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "Modified BSD License", "BSD License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC License (ISCL)"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"],
+}
+_END = "END OF TERMS AND CONDITIONS"
+
+
+def _short_forms(licence: str, text: str) -> list[str]:
+    """The text with marks of list items as numbers, letters or bullets, holder or holders not liable, with and without a title."""
+    letters = re.sub(r"(?m)^([1-3])\. ", lambda m: f"{' abc'[int(m[1])]}. ", text)
+    bodies = [text, re.sub(r"(?m)^[1-3]\. ", "* ", text), letters, text.replace("and/or distribute", "and distribute")]
+    bodies += [b.replace("COPYRIGHT HOLDER OR CONTRIBUTORS", "COPYRIGHT HOLDERS OR CONTRIBUTORS") for b in bodies]
+    return [f"{title}\n\n{body}" for body in dict.fromkeys(bodies) for title in ["", *TITLES[licence]]]
+
+
+def _long_forms(text: str) -> list[str]:
+    """The text with and without its advice on how to apply it, and with a copyright line filled in, which is then dropped."""
+    own = re.sub(r"(?m)^ *Copyright \[yyyy\].*$", "", text)
+    return list(dict.fromkeys([text, own, *([text.split(_END)[0] + _END, text.split(_END)[0]] if _END in text else [])]))
+
+
+#: Whole texts of further licences, from the files beside this one, and other usual forms of all.
+FORMS = [(i, form) for i, text in TEXTS for form in _short_forms(i, text)]
+FORMS += [(f.stem, form) for f in sorted(Path(__file__).with_name("licence_files").glob("*.txt")) for form in _long_forms(f.read_text(encoding="utf-8"))]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import cut
-from tessella.llm.licence_texts import EQUIVALENT, NOTICES, TEXTS
+from tessella.llm.licence_texts import EQUIVALENT, FORMS, NOTICES, TEXTS
 
 MAX_KNOWN = 10_000
 COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(copyright[ \t]+(\(c\)|©|[0-9])|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
@@ -48,7 +48,7 @@ def known(docs: DataFrame, rows: list[tuple[str, str]]) -> DataFrame:
     return df.select(digest(canonical_lines(F.col("text"))).alias("known"), "licence").groupBy("known").agg(F.min("licence").alias("licence"))
 
 
-def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
+def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS + FORMS, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
     """doc_id, digest, licence (of the entire text, or null), notices (ids of entire lines, sorted, joined by blanks), n_notice_lines."""
     d = docs.select("doc_id", canonical_lines(F.col("text")).alias("c"))
     lines = F.filter(F.transform(F.split("c", "\n"), lambda x: F.trim(x)), lambda x: x != "")

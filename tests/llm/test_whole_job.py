@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.llm import neardup
+from pathlib import Path
+
+from tessella.llm import licences, neardup
 
 
 def test_near_pairs_with_far_odd_sketches(spark):
@@ -13,3 +15,11 @@ def test_near_pairs_with_far_odd_sketches(spark):
         some += [(2 * seed, " ".join(w[:36])), (2 * seed + 1, " ".join(w[4:]))]
     df = spark.createDataFrame(some, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in neardup.components(df, 1, 80).collect()} == {i: i - i % 2 for i, _ in some}
+
+
+def test_real_licence_files(spark):
+    """Files of published packages, named by licence and package: with titles, copyright lines, bullets and filled-in appendices."""
+    files = sorted(Path(__file__).with_name("licence_files").glob("*.txt"))
+    df = spark.createDataFrame([(i, f.read_text(encoding="utf-8")) for i, f in enumerate(files)], "doc_id long, text string")
+    got = {files[r["doc_id"]].name: r["licence"] for r in licences.scan(df).collect()}
+    assert len(got) == 7 and got == {f.name: f.name.rsplit(".", 2)[0] for f in files}
