@@ -37,9 +37,10 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-#: A value for each byte, 0 for white space.
+#: A value for each byte.
 BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _GOLD)
-WORD_BYTE = np.where(IS_SPACE, np.uint64(0), BYTE)
+#: The first n of eight bytes.
+_HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _powers = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
 
 
@@ -78,6 +79,22 @@ def window_hash(values: np.ndarray, k: int) -> np.ndarray:
     return mix((g[k:] - g[:n]) * powers(n, INVERSE))
 
 
+def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word. Eight bytes at a time are mixed with a key of their place before they are added, so that no two texts collide by the sum's form (as they do in a polynomial modulo 2^64)."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data), np.uint64, padded, 0, (1,))
+    n = (end - start + 7) >> 3
+    begin = np.cumsum(n) - n
+    place = np.arange(int(n.sum())) - np.repeat(begin, n)
+    at = np.repeat(start, n) + 8 * place
+    value = eight[at] & _HEAD[np.minimum(np.repeat(end, n) - at, 8)]
+    key = mix(np.arange(1, int(n.max()) + 1, dtype=np.uint64) * _GOLD)
+    h = np.add.reduceat(mix(value ^ key[place]) * (mix(key) | np.uint64(1))[place], begin)
+    return mix(h + (end - start).astype(np.uint64) * _GOLD)
+
+
 class Words:
     """The words of some texts: start, end (bytes), hash, and first (word number at which each text begins). offsets: of the texts."""
 
@@ -102,12 +119,7 @@ class Words:
         starts[1:] &= space[:-1] | edge[1:-1]
         ends[:-1] &= space[1:] | edge[1:-1]
         s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-        if not len(s):
-            return s, e, np.zeros(0, np.uint64)
-        gaps = np.diff(np.append(s, len(data)))
-        within = np.arange(s[0], len(data)) - np.repeat(s, gaps)
-        h = np.add.reduceat(WORD_BYTE[data[s[0] :]] * powers(int(gaps.max()))[within], s - s[0])
-        return s + at, e + at, mix(h + (e - s).astype(np.uint64) * _GOLD)
+        return s + at, e + at, word_hash(data, s, e)
 
     def windows(self, k: int) -> np.ndarray:
         """Numbers of the words at which k consecutive words of one text begin."""

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: A key with more rows than HOT_ROWS is dealt in several parts; at most MANY keys are, whatever the input.
+HOT_ROWS, MANY = 1000, 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,13 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests) a temporary one is made.
+    The folder is the session's ``spark.checkpoint.dir``. Only a local session
+    may do without the setting (tests); a cluster's executors could not read a
+    folder of one machine, so there it is an error.
     """
     spark = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
 
@@ -45,6 +50,35 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
+def hot_keys(counts: DataFrame, key: list[str], rows: int) -> DataFrame:
+    """The key columns and __of, the number of parts in which a key's rows are dealt, for the keys with very many rows.
+
+    counts: the key columns and n, its rows; rows: of all keys. The bound rises
+    with the input: no more than MANY keys can have more than a MANY-th of all
+    rows, so this table may always be broadcast.
+    """
+    hot = max(HOT_ROWS, rows // MANY)
+    return F.broadcast(counts.filter(F.col("n") > hot).select(*key, (F.floor(F.col("n") / hot) + 1).cast("int").alias("__of")))
+
+
+def dealt(rows: DataFrame, hot: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """The rows with __part: 0, or for a hot key one of its parts, by the hash of the columns ``by``."""
+    part = F.pmod(F.xxhash64(*by), F.coalesce("__of", F.lit(1)).cast("long")).cast("int")
+    return rows.join(hot, key, "left").withColumn("__part", part).drop("__of")
+
+
+def spread_join(rows: DataFrame, per_key: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """``rows`` joined with ``per_key``, which has one row per key, its number of rows in n, and is written (``cut``).
+
+    A hot key's row is copied to each of the key's parts, and its rows are dealt over
+    them by ``by``: no task gets all rows of one key.
+    """
+    hot = hot_keys(per_key, key, per_key.agg(F.sum("n")).first()[0] or 0)
+    parts = F.explode(F.sequence(F.lit(0), F.coalesce("__of", F.lit(1)) - 1))
+    copied = per_key.drop("n").join(hot, key, "left").withColumn("__part", parts).drop("__of")
+    return dealt(rows, hot, key, by).join(copied, [*key, "__part"]).drop("__part")
+
+
 def settle(asked: DataFrame, decide, name: str) -> DataFrame:
     """did and ``name``, one row for each document that gets an answer.
 
@@ -56,5 +90,5 @@ def settle(asked: DataFrame, decide, name: str) -> DataFrame:
     from tessella.llm.blocks import ANSWER, deliver
 
     n = shuffle_partitions(asked.sparkSession)
-    dealt = asked.repartition(n, F.when(F.col("target") < 0, F.xxhash64("owners")).otherwise(F.col("target").cast("long")))
-    return dealt.mapInArrow(decide, ANSWER).repartition(n, "target").mapInArrow(deliver(name), f"did long, {name} binary")
+    spread = asked.repartition(n, F.when(F.col("target") < 0, F.xxhash64("owners")).otherwise(F.col("target").cast("long")))
+    return spread.mapInArrow(decide, ANSWER).repartition(n, "target").mapInArrow(deliver(name), f"did long, {name} binary")

@@ -1,7 +1,7 @@
 """MinHash near-dedup with odd sketches.
 
-A document's set is its distinct word shingles, as 64-bit hashes. From it come a
-128-bit digest of the set, MinHash band keys and two odd sketches. In the first
+A document's set is its distinct word shingles, as 64-bit hashes. From it come
+MinHash band keys and two odd sketches. In the first
 each MinHash sample flips one bit of a small bitmap, so that the XOR of two
 bitmaps has about as many ones as the samples differ, which estimates high
 similarities closely. In the second every shingle flips a bit: the XOR has at
@@ -9,11 +9,13 @@ most as many ones as the sets differ in elements, a bound that drops no pair
 wrongly and is sharp for all but long texts. Only that bound and the sizes rule
 a pair out; the estimate merely says which pairs to try first.
 
-1. Documents with equal digests are one class; only its smallest doc_id goes on.
+1. Documents of the same word sequence are one class, known by a cryptographic
+   digest (BLAKE2b, 128 bits) of the lower-cased words themselves; only its smallest
+   doc_id goes on.
 2. In each band bucket every class is paired with the smallest one (a star, so
    pairs grow with the bucket, not with its square). Pairs whose sizes or set
-   sketches rule the similarity out are dropped, the others verified on the full
-   sets, and connected components found.
+   sketches rule the similarity out are dropped, the others verified on the words of
+   the full texts, shingle by shingle, and connected components found.
 3. Where a bucket still has several components, each class outside the first is
    paired with members drawn differently for each bucket; the NEAREST by both
    sketches are verified, and components found again.
@@ -25,7 +27,10 @@ a pair out; the estimate merely says which pairs to try first.
 
 With BANDS x BAND_ROWS a pair at the threshold 0.85 shares no band with a
 probability of 7.7e-7, one at 0.80 with one of 7.3e-5. No later step drops a
-similar pair.
+similar pair, and no link rests on hashes alone.
+
+Hot keys: the members of a class, of a bucket and the partners of a hub are dealt in
+parts of bounded size (``common.dealt``), and a hub's text travels once to a part.
 
 Cases: texts without a word, and null texts, are linked with nothing; shorter
 texts than a shingle are one shingle; a null doc_id is linked with nothing, its
@@ -37,6 +42,7 @@ are taken whole.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +53,7 @@ from pyspark.sql.window import Window
 
 from tessella.llm import blocks
 from tessella.llm.blocks import LOWER, Words, mix, window_hash
-from tessella.llm.common import cut, guarded
+from tessella.llm.common import WORD, cut, dealt, guarded, hot_keys, spread_join
 
 BANDS, BAND_ROWS = 24, 5
 SKETCH_LONGS, SET_LONGS = 4, 16
@@ -104,16 +110,16 @@ def _signatures(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = blocks.buffers(b.column("text"))
+            digest = np.frombuffer(b"".join(hashlib.blake2b(b" ".join(_words(t)), digest_size=16).digest() for t in b.column("text").cast(pa.large_binary()).to_pylist()), np.uint64).reshape(-1, 2)
             for lo, hi in blocks.pieces(offsets):
                 h, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
                 n = np.diff(at)
+                d1, d2 = digest[lo:hi].T
                 full = np.flatnonzero(n)
-                d1, d2 = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.uint64)
                 bands = np.zeros((hi - lo, BANDS), np.uint64)
                 sketch = np.zeros((hi - lo, SKETCH_LONGS + SET_LONGS), np.uint64)
                 if len(full):
                     begin = at[full]
-                    d1[full], d2[full] = np.add.reduceat(mix(h * blocks._GOLD), begin), np.add.reduceat(mix(h ^ blocks._GOLD), begin)
                     m = minhashes(h, begin, samples)
                     for band in range(BANDS):
                         key = np.full(len(full), band + 1, np.uint64)
@@ -132,28 +138,37 @@ def _signatures(k: int):
     return run
 
 
-def _sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = blocks.buffers(b.column("text"))
-            for lo, hi in blocks.pieces(offsets):
-                h, at = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], k)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array([h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "set"])
+def _words(text: bytes | None) -> list[bytes]:
+    """The words with A-Z lower-cased; bytes are split at ASCII white space."""
+    return (text or b"").lower().split()
+
+
+def _shingles(text: bytes, k: int) -> set[tuple[bytes, ...]]:
+    w = _words(text)
+    return {tuple(w)} if len(w) < k else set(zip(*(w[i:] for i in range(k)), strict=False))
 
-    return run
 
+def _linked(k: int, percent: int):
+    """For mapInArrow over rows (a, __part, b, text) in this order: the text of a stands first, with a null b, and those of its partners follow."""
 
-def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, heads = None, {}
         for b in batches:
-            ok = []
-            for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int(blocks.contains(y, x).sum())
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            out = []
+            for a, part, other, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3).cast(pa.large_binary()), strict=True):
+                if now != (a, part):
+                    now, heads = (a, part), {}
+                text = text.as_py()
+                if other is None:
+                    heads[text] = heads.get(text) or _shingles(text, k)  # an id may stand in rows with several texts
+                    continue
+                own = _shingles(text, k)
+                for x in heads.values():
+                    both = len(x & own)
+                    if 100 * both >= percent * (len(x) + len(own) - both):
+                        out.append((a, other))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -195,11 +210,15 @@ def connect(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of class representatives that are similar enough, by their full sets."""
-    b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-    both = b.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
-    return cut(both.select("a", "b", "set_a", "set_b").mapInArrow(_linked(percent), "a long, b long"))
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of class representatives that are similar enough, by the words of their full texts."""
+    pairs = cut(pairs)
+    pairs = dealt(pairs, hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"], pairs.count()), ["a"], ["b"])
+    partners = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "__part", "b", "text")
+    heads = pairs.select("a", "__part").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "__part", F.lit(None).cast("long").alias("b"), "text")
+    order = ["a", "__part", "b"]
+    rows = heads.union(partners).repartition("a", "__part").sortWithinPartitions(*order)
+    return cut(rows.select(*order, "text").mapInArrow(_linked(k, percent), "a long, b long"))
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -207,19 +226,19 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = cut(docs.mapInArrow(_signatures(k), _SIGNATURE))
     full = sig.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    member = cut(full.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).select("doc_id", "rep", "d1", "d2"))
+    classes = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
+    member = cut(spread_join(full.select("doc_id", "d1", "d2"), classes, ["d1", "d2"], ["doc_id"]).select("doc_id", "rep", "d1", "d2"))
     slim = full.join(member.filter("doc_id = rep").select("doc_id", "d1", "d2").distinct(), ["doc_id", "d1", "d2"], "left_semi")
     # Of rows with one doc_id and several texts, each is a representative of its own class.
     reps = slim.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *_COLUMNS, "bands", "d1", "d2").dropDuplicates(["rep", "d1", "d2"])
     keyed = reps.select("rep", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub <> top").select("key", "hub")
-    in_bucket = cut(keyed.join(shared, "key"))
+    shared = cut(keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count("*").alias("n")).filter("hub <> top").select("key", "hub", "n"))
+    in_bucket = cut(spread_join(keyed, shared, ["key"], ["rep"]))
     # From here on only classes count that share a bucket.
     some = in_bucket.select("rep").distinct()
     reps = cut(reps.drop("bands", "d1", "d2").join(some, "rep", "left_semi"))
     texts = docs.filter(F.col("doc_id").isNotNull()).join(some.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    sets = cut(texts.mapInArrow(_sets(k), "doc_id long, set binary"))
+    texts = cut(texts.filter(F.col("text").rlike(WORD)))
     side = lambda x: reps.select(*[F.col(c).alias(f"{x}{c}" if c != "rep" else x) for c in reps.columns])
 
     pairs = in_bucket.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
@@ -227,7 +246,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # An id that stands in several classes links them.
     ties = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
     ties = cut(member.join(ties, "doc_id").filter("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct())
-    links = ties.union(_verified(pairs, sets, percent))
+    links = ties.union(_verified(pairs, texts, k, percent))
 
     def undecided(links: DataFrame) -> DataFrame:
         """key, hub, rep, c (component) of the buckets with more than one component."""
@@ -247,14 +266,14 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     near = near.join(side("a"), "a").join(side("b"), "b").filter(plausible("a", "b", percent)).select("a", "b", _differ("a", "b", _COLUMNS).alias("differ")).distinct()
     nearest = Window.partitionBy("a").orderBy("differ", "b")
     near = near.withColumn("k", F.row_number().over(nearest)).filter(F.col("k") <= NEAREST).select("a", "b")
-    links = links.union(_verified(near, sets, percent))
+    links = links.union(_verified(near, texts, k, percent))
 
     rest = undecided(links)
     others = rest.select("key", F.col("rep").alias("b"), F.col("c").alias("bc")).join(side("b"), "b")
     minor = outside(rest).select(F.col("key").alias("k"), F.col("rep").alias("a"), F.col("c").alias("ac")).join(side("a"), "a")
     on = (F.col("k") == F.col("key")) & (F.col("ac") != F.col("bc")) & plausible("a", "b", percent)
     more = minor.join(others, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.union(_verified(more, sets, percent))
+    links = links.union(_verified(more, texts, k, percent))
 
     # A class's representative is its smallest id, so a component's smallest representative is its smallest id.
     label = connect(links).withColumnRenamed("node", "rep")
