@@ -12,8 +12,9 @@ symbol (the smallest name of several), known by the name of its context's words.
 1. Every document's anchors go to shared targets in packed blocks; those of two
    or more documents come back.
 2. Documents that have any are parsed again. Windows with such an anchor are
-   verified: a 128-bit hash of their 13 words meets its equals, and windows that
-   also stand in a document with a smaller id come back.
+   verified: a hash and a cryptographic digest (BLAKE2b) of the 13 words' own bytes
+   meet their equals, and windows that also stand in a document with a smaller id
+   come back.
 3. The words of those windows are removed.
 
 A window in two documents has the same anchor in both, so step 1 loses none.
@@ -44,7 +45,6 @@ ROUNDS = 2
 LAST = (1 << 63) - 1
 _RUN = np.uint64(0xA0761D6478BD642F)
 _PAIR = np.uint64(0xE7037ED1A0B428DB)
-_SECOND = np.uint64(0x8EBC6AF09C88C6E3)
 
 
 def recompress(names: np.ndarray, lo: np.ndarray, hi: np.ndarray, last: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
@@ -118,21 +118,29 @@ class Piece:
     def keys(self) -> np.ndarray:
         return anchors(self.words, self.windows, self.hash) if len(self.windows) else self.hash
 
-    def second(self) -> np.ndarray:
-        return window_hash(self.words.hash * _SECOND ^ (self.words.hash >> np.uint64(7)), WINDOW)[self.windows] if len(self.windows) else self.hash
+    def digests(self, data: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """64 bits of a cryptographic digest of the words of the chosen windows, joined by one space. data: the piece's bytes."""
+        w = self.words
+        size = w.end - w.start
+        raw = b" ".join(x for a, b in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True) for x in data[a:b].tobytes().split())
+        at = np.cumsum(size + 1) - (size + 1)
+        one = self.windows[chosen]
+        digest = hashlib.blake2b
+        return np.frombuffer(b"".join(digest(raw[a:b], digest_size=8).digest() for a, b in zip(at[one].tolist(), (at + size)[one + WINDOW - 1].tolist(), strict=True)), np.uint64)
 
 
-def _pieces(b: pa.RecordBatch) -> Iterator[tuple[int, int, Piece]]:
+def _pieces(b: pa.RecordBatch) -> Iterator[tuple[int, int, Piece, np.ndarray]]:
     data, offsets = blocks.buffers(b.column("text"))
     for lo, hi in blocks.pieces(offsets):
-        yield lo, hi, Piece(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        own = data[offsets[lo] : offsets[hi]]
+        yield lo, hi, Piece(own, offsets[lo : hi + 1] - offsets[lo]), own
 
 
 def _ask(targets: int):
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for b in batches:
             ids = b.column("did").to_numpy()
-            for lo, _, p in _pieces(b):
+            for lo, _, p, _ in _pieces(b):
                 keys, doc = p.keys(), p.doc
                 # Equal keys of one document mostly stand together: the rest costs little.
                 new = np.ones(len(keys), bool)
@@ -177,14 +185,14 @@ def _claims(targets: int):
         for b in batches:
             ids = b.column("did").to_numpy()
             shared = b.column("shared").to_pylist()
-            for lo, hi, p in _pieces(b):
+            for lo, hi, p, data in _pieces(b):
                 keys = p.keys()
                 ends = np.searchsorted(p.doc, np.arange(hi - lo + 1))
                 mine = np.zeros(len(keys), bool)
                 for i in range(hi - lo):
                     mine[ends[i] : ends[i + 1]] = blocks.contains(np.sort(np.frombuffer(shared[lo + i], np.uint64)), keys[ends[i] : ends[i + 1]])
                 if mine.any():
-                    held.append((p.hash[mine], p.second()[mine], ids[lo + p.doc[mine]]))
+                    held.append((p.hash[mine], p.digests(data, mine), ids[lo + p.doc[mine]]))
                 if sum(len(x[0]) for x in held) >= blocks.BLOCK_KEYS:
                     yield from close()
         if held:
