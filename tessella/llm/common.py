@@ -67,7 +67,7 @@ def dealt(rows: DataFrame, hot: DataFrame, key: list[str], by: list[str]) -> Dat
     return rows.join(hot, key, "left").withColumn("__part", part).drop("__of")
 
 
-def spread_join(rows: DataFrame, per_key: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+def spread_join(rows: DataFrame, per_key: DataFrame, key: list[str], by: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``per_key``, which has one row per key, its number of rows in n, and is written (``cut``).
 
     A hot key's row is copied to each of the key's parts, and its rows are dealt over
@@ -76,7 +76,14 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: list[str], by: list[st
     hot = hot_keys(per_key, key, per_key.agg(F.sum("n")).first()[0] or 0)
     parts = F.explode(F.sequence(F.lit(0), F.coalesce("__of", F.lit(1)) - 1))
     copied = per_key.drop("n").join(hot, key, "left").withColumn("__part", parts).drop("__of")
-    return dealt(rows, hot, key, by).join(copied, [*key, "__part"]).drop("__part")
+    return dealt(rows, hot, key, by).join(copied, [*key, "__part"], how).drop("__part")
+
+
+def group_join(rows: DataFrame, per_key: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """Every row with what ``per_key`` says of its key: up to MANY keys by broadcast, so that the rows stay where they are; beyond by ``spread_join``."""
+    if per_key.count() <= MANY:
+        return rows.join(F.broadcast(per_key.drop("n")), key, "left")
+    return spread_join(rows, per_key, key, by, "left")
 
 
 def settle(asked: DataFrame, decide, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from tessella.llm.licence_texts import EQUIVALENT, NOTICES, TEXTS
 from tessella.llm.licences import BREAKS, COPYRIGHT_LINE, NEITHER
 from tessella.llm.mixing import CYCLE, MAX_REPEATS
-from tessella.llm.quality import MIN_ROWS, SLACK, SPREAD
+from tessella.llm.quality import FENCES, PRIOR, RATES, SCALE, SPREAD
 
 OP1 = r"""
 WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
@@ -84,21 +84,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - len(kept))::BIGINT AS n_remo
 """
 
 OP9 = """
-WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)::BIGINT) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+s AS (SELECT q.rid, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.rid <> c.rid AND len(q.v) = len(c.v)),
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INT AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 
 def _quality(docs: str) -> str:
-    fences = {
-        k: f"(SELECT {keys} count(*) AS n, " + ", ".join(f"quantile_disc({c}, 0.5) + greatest({SPREAD} * (quantile_disc({c}, 0.5) - quantile_disc({c}, 0.25)), {s}) AS {c}_hi" for c, s in SLACK.items()) + f" FROM sig WHERE NOT base_failed {by})"
-        for k, keys, by in ((0, "lang, source,", "GROUP BY lang, source"), (1, "lang,", "GROUP BY lang"), (2, "", ""))
-    }
-    ok = " AND ".join(f"{c} <= CASE WHEN t0.n >= {MIN_ROWS} THEN t0.{c}_hi WHEN t1.n >= {MIN_ROWS} THEN t1.{c}_hi ELSE t2.{c}_hi END" for c in SLACK)
+    q = lambda c, p: f"quantile_disc({c}, {p})::DOUBLE"
+    own = [f"{q(c, 0.75)} + {SPREAD} * greatest({q(c, 0.75)} - {q(c, 0.5)}, {SCALE}::DOUBLE / {q(base, 0.5)}) AS {c}_hi" for c, (_, base) in RATES.items()]
+    low, mid, high = (q("word_len", p) for p in (0.25, 0.5, 0.75))
+    error = f"{mid} / (2 * sqrt({q('n_words', 0.5)}))"
+    own += [f"{high} + {SPREAD} * greatest({high} - {mid}, {error}) AS word_len_hi", f"{low} - {SPREAD} * greatest({mid} - {low}, {error}) AS word_len_lo"]
+    raw = lambda keys: f"SELECT {keys} count(*) AS n, {', '.join(own)} FROM sig WHERE NOT base_failed " + (f"GROUP BY {keys[:-1]}" if keys else "")
+    blend = ", ".join(f"(o.n * o.{c} + {PRIOR} * w.{c}) / (o.n + {PRIOR}) AS {c}" for c in FENCES)
+    rates = ",\n  ".join(f"CASE WHEN m.{base} > 0 THEN {SCALE} * m.{count} // m.{base} ELSE 0 END AS {c}" for c, (count, base) in RATES.items())
+    ok = " AND ".join(f"{c} <= f.{c}_hi" for c in RATES) + " AND word_len BETWEEN f.word_len_lo AND f.word_len_hi"
     return rf"""
 WITH base AS (SELECT row_number() OVER () AS rid, *, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM {docs}),
@@ -107,18 +111,16 @@ twice AS (SELECT rid, i FROM grams QUALIFY count(*) OVER (PARTITION BY rid, g) >
 rep AS (SELECT rid, count(DISTINCT i + k)::BIGINT AS r FROM twice, (SELECT unnest(range(5)) AS k) GROUP BY rid),
 m AS (SELECT rid, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]'))::BIGINT AS n_symbols,
-  len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM base),
-sig AS (SELECT b.* EXCLUDE (w, lines), m.* EXCLUDE (rid), coalesce(r, 0)::BIGINT AS n_repeat_words,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(list_filter(list_zip(w, w[2:]), lambda x: x[1] = x[2]))::BIGINT AS n_echoes FROM base),
+sig AS (SELECT b.* EXCLUDE (w, lines), m.* EXCLUDE (rid, n_echoes), coalesce(r, 0)::BIGINT AS n_repeat_words,
   (m.n_words < 10 OR 100 * coalesce(r, 0) > 20 * m.n_words) AS base_failed,
-  CASE WHEN m.word_chars > 0 THEN 1000 * m.n_symbols // m.word_chars ELSE 0 END AS symbol_pm,
-  CASE WHEN m.n_lines > 0 THEN 1000 * m.n_dup_lines // m.n_lines ELSE 0 END AS dup_line_pm,
-  CASE WHEN m.n_words > 0 THEN 1000 * coalesce(r, 0)::BIGINT // m.n_words ELSE 0 END AS repeat_pm,
-  CASE WHEN m.n_words > 0 THEN 1000 * len(list_filter(list_zip(b.w, b.w[2:]), lambda x: x[1] = x[2])) // m.n_words ELSE 0 END AS echo_pm,
+  {rates},
   CASE WHEN m.n_words > 0 THEN 100 * m.word_chars // m.n_words ELSE 0 END AS word_len
-  FROM base b JOIN m USING (rid) LEFT JOIN rep USING (rid))
+  FROM base b JOIN m USING (rid) LEFT JOIN rep USING (rid)),
+by_lang AS (SELECT o.lang, {blend} FROM ({raw('lang,')}) o, ({raw('')}) w),
+f AS (SELECT o.lang, o.source, {blend} FROM ({raw('lang, source,')}) o JOIN by_lang w ON o.lang IS NOT DISTINCT FROM w.lang)
 SELECT sig.*, (NOT base_failed AND coalesce({ok}, false)) AS kept FROM sig
-  LEFT JOIN {fences[0]} t0 ON sig.lang IS NOT DISTINCT FROM t0.lang AND sig.source IS NOT DISTINCT FROM t0.source
-  LEFT JOIN {fences[1]} t1 ON sig.lang IS NOT DISTINCT FROM t1.lang, {fences[2]} t2
+  LEFT JOIN f ON sig.lang IS NOT DISTINCT FROM f.lang AND sig.source IS NOT DISTINCT FROM f.source
 """
 
 
