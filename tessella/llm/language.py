@@ -8,7 +8,8 @@ script hardly ever stands. Over a text's words the best labelling is found with
 change of language, so that a span needs some words of evidence.
 
 ``fit`` learns from a sample of about ROWS_PER_LANGUAGE rows of each language,
-drawn by a hash of the id; prediction takes every row.
+drawn by a hash of the id where the rows are; only the sample, whose size does not
+follow the input's, is then dealt to COUNT_TASKS tasks. Prediction takes every row.
 
 Cases: null texts and texts without a letter are ``und`` with score 0 and have
 no spans; rows without lang or text teach nothing; with nothing to learn from
@@ -29,8 +30,10 @@ from tessella.llm import blocks
 from tessella.llm.blocks import Words, mix
 
 ROWS_PER_LANGUAGE = 1500
-#: A model has a table of BUCKETS counts for each.
-MAX_LANGUAGES = 120
+#: A model has a table of BUCKETS numbers for each, 256 kB, and goes to every task: the bound of that broadcast.
+MAX_LANGUAGES = 1000
+#: The tasks that count the sample's grams.
+COUNT_TASKS = 16
 GRAMS = (2, 3, 4)
 BUCKETS = 1 << 16
 SWITCH = 12.0
@@ -100,7 +103,8 @@ class Model:
         self.languages = languages
         p = grams + 0.1
         self.table = np.ascontiguousarray(np.log(p / p.sum(1, keepdims=True)).T.astype(np.float32))
-        self.table -= self.table.mean(1, keepdims=True)
+        if languages:
+            self.table -= self.table.mean(1, keepdims=True)
         share = scripts / np.maximum(scripts.sum(1, keepdims=True), 1)
         fits = share >= SCRIPT_SHARE
         fits[:, ~fits.any(0)] = True  # a script that no language has tells nothing
@@ -121,7 +125,7 @@ class Model:
         live = np.searchsorted(-n[order], -np.arange(1, int(n.max(initial=0)) + 1), "right")  # texts with a word at each step
         start = first[:-1][order]
         stay = np.zeros((len(b.which), len(self.languages)), bool)
-        best = np.zeros(len(b.which), np.int8)
+        best = np.zeros(len(b.which), np.int16)
         now = np.tile(self.prior, (len(order), 1))
         for t, k in enumerate(live.tolist()):
             at = start[:k] + t
@@ -133,7 +137,7 @@ class Model:
                 best[at] = top
                 v = np.maximum(v, change)
             now[:k] = v + score[b.which[at]]
-        out = np.zeros(len(b.which), np.int8)
+        out = np.zeros(len(b.which), np.int16)
         current = now.argmax(1)
         for t in range(len(live) - 1, -1, -1):
             k = int(live[t])
@@ -179,7 +183,7 @@ def fit(rows: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     sample = rows.join(F.broadcast(share), F.col("lang") == F.col("l")).filter(draw < F.col("share")).select("lang", "text")
     schema = "lang string, grams binary, scripts binary, n long"
     # Each task sends one table of fixed size per language; the sum has one row per language.
-    found = sorted(sample.coalesce(16).mapInArrow(_count, schema).groupBy("lang").applyInArrow(_add, schema).collect(), key=lambda r: r["lang"])
+    found = sorted(sample.repartition(COUNT_TASKS).mapInArrow(_count, schema).groupBy("lang").applyInArrow(_add, schema).collect(), key=lambda r: r["lang"])
     array = lambda c, width: np.array([np.frombuffer(r[c], np.int64) for r in found], np.float64).reshape(-1, width)
     return Model([r["lang"] for r in found], array("grams", BUCKETS), array("scripts", len(_NAMES)), np.array([r["n"] for r in found], np.float64))
 
@@ -193,7 +197,7 @@ def _labelled(docs: DataFrame, model: Model, schema: str, columns) -> DataFrame:
             data, offsets = blocks.buffers(b.column("text"))
             for lo, hi in blocks.pieces(offsets, 4 * blocks.PIECE):
                 part = Batch(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                labels = shared.value.label(part) if shared.value.languages else np.zeros(len(part.which), np.int8)
+                labels = shared.value.label(part) if shared.value.languages else np.zeros(len(part.which), np.int16)
                 out = columns(shared.value, part, labels, b.column("lettered").to_numpy(zero_copy_only=False)[lo:hi])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *out.values()], names=["doc_id", *out])
 
