@@ -7,6 +7,11 @@ leading hash bits, the bucket in which the budget ends is looked up, and only
 documents of that bucket go to the next, finer histogram. Only DataFrame
 functions run.
 
+The tables of targets and thresholds have one row per source. They are broadcast
+up to a bound and beyond it joined so that a source's rows are dealt in parts
+(``common.group_join``); histograms meet their source and prefix, of which a hot
+source has many.
+
 Cases: null text counts 0 words; a null source comes last and has a weight like
 others; a null doc_id hashes like an empty string; rows with equal doc_id and
 source share a hash and are taken together; a source without words has target
@@ -19,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm.common import WORD, cut, guarded
+from tessella.llm.common import WORD, cut, group_join, guarded
 
 MAX_REPEATS = 3
 CYCLE = 3
@@ -38,13 +43,13 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def targets(sized: DataFrame) -> DataFrame:
-    """source, source_size, weight, target. There is one row per source, so the windows below see a short table.
+    """source, n (its rows), source_size, weight, target. There is one row per source, so the windows below see a short table.
 
     The weights share all words; a target stops at MAX_REPEATS times its source,
     and the excess is shared again. The fixed point is min(cap, level * weight)
     with one level for all, found from prefix sums over cap / weight.
     """
-    s = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    s = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
     by_name = Window.orderBy(F.col("source").isNull(), F.col("source"))
     s = s.withColumn("weight", ((F.row_number().over(by_name) - 1) % CYCLE + 1).cast("long"))
     s = s.withColumn("cap", MAX_REPEATS * F.col("source_size"))
@@ -59,24 +64,25 @@ def targets(sized: DataFrame) -> DataFrame:
     s = s.withColumns({"w": level["left_words"], "k": level["left_weight"]})
     share = F.col("w") * F.col("weight").cast("double") / F.col("k")
     target = F.when(F.col("w").isNull() | (F.col("cap") <= share), F.col("cap").cast("double")).otherwise(share)
-    return s.select("source", "source_size", "weight", target.alias("target"))
+    return s.select("source", "n", "source_size", "weight", target.alias("target"))
 
 
 def thresholds(slim: DataFrame, goal: DataFrame) -> DataFrame:
-    """source, source_size, target, whole, until: documents with __h < until are taken once more than ``whole`` times.
+    """source, n, source_size, target, whole, until: documents with __h < until are taken once more than ``whole`` times.
 
     The group of equal hashes in which the budget ends is in if that brings the
     sum nearer to the budget.
     """
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    t = goal.select("source", "source_size", "target", whole.alias("whole"))
+    t = goal.select("source", "n", "source_size", "target", whole.alias("whole"))
     t = cut(t.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")))
     at = t.select("source", "rest", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
     rows = slim.select("source", "__h", "size")
     for level in range(LEVELS):
         shift = LEVEL_BITS * (LEVELS - 1 - level)
         here = at.select(F.col("source").alias("s"), "prefix", "below", "rest")
-        rows = rows.join(here.select("s", "prefix"), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("__h", shift + LEVEL_BITS) == F.col("prefix"))).drop("s", "prefix")
+        if level:
+            rows = rows.join(here.select("s", "prefix"), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("__h", shift + LEVEL_BITS) == F.col("prefix"))).drop("s", "prefix")
         hist = rows.groupBy("source", F.shiftright("__h", shift).alias("bucket")).agg(F.sum("size").alias("words"))
         up_to = Window.partitionBy("source").orderBy("bucket")
         hist = hist.withColumn("sum", F.sum("words").over(up_to)).join(here, F.col("source").eqNullSafe(F.col("s")))
@@ -91,11 +97,15 @@ def thresholds(slim: DataFrame, goal: DataFrame) -> DataFrame:
     return t.join(end, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "rest")
 
 
+def _with_thresholds(rows: DataFrame, t: DataFrame) -> DataFrame:
+    t = cut(t.select(F.struct("source").alias("__source"), *[c for c in t.columns if c != "source"]))
+    return group_join(rows.withColumn("__source", F.struct("source")), t, ["__source"], ["__h"]).drop("__source")
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken (words, repeats counted) and copies, one row per input row."""
     slim = cut(sizes(docs).select("doc_id", "source", "size", "__h"))
-    t = thresholds(slim, targets(slim)).withColumnRenamed("source", "s")
-    out = slim.join(t, F.col("source").eqNullSafe(F.col("s")), "left")
+    out = _with_thresholds(slim, thresholds(slim, targets(slim)))
     copies = F.least(F.col("whole") + F.when(F.col("__h") < F.col("until"), 1).otherwise(0), F.lit(MAX_REPEATS))
     return out.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
 
@@ -105,9 +115,9 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
     def stage(docs: DataFrame) -> DataFrame:
         slim = cut(sizes(docs).select("source", "size", "__h"))
-        t = thresholds(slim, targets(slim)).select(F.col("source").alias("__s"), "whole", "until")
-        out = docs.withColumn("__h", doc_hash(F.col("doc_id"))).join(t, F.col("source").eqNullSafe(F.col("__s")))
-        copies = F.least(F.col("whole") + F.when(F.col("__h") < F.col("until"), 1).otherwise(0), F.lit(MAX_REPEATS)).cast("int")
+        t = thresholds(slim, targets(slim)).select("source", "n", F.col("whole").alias("__whole"), F.col("until").alias("__until"))
+        out = _with_thresholds(docs.withColumn("__h", doc_hash(F.col("doc_id"))), t)
+        copies = F.least(F.col("__whole") + F.when(F.col("__h") < F.col("__until"), 1).otherwise(0), F.lit(MAX_REPEATS)).cast("int")
         return out.withColumn("__n", F.explode(F.array_repeat(F.lit(1), copies)))
 
     return guarded(docs, ["doc_id", "source", "text"], stage)
