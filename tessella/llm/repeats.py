@@ -10,11 +10,15 @@ LENGTH bytes are brought together first:
 2. Consecutive windows with one shared anchor are a segment: its bytes go to the
    anchor's bucket. Equal segments are collapsed in their task to the first, and
    again in the bucket; all others are removed whole.
-3. In a bucket the suffixes of the segments that are left are sorted, the common
+3. In a bucket the segments that are left are cut down to runs of windows that
+   occur twice in it, by their hashes: segments that merely share the anchor go no
+   further, whatever their number, and those that differ only around a common passage
+   become equal. Segments linked by common windows form sets, and
+   in each set the suffixes of the segments are sorted, the common
    prefixes of neighbours taken, and the array scanned with a stack: each
    interval of suffixes with a common prefix of at least LENGTH is a node. A
    node whose suffixes have different bytes on their left (or of which one
-   begins its segment) is a maximal repeat of the bucket, and every occurrence
+   begins its run) is a maximal repeat of the bucket, and every occurrence
    is known, not only neighbours. ``repeat_groups`` returns these groups; for
    removal, each suffix gets the longest prefix it shares with an earlier one,
    which is where it stops being first on its way up the tree.
@@ -258,21 +262,91 @@ def _collapsed(rows: list[tuple]) -> tuple[list[list[tuple]], list[tuple]]:
     return out, plain
 
 
+def _numbers(same: list[list[tuple]]) -> np.ndarray:
+    """Bucket number of each list."""
+    keys = np.array([s[0][0] for s in same], np.int64)
+    return np.cumsum(np.append(0, keys[1:] != keys[:-1])) if len(same) else np.zeros(0, np.int64)
+
+
+def _window_hashes(texts: list[bytes]) -> np.ndarray:
+    """Hash of every window of every text, one after the other."""
+    out, lo = [np.zeros(0, np.uint64)], 0
+    while lo < len(texts):
+        hi, size = lo, 0
+        while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= SCAN_BYTES):
+            size += len(texts[hi])
+            hi += 1
+        flat = np.frombuffer(b"".join(texts[lo:hi]), np.uint8)
+        n = np.array([len(t) for t in texts[lo:hi]])
+        g = np.zeros(len(flat) + 1, np.uint64)
+        np.cumsum(BYTE[flat] * powers(len(flat)), out=g[1:])
+        w = n - LENGTH + 1
+        at = np.repeat(np.cumsum(n) - n - (np.cumsum(w) - w), w) + np.arange(w.sum())
+        out.append(mix((g[at + LENGTH] - g[at]) * powers(len(flat), INVERSE)[at]))
+        lo = hi
+    return np.concatenate(out)
+
+
+def _shared_runs(same: list[list[tuple]]) -> Iterator[list[list[tuple]]]:
+    """The runs of windows that occur twice in their bucket, as lists of equal rows by bucket and bytes; sets without a common window apart, several of them at a time.
+
+    The hashes only choose; that windows are equal is seen when their bytes are sorted.
+    """
+    number = _numbers(same)
+    several = np.flatnonzero(np.bincount(number, minlength=1)[number] > 1) if len(number) else np.zeros(0, np.int64)
+    if not len(several):
+        return
+    texts = [same[i][0][5] for i in several]
+    n = np.array([len(t) for t in texts]) - LENGTH + 1
+    owner = np.repeat(np.arange(len(texts)), n)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    order, begin = blocks.groups(_window_hashes(texts) ^ mix(number[several].astype(np.uint64))[owner])
+    times = np.diff(np.append(begin, len(order)))
+    shared = np.zeros(len(order), bool)
+    shared[order] = np.repeat(times > 1, times)
+    if not shared.any():
+        return
+    # Sets: the least segment that can be reached by common windows.
+    label = np.arange(len(texts))
+    while True:
+        least = np.minimum.reduceat(label[owner[order]], begin)
+        new = label.copy()
+        np.minimum.at(new, owner[order], np.repeat(least, times))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    at = np.flatnonzero(shared)
+    first = np.flatnonzero(np.append(True, (owner[at][1:] != owner[at][:-1]) | (place[at][1:] != place[at][:-1] + 1)))
+    last = np.append(first[1:], len(at)) - 1
+    runs: dict[tuple, list[tuple]] = {}
+    for i, a, z in zip(owner[at[first]].tolist(), place[at[first]].tolist(), (place[at[last]] + LENGTH).tolist(), strict=True):
+        part = texts[i][a:z]
+        runs.setdefault((int(label[i]), part), []).extend((r[0], r[1], r[2], r[3] + a, z - a, part) for r in same[several[i]])
+    out, held, now = [], 0, None
+    for (group, part), rows in sorted(runs.items(), key=lambda x: x[0]):
+        if held >= SCAN_BYTES and group != now:
+            yield out
+            out, held = [], 0
+        now = group
+        held += len(part)
+        # Sets, not buckets, are kept apart from here on.
+        out.append(sorted(((group, *r[1:]) for r in rows), key=lambda r: (r[1], r[3])))
+    if out:
+        yield out
+
+
 def _suffixes(same: list[list[tuple]]) -> tuple[Suffixes | None, list[list[tuple]]]:
-    """Of the buckets with several different segments."""
-    number, bucket = 0, []
-    for i, s in enumerate(same):
-        number += i > 0 and s[0][0] != same[i - 1][0][0]
-        bucket.append(number)
-    bucket = np.array(bucket, np.int64)
-    several = np.flatnonzero(np.bincount(bucket, minlength=1)[bucket] > 1) if len(bucket) else []
+    """Of the sets with several different runs."""
+    number = _numbers(same)
+    several = np.flatnonzero(np.bincount(number, minlength=1)[number] > 1) if len(number) else []
     if not len(several):
         return None, []
     rest = [same[i] for i in several]
     place = sorted(range(len(rest)), key=lambda i: (rest[i][0][1], rest[i][0][3]))
     rank = np.empty(len(rest), np.int64)
     rank[place] = np.arange(len(rest))
-    return Suffixes(bucket[several], [s[0][5] for s in rest], rank), rest
+    return Suffixes(number[several], [s[0][5] for s in rest], rank), rest
 
 
 def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,13 +356,16 @@ def _removals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in same:
             first = s[0]
             out += [r[1:5] for r in s[1:] if (r[1], r[3]) != (first[1], first[3])]
-        array, rest = _suffixes(same)
-        if array:
-            segment, offset = array.segment.tolist(), array.offset.tolist()
-            for _, _, common, lost in array.nodes():
-                for i in lost:
-                    r = rest[segment[i]][0]
-                    out.append((r[1], r[2], r[3] + offset[i], common))
+        for runs in _shared_runs([s[:1] for s in same]):
+            for s in runs:
+                out += [r[1:5] for r in s[1:] if (r[1], r[3]) != (s[0][1], s[0][3])]
+            array, rest = _suffixes(runs)
+            if array:
+                segment, offset = array.segment.tolist(), array.offset.tolist()
+                for _, _, common, lost in array.nodes():
+                    for i in lost:
+                        r = rest[segment[i]][0]
+                        out.append((r[1], r[2], r[3] + offset[i], common))
         did, version, start, size = zip(*out, strict=True) if out else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(did, pa.int64()), pa.array(version, pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int32())], names=["did", "version", "start", "size"])
 
@@ -301,12 +378,17 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s) > 1:  # equal segments: a repeat whatever stands around them
                 node += 1
                 out += [(s[0][0], node, len(s[0][5]), r[1], r[3]) for r in s]
-        array, rest = _suffixes(same)
-        if array:
-            for lo, hi, common, _ in array.nodes():
-                node += 1
-                for i in range(lo, hi):
-                    out += [(r[0], node, common, r[1], r[3] + int(array.offset[i])) for r in rest[array.segment[i]]]
+        for runs in _shared_runs(same):
+            for s in runs:
+                if len({r[1:4] for r in s}) > 1:  # runs of several segments, equal once cut down
+                    node += 1
+                    out += [(rows[0][0], node, len(s[0][5]), r[1], r[3]) for r in s]
+            array, rest = _suffixes(runs)
+            if array:
+                for lo, hi, common, _ in array.nodes():
+                    node += 1
+                    for i in range(lo, hi):
+                        out += [(rows[0][0], node, common, r[1], r[3] + int(array.offset[i])) for r in rest[array.segment[i]]]
         columns = list(zip(*out, strict=True)) if out else [()] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["bucket", "node", "length", "doc_id", "start"])
 
