@@ -248,29 +248,26 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ties = cut(member.join(ties, "doc_id").filter("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct())
     links = ties.union(_verified(pairs, texts, k, percent))
 
-    def undecided(links: DataFrame) -> DataFrame:
-        """key, hub, rep, c (component) of the buckets with more than one component."""
+    def undecided(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of the buckets with more than one component: key, hub, rep, c (component), and with first (the hub's component) those outside it, with b and bc drawn from their bucket."""
         label = connect(links).withColumnRenamed("node", "rep")
         of = in_bucket.join(label, "rep", "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("c"))
-        several = of.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("key")
-        return cut(of.join(several, "key", "left_semi"))
-
-    def outside(rest: DataFrame) -> DataFrame:
-        """Of each bucket what is not in the hub's component."""
-        first = rest.filter("rep = hub").select("key", F.col("c").alias("first")).distinct()
-        return rest.join(first, "key").filter("c <> first").drop("first")
-
-    rest = undecided(links)
-    drawn = rest.groupBy("key").agg(F.min_by(F.struct(F.col("rep").alias("b"), F.col("c").alias("bc")), F.xxhash64("rep", "key")).alias("x")).select("key", "x.*")
-    near = outside(rest).join(drawn, "key").filter("c <> bc").select(F.col("rep").alias("a"), "b").distinct()
+        drawn = F.min_by(F.struct(F.col("rep").alias("b"), F.col("c").alias("bc")), F.xxhash64("rep", "key")).alias("x")
+        several = of.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.when(F.col("rep") == F.col("hub"), F.col("c"))).alias("first"), drawn)
+        several = cut(several.filter("lo <> hi").select("key", "n", "first", "x.*"))
+        rest = cut(spread_join(of, several, ["key"], ["rep"]))
+        return rest, rest.filter("c <> first")
+
+    _, outside = undecided(links)
+    near = outside.filter("c <> bc").select(F.col("rep").alias("a"), "b").distinct()
     near = near.join(side("a"), "a").join(side("b"), "b").filter(plausible("a", "b", percent)).select("a", "b", _differ("a", "b", _COLUMNS).alias("differ")).distinct()
     nearest = Window.partitionBy("a").orderBy("differ", "b")
     near = near.withColumn("k", F.row_number().over(nearest)).filter(F.col("k") <= NEAREST).select("a", "b")
     links = links.union(_verified(near, texts, k, percent))
 
-    rest = undecided(links)
+    rest, outside = undecided(links)
     others = rest.select("key", F.col("rep").alias("b"), F.col("c").alias("bc")).join(side("b"), "b")
-    minor = outside(rest).select(F.col("key").alias("k"), F.col("rep").alias("a"), F.col("c").alias("ac")).join(side("a"), "a")
+    minor = outside.select(F.col("key").alias("k"), F.col("rep").alias("a"), F.col("c").alias("ac")).join(side("a"), "a")
     on = (F.col("k") == F.col("key")) & (F.col("ac") != F.col("bc")) & plausible("a", "b", percent)
     more = minor.join(others, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.union(_verified(more, texts, k, percent))
