@@ -4,20 +4,29 @@ from __future__ import annotations
 
 import re
 
+_TOKENS = re.compile(r"\*\*/|/\*\*$|/\*\*(?=/)|\*\*|\*|\?|\{|\}|,|\[[!^]?\]?[^\]/]*\]|\[|[^*?{},/\[]+|/")
 
-def glob_to_regex(glob: str, tree: bool = False) -> str:
+
+def literal(text: str) -> str:
+    """The text as a Java regular expression that matches just it."""
+    return re.sub(r"([\\.^$|()\[\]{}+?*&~#-])", r"\\\1", text)
+
+
+def glob_to_regex(glob: str, tree: bool = False, root: str = "") -> str:
     """A Java regular expression for the whole path.
 
     ``**/`` is any number of directories, ``/**`` everything below, ``*`` and
-    ``?`` stay inside a part and match dots, ``{a,b}`` are alternatives. tree:
-    what lies below a match matches too.
+    ``?`` stay inside a part and match dots, ``{a,b}`` are alternatives, ``[a-c]``
+    is one character of a class and ``[!a-c]`` one outside it. tree: what lies
+    below a match matches too. root: a folder, taken literally, that the glob is
+    relative to.
     """
     out, depth = [], 0
-    for token in re.findall(r"\*\*/|/\*\*$|/\*\*(?=/)|\*\*|\*|\?|\{|\}|,|[^*?{},/]+|/", glob):
+    for token in _TOKENS.findall(glob):
         if token == "**/":
             out.append("(?:.*/)?")
         elif token.startswith("/**"):
-            out.append("/.*" if len(out) + 1 and glob.endswith("/**") and token == "/**" else "(?:/.*)?")
+            out.append("/.*" if glob.endswith("/**") and token == "/**" else "(?:/.*)?")
         elif token == "**":
             out.append(".*")
         elif token in "*?":
@@ -30,11 +39,14 @@ def glob_to_regex(glob: str, tree: bool = False) -> str:
             out.append(")")
         elif token == "," and depth:
             out.append("|")
+        elif len(token) > 2 and token[0] == "[":
+            inside = re.sub(r"([\\\[\]&^])", r"\\\1", token[2:-1] if token[1] in "!^" else token[1:-1])
+            out.append(f"[^/{inside}]" if token[1] in "!^" else f"(?!/)[{inside}]")
         else:
-            out.append(re.sub(r"([\\.^$|()\[\]{}+?*&~#-])", r"\\\1", token))
-    return "^" + "".join(out) + ")" * depth + ("(?:/.*)?" if tree else "") + "$"
+            out.append(literal(token))
+    return "^" + (literal(root) + "/" if root else "") + "".join(out) + ")" * depth + ("(?:/.*)?" if tree else "") + "$"
 
 
-def any_regex(globs: list[str], tree: bool = True) -> str:
+def any_regex(globs: list[str], tree: bool = True, root: str = "") -> str:
     """One alternation for all globs; matches nothing if there are none."""
-    return "|".join(f"(?:{glob_to_regex(g, tree)})" for g in sorted(set(globs))) or "(?!)"
+    return "|".join(f"(?:{glob_to_regex(g, tree, root)})" for g in sorted(set(globs))) or "(?!)"

@@ -2,24 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Extension and kind.
 KINDS = {
-    "c": "method", "cpp": "method", "css": "color", "gif": "media", "go": "method", "h": "method", "html": "keyword", "java": "method",
-    "jpeg": "media", "jpg": "media", "js": "method", "json": "namespace", "md": "markdown", "php": "method", "png": "media", "py": "method",
-    "rb": "method", "rs": "method", "sh": "terminal", "svg": "media", "ts": "method", "xml": "keyword", "yaml": "namespace", "yml": "namespace",
-}
-#: Extensions of binary files, and the usual ones of text files. A longer text list is a parameter.
+    "js": "symbol-method",
+    "ts": "symbol-method",
+    "json": "symbol-namespace",
+    "md": "markdown",
+    "html": "symbol-keyword",
+    "css": "symbol-color",
+    "py": "symbol-method",
+    "java": "symbol-method",
+    "cpp": "symbol-method",
+    "c": "symbol-method",
+    "h": "symbol-method",
+    "rs": "symbol-method",
+    "go": "symbol-method",
+    "rb": "symbol-method",
+    "php": "symbol-method",
+    "sh": "terminal",
+    "yml": "symbol-namespace",
+    "yaml": "symbol-namespace",
+    "xml": "symbol-keyword",
+    "svg": "file-media",
+    "png": "file-media",
+    "jpg": "file-media",
+    "jpeg": "file-media",
+    "gif": "file-media",
+}
+#: Extensions of binary files, and the usual ones of text files. A longer text list is a parameter (``extension_list``).
 BINARY = ["dds", "eot", "gif", "ico", "jar", "jpeg", "jpg", "pdf", "png", "swf", "tga", "ttf", "zip"]
 TEXT = [
-    "Dockerfile", "Makefile", "Rakefile", "bash", "bashrc", "bat", "c", "cfg", "conf", "cpp", "cs", "css", "csv", "diff", "go", "h", "hpp",
-    "htm", "html", "ini", "java", "js", "json", "less", "log", "lua", "markdown", "md", "pl", "php", "properties", "py", "rb", "rs", "scala",
-    "sh", "sql", "svg", "tex", "ts", "tsv", "txt", "xml", "yaml", "yml", "zshrc",
+    "Dockerfile", "Makefile", "Rakefile", "ada", "adb", "ads", "applescript", "as", "asm", "asp", "aspx", "bas", "bash", "bashrc", "bat", "bib",
+    "c", "cc", "cfg", "cgi", "clj", "cls", "cmake", "cmd", "cnf", "coffee", "conf", "cpp", "crt", "cs", "csh", "csr", "css", "csv", "cxx",
+    "dart", "diff", "dockerignore", "dtd", "editorconfig", "ejs", "el", "eml", "erb", "erl", "eslintignore", "eslintrc", "ex", "exs",
+    "f", "f77", "f90", "f95", "fish", "for", "gemrc", "gitattributes", "gitconfig", "gitignore", "gitkeep", "gitmodules", "go", "gradle", "groovy",
+    "h", "haml", "hbs", "hgignore", "hh", "hpp", "hs", "htaccess", "htm", "html", "hxx", "inc", "ini", "ino", "jade", "java", "js", "json", "json5",
+    "jsonld", "jsp", "jsx", "ksh", "less", "lhs", "lisp", "log", "lua", "m", "mak", "map", "markdown", "md", "mdx", "mjs", "mk", "ml", "mli", "mm",
+    "nfo", "njk", "npmignore", "npmrc", "nvmrc", "pas", "patch", "pbxproj", "pch", "pem", "php", "pl", "pm", "pod", "pot", "properties", "props",
+    "pug", "py", "r", "rake", "rb", "rdoc", "resx", "rhtml", "rmd", "ron", "rs", "rss", "rst", "rtf", "s", "sass", "scala", "scm", "scss", "sh",
+    "shtml", "spec", "sql", "strings", "sty", "styl", "svg", "tcl", "tex", "text", "textile", "tmLanguage", "tmpl", "toml", "tpl", "ts", "tsv", "tsx",
+    "txt", "v", "vb", "vbs", "vhd", "vhdl", "vim", "vimrc", "vue", "xaml", "xhtml", "xml", "xsd", "xsl", "xslt", "yaml", "yml", "zsh", "zshrc",
 ]
 
 
+def extension_list(spark: SparkSession, path: str) -> list[str]:
+    """The lines of a text file, one extension each, for ``classify_ext``; blank lines are left out."""
+    return [r["value"].strip() for r in spark.read.text(path).collect() if r["value"].strip()]
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

@@ -12,6 +12,8 @@ from pyspark.sql.types import StringType
 
 WORD = r"[\p{L}\d_]+"
 TERM = r"[\p{L}\p{N}\p{Co}\p{M}]+"
+#: The characters that count as white space, for splitting and trimming.
+SPACE = r"\x{9}-\x{d}\x{20}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 #: BM25 constants.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 GRAM = 3
@@ -59,11 +61,16 @@ def gram_count(text: Column) -> Column:
 
 def query_terms(query: Column) -> Column:
     """Lower-case terms between white space; a leading blank gives an empty term, which every line contains."""
-    return F.transform(F.split(query, r"\s+"), lambda t: F.lower(t))
+    return F.transform(F.split(query, f"[{SPACE}]+"), lambda t: F.lower(t))
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space at both ends: all Unicode spaces, tabs, line ends and the byte order mark."""
+    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def preview(line: Column, n: int = 100) -> Column:
-    return F.trim(F.substring(line, 1, n))
+    return trimmed(F.substring(line, 1, n))
 
 
 def quoted(term: Column) -> Column:
@@ -92,7 +99,7 @@ def bm25(tf: Column, df: Column, n: Column, length: Column, average: Column) ->
 
 def highlight_spans(line: Column, terms: Column) -> Column:
     """[start, end] of every term in the trimmed line, from 0; those of one term do not overlap."""
-    lower = F.lower(F.trim(line))
+    lower = F.lower(trimmed(line))
 
     def of(term: Column) -> Column:
         size = F.length(term)
