@@ -33,31 +33,38 @@ def build_trigrams(docs: DataFrame) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(trigrams(F.col("text")))).alias("gram"), "path")
 
 
+def build_gram_counts(trigram_postings: DataFrame) -> DataFrame:
+    """gram, df: the number of documents that have it."""
+    return trigram_postings.groupBy("gram").agg(F.count("*").alias("df"))
+
+
 def build_lengths(docs: DataFrame) -> DataFrame:
     """path, n_grams: trigrams of each document, repeats counted."""
     return docs.select("path", gram_count(F.col("text")).alias("n_grams"))
 
 
 def delete_paths(index: dict[str, DataFrame], paths: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the rows of these paths; the vocabulary, if there is one, is made anew from what is left of the terms."""
+    """Every table without the rows of these paths; the counts, if they are there, are made anew from what is left of the postings."""
     gone = paths.select("path").distinct()
-    out = {k: t.join(gone, "path", "left_anti").select(*t.columns) for k, t in index.items() if k != "vocab"}
-    if "vocab" in index:
-        out["vocab"] = build_vocab(out["term_posting"])
-    return out
+    return _counted({k: t.join(gone, "path", "left_anti").select(*t.columns) for k, t in index.items() if k not in COUNTS}, index)
+
+
+#: Tables that are sums over another one.
+COUNTS = {"vocab": ("term_posting", build_vocab), "gram_count": ("trigram_posting", build_gram_counts)}
+
+
+def _counted(tables: dict[str, DataFrame], like: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    return tables | {k: count(tables[of]) for k, (of, count) in COUNTS.items() if k in like}
 
 
 def build_index(docs: DataFrame, folded: bool = True) -> dict[str, DataFrame]:
-    """docs: path, mtime, text."""
-    terms = build_term_postings(docs, folded)
-    return {"file": docs.select("path", "mtime"), "text": docs.select("path", "text"), "word_posting": build_postings(docs), "term_posting": terms, "trigram_posting": build_trigrams(docs), "doc_len": build_lengths(docs), "vocab": build_vocab(terms)}
-
-
-def upsert_docs(index: dict[str, DataFrame], docs: DataFrame) -> dict[str, DataFrame]:
-    """The tables with these documents in place of what stood under their paths. Doing it twice changes nothing more."""
-    out = delete_paths({k: v for k, v in index.items() if k != "vocab"}, docs)
-    new = build_index(docs)
-    out = {k: t.unionByName(new[k]) for k, t in out.items()}
-    if "vocab" in index:
-        out["vocab"] = build_vocab(out["term_posting"])
-    return out
+    """docs: path, mtime, text. folded: whether terms lose their diacritics."""
+    terms, grams = build_term_postings(docs, folded), build_trigrams(docs)
+    return {"file": docs.select("path", "mtime"), "text": docs.select("path", "text"), "word_posting": build_postings(docs), "term_posting": terms, "trigram_posting": grams, "doc_len": build_lengths(docs), "vocab": build_vocab(terms), "gram_count": build_gram_counts(grams)}
+
+
+def upsert_docs(index: dict[str, DataFrame], docs: DataFrame, folded: bool = True) -> dict[str, DataFrame]:
+    """The tables with these documents in place of what stood under their paths. Doing it twice changes nothing more. folded: as the index was built."""
+    out = delete_paths({k: v for k, v in index.items() if k not in COUNTS}, docs)
+    new = build_index(docs, folded)
+    return _counted({k: t.unionByName(new[k]) for k, t in out.items()}, index)

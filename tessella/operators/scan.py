@@ -12,11 +12,12 @@ from pyspark.sql.window import Window
 
 from tessella.functions.globs import any_regex
 from tessella.functions.paths import classify_ext
+from tessella.functions.text import trimmed
 
 #: Excluded by default, and names of ignore files.
 DEFAULT_EXCLUDES = [
-    "**/.DS_Store", "**/.git", "**/.git/**", "**/.git/objects/**", "**/.git/subtree-cache/**", "**/.hg", "**/.hg/store/**", "**/.svn",
-    "**/*.code-search", "**/CVS", "**/Thumbs.db", "**/bower_components", "**/node_modules", "**/node_modules/*/**",
+    "**/.DS_Store", "**/.git", "**/.git/objects/**", "**/.git/subtree-cache/**", "**/.hg", "**/.hg/store/**", "**/.svn", "**/*.code-search",
+    "**/bower_components", "**/CVS", "**/node_modules", "**/node_modules/*/**", "**/Thumbs.db", "**/.git/**",
 ]
 IGNORE_FILES = [".gitignore", ".ignore", ".rignore"]
 MAX_SIZE = 20 * 1024 * 1024
@@ -50,21 +51,34 @@ def parse_ignore(lines: DataFrame) -> DataFrame:
     return rows.select("root", "dir", "line_no", F.posexplode(both).alias("variant", "glob"))
 
 
-def cap_ignore(patterns: DataFrame, n: int = MAX_IGNORE) -> DataFrame:
-    """root, dropped, globs: the first n globs of a root, distinct, and how many were left out."""
+def cap_ignore(patterns: DataFrame, n: int = MAX_IGNORE, excludes: DataFrame | None = None) -> DataFrame:
+    """root, dropped, globs: the first n globs of a root with the excludes (glob), each once, and how many were left out."""
     first = Window.partitionBy("root").orderBy("dir", "line_no", "variant")
-    numbered = patterns.withColumn("k", F.row_number().over(first))
-    kept = F.array_sort(F.collect_set(F.when(F.col("k") <= n, F.col("glob"))))
-    return numbered.groupBy("root").agg(F.sum((F.col("k") > n).cast("long")).alias("dropped"), kept.alias("globs"))
+    numbered = patterns.select("root", "glob", F.row_number().over(first).alias("k"))
+    rows = numbered.select("root", F.when(F.col("k") <= n, F.col("glob")).alias("glob"), (F.col("k") > n).cast("long").alias("over"))
+    if excludes is not None:
+        shared = excludes.select("glob").distinct()
+        rows = rows.unionByName(patterns.select("root").distinct().join(F.broadcast(shared), F.lit(True)).select("root", "glob", F.lit(0).cast("long").alias("over")))
+    return rows.groupBy("root").agg(F.sum("over").alias("dropped"), F.array_sort(F.collect_set("glob")).alias("globs"))
+
+
+def _alternations(tree: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            yield pd.DataFrame({"root": df["root"], "rx": [any_regex(list(g), tree, r) for r, g in zip(df["root"], df["globs"], strict=True)]})
+
+    return run
 
 
 def apply_ignore(files: DataFrame, capped: DataFrame, tree: bool = True) -> DataFrame:
-    """The files (root, path) that no glob of their own root matches. A root has at most some thousand globs, so its alternation is built on the driver."""
-    rules = [(r["root"], any_regex([f"{r['root']}/{g}" for g in r["globs"]], tree)) for r in capped.select("root", "globs").toLocalIterator()]
-    hit = F.lit(False)
-    for root, rx in rules:
-        hit = hit | ((F.col("root") == root) & F.col("path").rlike(rx))
-    return files.filter(~hit)
+    """The files (root, path) that no glob of their own root matches.
+
+    Each root's globs, some thousand at most, become one alternation; files meet it by
+    their root, sorted so that an expression is compiled once and not once a file.
+    """
+    rules = capped.select("root", "globs").mapInPandas(_alternations(tree), "root string, rx string")
+    both = files.join(rules, "root", "left").sortWithinPartitions("root")
+    return both.filter(~F.coalesce(F.regexp_like("path", F.col("rx")), F.lit(False))).select(*files.columns)
 
 
 def _edges(b: bytes, begin: int) -> bool:
@@ -122,7 +136,7 @@ def blank_binary(docs: DataFrame, binary: Column) -> DataFrame:
 
 
 def skip_blank_queries(queries: DataFrame) -> DataFrame:
-    return queries.filter(F.trim("query") != "")
+    return queries.filter(trimmed(F.col("query")) != "")
 
 
 def is_ignore_file(path: Column) -> Column:
