@@ -1,41 +1,174 @@
-"""The persisted index: a folder per version, and a pointer to the current one.
+"""The persisted index.
 
-A version is written beside the one that may be being read; then the pointer is
-replaced. A job that fails leaves the pointer alone and may simply run again.
+Every table is dealt to BUCKETS by a hash of the path. A write makes a new version
+of the buckets it touches, in folders of its own, and then adds a line to the
+manifest for each; the latest line of a bucket counts. So readers never see half a
+write, a job that fails leaves the manifest alone and may simply run again, and an
+upsert rewrites the buckets of its paths only. Versions that are older than the
+previous one are removed.
+
+``vocab`` and ``gram_count`` hold partial sums of each bucket and are added up when read.
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tessella.operators import index as ix
+
+#: What each table is sorted by inside a bucket, so that look-ups skip row groups.
+KEYS = {"file": "path", "text": "path", "word_posting": "word", "term_posting": "term", "trigram_posting": "gram", "doc_len": "path", "vocab": "term", "gram_count": "gram"}
+SUMS = {"vocab": {"doc_cnt": "doc_cnt", "cnt": "cnt"}, "gram_count": {"df": "df"}}
+#: For small indexes. A few hundred MB of text a bucket is a good size: give ``write_index`` more of them for more text.
+BUCKETS = 8
+KEPT_VERSIONS = 2
+_MANIFEST = "seq long, bucket int, version string, buckets int, folded boolean"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder that driver and executors share, below spark.checkpoint.dir. Only a local session may do without the setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{shared or tempfile.gettempdir() + '/tessella'}/{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder and read from there: computed once, and not again when an executor is lost."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
+
+
+def _manifest(spark: SparkSession, index_dir: str) -> DataFrame:
+    """The current line of every bucket."""
+    lines = spark.read.schema(_MANIFEST).parquet(f"{index_dir}/manifest")
+    return lines.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("seq")))).filter("k = 1").drop("k")
+
+
+def _folder(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _children(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _folder(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
-#: What each table is clustered by.
-KEYS = {"file": "path", "text": "path", "word_posting": "word", "term_posting": "term", "trigram_posting": "gram", "doc_len": "path", "vocab": "term"}
 
+def _write(table: DataFrame, index_dir: str, name: str, version: str) -> None:
+    """Dealt by bucket, so by path, and sorted by key inside it; so a key that all documents have makes no file larger than another."""
+    table.repartition("bucket").sortWithinPartitions("bucket", KEYS[name]).write.partitionBy("bucket").parquet(f"{index_dir}/{name}/{version}")
 
-def write_index(index: dict[str, DataFrame], index_dir: str) -> str:
-    """Writes every table, clustered and sorted by its key, so that look-ups skip row groups; returns the version."""
-    version = uuid.uuid4().hex
-    for name, table in index.items():
-        key = KEYS[name]
-        table.repartition(key).sortWithinPartitions(key).write.parquet(f"{index_dir}/{version}/{name}")
-    spark = next(iter(index.values())).sparkSession
-    # The pointer is a log: the latest line counts, so readers never find it half replaced.
-    spark.createDataFrame([(version,)], "version string").select("version", F.current_timestamp().alias("at")).coalesce(1).write.mode("append").parquet(f"{index_dir}/current")
+
+def _read(spark: SparkSession, name: str, base: str, *paths: str) -> DataFrame:
+    return spark.read.schema(_SCHEMAS[name] + ", bucket int").option("basePath", base).parquet(*(paths or [base]))
+
+
+def _commit(spark: SparkSession, index_dir: str, touched: list[int], version: str, buckets: int, folded: bool) -> None:
+    seq = (spark.read.schema(_MANIFEST).parquet(f"{index_dir}/manifest").agg(F.max("seq")).first()[0] or 0) if "manifest" in _children(spark, index_dir) else 0
+    spark.createDataFrame([(seq + 1, b, version, buckets, folded) for b in touched], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{index_dir}/manifest")
+
+
+def _clean(spark: SparkSession, index_dir: str) -> None:
+    """Removes the buckets' versions that are neither current nor the one before, which a running reader may still hold."""
+    lines = spark.read.schema(_MANIFEST).parquet(f"{index_dir}/manifest")
+    old = lines.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("seq")))).filter(F.col("k") > KEPT_VERSIONS)
+    for r in old.select("bucket", "version").collect():  # versions of some buckets, not data
+        for name in KEYS:
+            fs, p = _folder(spark, f"{index_dir}/{name}/{r['version']}/bucket={r['bucket']}")
+            fs.delete(p, True)
+
+
+def _tables(spark: SparkSession, index_dir: str, only: list[int] | None = None) -> dict[str, DataFrame]:
+    """The tables as they are stored, with bucket."""
+    buckets: dict[str, list[int]] = {}
+    for r in _manifest(spark, index_dir).collect():
+        if only is None or r["bucket"] in only:
+            buckets.setdefault(r["version"], []).append(r["bucket"])
+    out = {}
+    for name in KEYS:
+        table = spark.createDataFrame([], _SCHEMAS[name] + ", bucket int")
+        for version, own in buckets.items():
+            base = f"{index_dir}/{name}/{version}"
+            held = set(_children(spark, base))  # a bucket may be empty
+            paths = [f"{base}/bucket={b}" for b in own if f"bucket={b}" in held]
+            table = table.unionByName(_read(spark, name, base, *paths)) if paths else table
+        out[name] = table
+    return out
+
+
+_SCHEMAS = {
+    "file": "path string, mtime long", "text": "path string, mtime long, text string", "word_posting": "path string, word string, word_lower string",
+    "term_posting": "path string, term string, n long", "trigram_posting": "gram string, path string", "doc_len": "path string, n_grams long",
+    "vocab": "term string, doc_cnt long, cnt long", "gram_count": "gram string, df long",
+}
+
+
+def _write_counts(spark: SparkSession, index_dir: str, version: str) -> None:
+    """Partial sums of the buckets, from the postings just written."""
+    read = lambda name: _read(spark, name, f"{index_dir}/{name}/{version}")
+    _write(read("term_posting").groupBy("bucket", "term").agg(F.count("*").alias("doc_cnt"), F.sum("n").cast("long").alias("cnt")), index_dir, "vocab", version)
+    _write(read("trigram_posting").groupBy("bucket", "gram").agg(F.count("*").alias("df")), index_dir, "gram_count", version)
+
+
+def write_index(docs: DataFrame, index_dir: str, folded: bool = True, buckets: int = BUCKETS) -> str:
+    """Writes all tables anew from docs (path, mtime, text); returns the version. The texts are written first and the rest is made from them, so docs are read once."""
+    spark, version = docs.sparkSession, uuid.uuid4().hex
+    _write(docs.select("path", "mtime", "text", _bucket(buckets).alias("bucket")), index_dir, "text", version)
+    kept = _read(spark, "text", f"{index_dir}/text/{version}")
+    for name, table in ix.build_index(kept, folded).items():
+        if name not in SUMS and name != "text":
+            _write(table.withColumn("bucket", _bucket(buckets)), index_dir, name, version)
+    _write_counts(spark, index_dir, version)
+    _commit(spark, index_dir, list(range(buckets)), version, buckets, folded)
+    _clean(spark, index_dir)
     return version
 
 
-def current_version(spark: SparkSession, index_dir: str) -> str:
-    return spark.read.parquet(f"{index_dir}/current").orderBy(F.desc("at"), "version").first()["version"]
+def update_index(spark: SparkSession, index_dir: str, docs: DataFrame, gone: DataFrame) -> str | None:
+    """Puts docs (path, mtime, text) in place of what stands under their paths and takes out the paths of ``gone``; only the buckets of these paths are written.
+
+    Returns the version, or None if there was nothing to do. Doing it twice changes nothing more.
+    """
+    line = _manifest(spark, index_dir).select("buckets", "folded").first()
+    docs = materialized(docs.select("path", "mtime", "text"))
+    changed = materialized(docs.select("path").union(gone.select("path")).distinct().withColumn("bucket", _bucket(line["buckets"])))
+    touched = sorted(r["bucket"] for r in changed.select("bucket").distinct().collect())  # at most all bucket numbers
+    if not touched:
+        return None
+    version, old = uuid.uuid4().hex, _tables(spark, index_dir, touched)
+    new = ix.build_index(docs, line["folded"])
+    for name in (n for n in KEYS if n not in SUMS):
+        fresh = docs if name == "text" else new[name]
+        rows = old[name].drop("bucket").join(changed.select("path"), "path", "left_anti").unionByName(fresh)
+        _write(rows.withColumn("bucket", _bucket(line["buckets"])), index_dir, name, version)
+    _write_counts(spark, index_dir, version)
+    _commit(spark, index_dir, touched, version, line["buckets"], line["folded"])
+    _clean(spark, index_dir)
+    return version
 
 
 def read_index(spark: SparkSession, index_dir: str) -> dict[str, DataFrame]:
-    at = f"{index_dir}/{current_version(spark, index_dir)}"
-    return {name: spark.read.parquet(f"{at}/{name}") for name in KEYS}
+    tables = _tables(spark, index_dir)
+    out = {name: t.drop("bucket") for name, t in tables.items()}
+    out["text"] = out["text"].drop("mtime")
+    for name, sums in SUMS.items():
+        out[name] = out[name].groupBy(KEYS[name]).agg(*[F.sum(c).cast("long").alias(c) for c in sums])
+    return out
 
 
 def read_meta(spark: SparkSession, index_dir: str) -> DataFrame:
     """path, mtime of the stored files; no text is read."""
-    return spark.read.parquet(f"{index_dir}/{current_version(spark, index_dir)}/file").select("path", "mtime")
+    return read_index(spark, index_dir)["file"].select("path", "mtime")
