@@ -2,32 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.operators import index as ix
+from tessella.functions.globs import any_regex
+from tessella.operators import scan
 from tessella.operators.diff import diff_changed, diff_deleted
-from tessella.operators.scan import DEFAULT_EXCLUDES, blank_binary, exclude_globs, is_indexable, sniff_binary
-from tessella.sources.files import read_files, to_docs
-from tessella.sources.store import read_index, write_index
+from tessella.sources.files import folders_of, hidden_files, is_hidden, list_roots, qualified, read_files, read_hidden
+from tessella.sources.store import materialized, read_meta, update_index, write_index
 
 
-def create(spark: SparkSession, roots: list[str], index_dir: str, globs: list[str] = DEFAULT_EXCLUDES) -> str:
-    return write_index(ix.build_index(_docs(_listed(spark, roots, globs))), index_dir)
+def create(spark: SparkSession, roots: list[str], index_dir: str, settings: DataFrame | None = None, folded: bool = True) -> str:
+    """settings: source_prio, glob, enabled of the exclude settings, over the defaults."""
+    return write_index(_docs(spark, roots, listing(spark, roots, settings)), index_dir, folded)
 
 
-def refresh(spark: SparkSession, roots: list[str], index_dir: str, globs: list[str] = DEFAULT_EXCLUDES) -> str:
-    index, listed = read_index(spark, index_dir), _listed(spark, roots, globs)
-    meta = listed.select("path", "mtime", "size")
-    changed = diff_changed(meta, index["file"]).select("path")
-    kept = ix.delete_paths(index, diff_deleted(meta, index["file"]).select("path"))
-    return write_index(ix.upsert_docs(kept, _docs(listed.join(changed, "path", "left_semi"))), index_dir)
+def refresh(spark: SparkSession, roots: list[str], index_dir: str, settings: DataFrame | None = None) -> str | None:
+    """The version written, or None if nothing changed."""
+    listed, stored = listing(spark, roots, settings), read_meta(spark, index_dir)
+    return update_index(spark, index_dir, _docs(spark, roots, diff_changed(listed, stored)), diff_deleted(listed, stored))
 
 
-def _listed(spark: SparkSession, roots: list[str], globs: list[str]) -> DataFrame:
-    return is_indexable(exclude_globs(read_files(spark, roots), globs))
+def excludes(spark: SparkSession, settings: DataFrame | None = None) -> DataFrame:
+    """glob: the defaults, as the setting that any other overrides, merged with the settings."""
+    rows = spark.createDataFrame([(-1, g, True) for g in scan.DEFAULT_EXCLUDES], "source_prio int, glob string, enabled boolean")
+    return scan.merge_excludes(rows if settings is None else rows.unionByName(settings.select("source_prio", "glob", "enabled")))
 
 
-def _docs(files: DataFrame) -> DataFrame:
-    docs = to_docs(files).join(files.select("path", sniff_binary(F.col("content")).alias("binary")), "path")
-    return blank_binary(docs, F.col("binary")).select("path", "mtime", "text")
+def scan_files(files: DataFrame, ignore_lines: DataFrame, globs: DataFrame, limit: int = scan.MAX_IGNORE) -> DataFrame:
+    """The files (root, path, size, ...) that neither the exclude globs nor the ignore lines of their root rule out and that may be indexed."""
+    capped = scan.cap_ignore(scan.parse_ignore(ignore_lines), limit, globs)
+    # A root without ignore files has the excludes alone.
+    bare = files.select("root").distinct().join(capped, "root", "left_anti").join(F.broadcast(globs.agg(F.collect_set("glob").alias("globs"))), F.lit(True))
+    return scan.is_indexable(scan.apply_ignore(files, capped.select("root", "globs").unionByName(bare.select("root", "globs"))))
+
+
+def listing(spark: SparkSession, roots: list[str], settings: DataFrame | None = None) -> DataFrame:
+    """root, path, mtime, size of the files to index, written once since the comparison reads it twice. Of nested roots the longest counts."""
+    globs, own = materialized(excludes(spark, settings)), sorted((qualified(spark, r) for r in roots), key=len, reverse=True)
+    found = list_roots([read_files(spark, [r]).select("path", "mtime", "size") for r in own])
+    in_root = lambda r: F.when(F.startswith("path", F.lit(r + "/")), F.lit(r))
+    plain = materialized(found.withColumn("root", F.coalesce(*[in_root(r) for r in own])))
+    top = spark.createDataFrame([(r, r) for r in own], "root string, path string")
+    names = [r["glob"] for r in globs.collect()]  # settings: some hundred
+    skip = "|".join(any_regex(names, True, r) for r in own)
+    hidden = hidden_files(folders_of(plain).union(top).distinct(), skip).groupBy("path").agg(F.max_by(F.struct("root", "mtime", "size"), F.length("root")).alias("x")).select("path", "x.*")
+    files = materialized(plain.unionByName(hidden))
+    return materialized(scan_files(files, ignore_lines(files), globs))
+
+
+def ignore_lines(files: DataFrame) -> DataFrame:
+    """root, dir (relative to the root), line_no, line of the ignore files among the files."""
+    some = files.filter(scan.is_ignore_file(F.col("path")))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    held = read_hidden(some).join(some.select("path", "root"), "path")
+    folder = F.regexp_replace(_below_root(), "/?[^/]*$", "")
+    return held.select("root", folder.alias("dir"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+
+
+def _below_root() -> Column:
+    return F.substring("path", F.length("root") + 2, F.length("path"))
+
+
+def _docs(spark: SparkSession, roots: list[str], files: DataFrame) -> DataFrame:
+    """path, mtime, text of the listed files. Content is read once: decoded and tried for binary bytes in the same step."""
+    seen = files.withColumn("hidden", is_hidden(_below_root()))
+    content = read_files(spark, roots).dropDuplicates(["path"]) if len(roots) > 1 else read_files(spark, roots)
+    wanted = content.join(seen.filter(~F.col("hidden")).select("path"), "path", "left_semi").unionByName(read_hidden(seen.filter("hidden")))
+    text = F.make_valid_utf8(F.col("content").cast("string"))
+    return scan.blank_binary(wanted.select("path", "mtime", text.alias("text"), scan.sniff_binary(F.col("content")).alias("binary")), F.col("binary")).select("path", "mtime", "text")

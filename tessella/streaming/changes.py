@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.window import Window
 
-from tessella.operators import index as ix
-from tessella.operators.scan import exclude_globs, is_ignore_file, is_indexable
-from tessella.sources.store import read_index, write_index
+from tessella.operators.scan import exclude_globs, ignore_file_events, is_indexable
+from tessella.sources.store import update_index
 
 STATE = ["kind", "ts", "event_id", "mtime", "size"]
 
@@ -21,41 +21,66 @@ def latest_per_path(changes: DataFrame) -> DataFrame:
     return changes.groupBy("path").agg(last).select("path", "x.*")
 
 
-def coalesce_bursts(changes: DataFrame, gap: str, late: str | None = None) -> DataFrame:
-    """root, began, ended, n_events, n_paths of every run of events less than ``gap`` apart, over all paths below one top folder.
+def _root(path: str = "path"):
+    return F.regexp_extract(path, "^/?[^/]*", 0)
 
-    late: how far events may come out of order; needed on a stream.
+
+def coalesce_bursts(changes: DataFrame, gap_seconds: int) -> DataFrame:
+    """root, began, ended (a gap after the last event), n_events, n_paths of every run of events less than the gap apart, over all paths below one top folder.
+
+    Events of one root in one slot as long as the gap are always of one run, so runs
+    are found on a row per slot, and events and paths are counted with partial
+    sums: nothing holds all paths or events of a run.
     """
-    changes = changes.withColumn("root", F.regexp_extract("path", "^/?[^/]*", 0))
-    if late:
-        changes = changes.withWatermark("ts", late)
+    slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(gap_seconds * 1_000_000))
+    per_path = changes.withColumn("root", _root()).groupBy("root", slot.alias("slot"), "path").agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    slots = per_path.groupBy("root", "slot").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    in_order = Window.partitionBy("root").orderBy("slot")
+    begins = F.coalesce(F.unix_micros(F.col("lo").cast("timestamp")) - F.lag(F.unix_micros(F.col("hi").cast("timestamp"))).over(in_order) >= gap_seconds * 1_000_000, F.lit(True))
+    runs = slots.withColumn("begins", begins).withColumn("run", F.sum(F.col("begins").cast("long")).over(in_order.rowsBetween(Window.unboundedPreceding, 0))).select("root", "slot", "run")
+    # A path counts once in a run, in however many of its slots it stands.
+    paths = per_path.join(runs, ["root", "slot"]).groupBy("root", "run", "path").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    out = paths.groupBy("root", "run").agg(F.min("lo").alias("began"), F.max("hi").alias("hi"), F.sum("n").cast("long").alias("n_events"), F.count("*").alias("n_paths"))
+    return out.select("root", "began", (F.col("hi") + F.make_interval(secs=F.lit(gap_seconds))).alias("ended"), "n_events", "n_paths")
+
+
+def stream_bursts(changes: DataFrame, gap: str, late: str) -> DataFrame:
+    """``coalesce_bursts`` on a stream whose events come out of order by at most ``late``. The state holds the paths of the open runs only."""
+    changes = changes.withColumn("root", _root()).withWatermark("ts", late)
     runs = changes.groupBy("root", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_events"), F.size(F.collect_set("path")).cast("long").alias("n_paths"))
     return runs.select("root", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n_events", "n_paths")
 
 
-def apply_changes(changes: DataFrame, index_dir: str, load: Callable[[DataFrame], DataFrame], globs: list[str], checkpoint: str, rescan: Callable[[], None] | None = None, once: bool = True) -> StreamingQuery:
+def follow(changes: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
+    writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+
+
+def rescan_requests(changes: DataFrame) -> DataFrame:
+    """path, event_id, ts, kind: the last event of each ignore file, which asks for a full scan."""
+    return latest_per_path(ignore_file_events(changes)).select("path", "event_id", "ts", "kind")
+
+
+def apply_changes(changes: DataFrame, index_dir: str, load: Callable[[DataFrame], DataFrame], globs: list[str], checkpoint: str, rescan: Callable[[DataFrame], None] | None = None, once: bool = True) -> StreamingQuery:
     """Follows a streaming table of changes.
 
     In each batch the last event of a path counts. Deleted paths leave the
     index; created and changed ones that no glob excludes (by their exact path)
-    and that may be indexed are loaded and replaced. load(changes) gives path,
-    mtime, text. A change of an ignore file calls ``rescan``. A batch that runs
-    again gives the same index.
+    and that may be indexed are loaded and replaced; only the buckets of these
+    paths are written. load(changes) gives path, mtime, text. ``rescan`` gets the
+    batch's ``rescan_requests`` if there are any. A batch that runs again gives the same index.
     """
 
     def batch(df: DataFrame, _: int) -> None:
         last = latest_per_path(df).persist()
         try:
-            if rescan and not last.filter(is_ignore_file(F.col("path"))).isEmpty():
-                rescan()
+            asked = rescan_requests(last)
+            if rescan and not asked.isEmpty():
+                rescan(asked)
             gone = last.filter(F.col("kind") == "delete").select("path")
             fresh = is_indexable(exclude_globs(last.filter(F.col("kind") != "delete"), globs, tree=False))
-            if last.isEmpty():
-                return
-            index = ix.delete_paths(read_index(df.sparkSession, index_dir), gone)
-            write_index(ix.upsert_docs(index, load(fresh)), index_dir)
+            update_index(df.sparkSession, index_dir, load(fresh), gone)
         finally:
             last.unpersist()
 
-    writer = changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+    return follow(changes, batch, checkpoint, once)
