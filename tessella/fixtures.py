@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.text import words
+from tessella.functions.text import SPACE, words
 
 EPOCH = 1704067200
 EXTENSIONS = ["txt", "md", "py", "png", "dat", "txt.gz", "TXT", "pdf", "json", "jpg.bak"]
@@ -77,6 +77,8 @@ def as_changes(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.concat(F.lit("/ws/u/"), name).alias("path"), kind.alias("kind"), "ts", F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long").alias("mtime"), (F.col("event_id") % 1000).alias("size"))
 
 
+#: What ``trimmed`` does.
+sql_trim = lambda x: f"regexp_replace({x}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
 _list = lambda xs: "[" + ", ".join("'" + x.replace("\r", "' || chr(13) || '") + "'" for x in xs) + "]"
 _WORDS = r"regexp_extract_all({}, '[\p{{L}}\d_]+')"
 #: Common table expressions by view.
@@ -96,7 +98,7 @@ SQL = {
     "vocab": "vocab AS (SELECT term, count(*)::BIGINT AS doc_cnt, sum(n)::BIGINT AS cnt FROM term_posting GROUP BY term)",
     "lower_vocab": "lower_vocab AS (SELECT term, count(*)::BIGINT AS doc_cnt, sum(n)::BIGINT AS cnt FROM lower_posting GROUP BY term)",
     "doc_len": "doc_len AS (SELECT path, greatest(length(lower(text))-2, 0)::BIGINT AS n_grams FROM files)",
-    "split": r"split AS (SELECT query_id, list_transform(regexp_split_to_array(query, '\s+'), lambda t: lower(t)) AS terms FROM queries WHERE trim(query) <> '')",
+    "split": f"split AS (SELECT query_id, list_transform(regexp_split_to_array(query, '[{SPACE}]+'), lambda t: lower(t)) AS terms FROM queries WHERE {sql_trim('query')} <> '')",
     "long_terms": "long_terms AS (SELECT query_id, term, count(*)::BIGINT AS times FROM (SELECT query_id, unnest(terms) AS term FROM split) WHERE length(term)>=3 GROUP BY ALL)",
     # Overlapping occurrences: step to one character behind the last one found.
     "term_files": """held AS MATERIALIZED (SELECT t.term, f.path, lower(f.text) AS low FROM (SELECT DISTINCT term FROM long_terms) t JOIN files f ON contains(lower(f.text), t.term)),
@@ -109,11 +111,11 @@ ranked AS MATERIALIZED (SELECT query_id, path, rank, row_number() OVER (PARTITIO
   (SELECT query_id, path, round(sum(share), 6) AS rank, count(*) AS found FROM shares GROUP BY ALL) JOIN (SELECT query_id, count(*) AS wanted FROM long_terms GROUP BY ALL) USING (query_id) WHERE found = wanted
   QUALIFY file_rank <= {limit})""",
     "lines": """all_lines AS (SELECT path, unnest(range(1, len(l)+1))::INT AS line_number, unnest(l) AS line FROM (SELECT path, string_split(text, chr(10)) AS l FROM files)),
-lines AS (SELECT r.query_id, r.file_rank, r.path, a.line_number, trim(left(a.line, 100)) AS line_text FROM ranked r JOIN split s USING (query_id) JOIN all_lines a ON a.path = r.path
+lines AS (SELECT r.query_id, r.file_rank, r.path, a.line_number, """ + sql_trim("left(a.line, 100)") + """ AS line_text FROM ranked r JOIN split s USING (query_id) JOIN all_lines a ON a.path = r.path
   WHERE a.line <> '' AND len(list_filter(s.terms, lambda t: contains(lower(a.line), t))) = len(s.terms)),
 capped AS (SELECT * FROM lines QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY file_rank, line_number) <= {limit})""",
 }
 
 
-def with_views(*names: str, **values: int) -> str:
-    return "WITH RECURSIVE " + ",\n".join(SQL[n].format(**values) if values and n in ("ranked", "lines") else SQL[n] for n in names) + "\n"
+def with_views(*names: str, limit: int = 0) -> str:
+    return "WITH RECURSIVE " + ",\n".join(SQL[n].replace("{limit}", str(limit)) for n in names) + "\n"

@@ -2,27 +2,26 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella import fixtures as v
-from tessella.fixtures import with_views
+from tessella.fixtures import sql_trim, with_views
 from tessella.functions import paths as p
 from tessella.functions import text as t
+from tessella.jobs import refresh
 from tessella.jobs.search import search
 from tessella.operators import diff, index, lookup, scan
 from tessella.operators import search as s
-from tessella.sources.files import list_roots, mtime_seconds
-from tessella.sources.store import read_index, read_meta, write_index
+from tessella.sources.files import CHANGES, list_roots, mtime_seconds, read_changes, read_files, to_docs
+from tessella.sources.store import read_index, read_meta, shared_dir, update_index, write_index
 from tessella.streaming import changes as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: Small limits show the caps at work on small tables.
-LIMIT, FEW = 200, 5
+LIMIT, FEW = s.MAX_MATCHES, lookup.MAX_PATHS
 
 
 def query(sql: str | None = None):
@@ -35,9 +34,16 @@ def query(sql: str | None = None):
     return register
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, or in /tmp where that is unset."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/tessella'}/{uuid.uuid4().hex}"
+_INDEXES: dict[tuple[str, ...], str] = {}
+
+
+def persisted(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The index of the files, written when first asked for in a session: it is made once and searched many times."""
+    at = _INDEXES.get((spark.sparkContext.applicationId, d))
+    if at is None:
+        at = _INDEXES[spark.sparkContext.applicationId, d] = shared_dir(spark)
+        write_index(v.files(spark, d).select("path", "mtime", "text"), at)
+    return read_index(spark, at)
 
 
 # Filters
@@ -63,12 +69,12 @@ def parse_ignore(spark, d):
     return scan.parse_ignore(v.ignore_lines(spark, d))
 
 
-_CAPPED = f"{_PARSED}, capped AS (SELECT root, (count(*) FILTER (k > {FEW}))::BIGINT AS dropped, list_sort(list(DISTINCT \"glob\") FILTER (k <= {FEW})) AS globs FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY dir, line_no, variant) AS k FROM parsed) GROUP BY root)"
+_CAPPED = f"{_PARSED}, capped AS (SELECT root, (count(*) FILTER (k > {scan.MAX_IGNORE}))::BIGINT AS dropped, list_sort(list(DISTINCT \"glob\") FILTER (k <= {scan.MAX_IGNORE})) AS globs FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY dir, line_no, variant) AS k FROM parsed) GROUP BY root)"
 
 
 @query(with_views("ignore_lines") + f", {_CAPPED} SELECT root, dropped, array_to_string(globs, ' ') AS globs FROM capped")
 def cap_ignore(spark, d):
-    return scan.cap_ignore(scan.parse_ignore(v.ignore_lines(spark, d)), FEW).withColumn("globs", F.array_join("globs", " "))
+    return scan.cap_ignore(scan.parse_ignore(v.ignore_lines(spark, d))).withColumn("globs", F.array_join("globs", " "))
 
 
 # Of the lines in the view only *.dat and de/*.md can meet a file; the cap is above the lines of a root.
@@ -95,14 +101,37 @@ def classify_ext(spark, d):
     return v.files(spark, d).select("path", p.classify_ext(F.col("path")).alias("kind"))
 
 
-@query()
+@query(with_views("files") + "SELECT path, doc_id % 4 IN (1, 3) AS binary FROM files")
 def sniff_binary(spark, d):
-    return v.files(spark, d).select("path", scan.sniff_binary(F.col("text").cast("binary")).alias("binary"))
+    """A null byte at the start, one behind the first window of a text that is long enough, and a byte that is no UTF-8."""
+    plain, k = F.col("text").cast("binary"), F.col("doc_id") % 4
+    between = (k == 2) & (F.octet_length("text") > 300)
+    behind = F.concat(F.repeat(F.lit("x"), F.lit(30)), F.lit("\0"), F.repeat(F.lit("y"), F.lit(60)), F.lit(" "), "text").cast("binary")
+    content = F.when(k == 1, F.concat(F.lit("\0"), "text").cast("binary")).when(k == 3, F.concat(F.unhex(F.lit("FF")), plain)).when(between, behind).otherwise(plain)
+    return v.files(spark, d).select("path", content.alias("content")).select("path", scan.sniff_binary(F.col("content")).alias("binary"))
 
 
-@query(with_views("files") + f"SELECT path, size FROM files WHERE {_KIND} <> 'binary' AND size > 0 AND size < 20000")
+@query(with_views("files") + f"SELECT path, size FROM files WHERE {_KIND} <> 'binary' AND size > 0 AND size < {scan.MAX_SIZE}")
 def is_indexable(spark, d):
-    return scan.is_indexable(v.files(spark, d).select("path", "size"), 20_000)
+    return scan.is_indexable(v.files(spark, d).select("path", "size"))
+
+
+@query(
+    with_views("files", "settings", "ignore_lines")
+    + """, below AS (SELECT '/ws' AS root, substr(root, 5)||CASE WHEN dir = '' THEN '' ELSE '/'||dir END AS dir, line_no, line FROM ignore_lines), """
+    + _PARSED.replace("FROM ignore_lines", "FROM below")
+    + f""", capped AS (SELECT DISTINCT dir, "glob" FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY dir, line_no, variant) AS k FROM parsed) WHERE k <= {scan.MAX_IGNORE}),
+merged AS (SELECT "glob" FROM (SELECT "glob", arg_max(enabled, source_prio * 2 + enabled::INT) AS enabled FROM settings GROUP BY "glob") WHERE enabled)
+SELECT path, size FROM files WHERE NOT EXISTS (SELECT 1 FROM capped WHERE ("glob" = dir||'/**/*.dat' AND starts_with(path, '/ws/'||dir||'/') AND ends_with(path, '.dat'))
+    OR ("glob" = dir||'/de/*.md' AND starts_with(path, '/ws/'||dir||'/de/') AND ends_with(path, '.md')))
+  AND NOT EXISTS (SELECT 1 FROM merged WHERE "glob" = '**/'||source||'/'||lang) AND size > 0 AND size < {scan.MAX_SIZE} AND {_KIND} <> 'binary'"""
+)
+def scan_with_ignore(spark, d):
+    """What a full scan of the root /ws lists: excludes from the settings, capped ignore lines, and files that may be indexed."""
+    files = v.files(spark, d).select(F.lit("/ws").alias("root"), "path", "size")
+    lines = v.ignore_lines(spark, d)
+    lines = lines.select(F.lit("/ws").alias("root"), F.concat_ws("/", F.substring("root", 5, 1 << 30), F.when(F.col("dir") != "", F.col("dir"))).alias("dir"), "line_no", "line")
+    return refresh.scan_files(files, lines, refresh.excludes(spark, v.settings(spark, d))).select("path", "size")
 
 
 @query(with_views("files") + f"SELECT path, md5(CASE WHEN {_KIND} = 'binary' THEN '' ELSE text END) AS text_md5 FROM files")
@@ -116,10 +145,11 @@ def mtime_of_events(spark, d):
     return v.table(spark, d, "events").select("event_id", mtime_seconds(F.col("ts")).alias("mtime"))
 
 
-@query("SELECT doc_id AS query_id FROM documents WHERE trim(split_part(text, chr(10), 2)) <> ''")
+@query(f"SELECT doc_id, k::INT AS line_number FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)) WHERE {sql_trim('l[k]')} <> ''")
 def skip_blank_queries(spark, d):
-    q = v.table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.split_part("text", F.lit("\n"), F.lit(2)).alias("query"))
-    return scan.skip_blank_queries(q).select("query_id")
+    """Every line of every document as a query."""
+    lines = v.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "query"))
+    return scan.skip_blank_queries(lines).select("doc_id", (F.col("at") + 1).alias("line_number"))
 
 
 @query(with_views("changes") + "SELECT event_id, path FROM changes WHERE ends_with(path, '/.gitignore')")
@@ -179,16 +209,15 @@ def build_vocab_unfolded(spark, d):
     return index.build_vocab(index.build_term_postings(v.files(spark, d), folded=False))
 
 
-@query()
+_GRAMS = """, grams AS (SELECT path, a||b||c AS gram FROM (SELECT path, unnest(x) AS a, unnest(list_concat(x[2:], [NULL])) AS b, unnest(list_concat(x[3:], [NULL, NULL])) AS c FROM (SELECT path, regexp_extract_all(lower(text), '(?s).') AS x FROM files)))"""
+
+
+@query(with_views("files") + _GRAMS + " SELECT DISTINCT gram, path FROM grams WHERE gram IS NOT NULL")
 def build_trigrams(spark, d):
     return index.build_trigrams(v.files(spark, d))
 
 
-@query(
-    with_views("files")
-    + """, cut AS (SELECT path, lower(text) AS low FROM files)
-SELECT gram, count(DISTINCT path)::BIGINT AS df, count(*)::BIGINT AS cnt FROM (SELECT path, a||b||c AS gram FROM (SELECT path, unnest(x) AS a, unnest(list_concat(x[2:], [NULL])) AS b, unnest(list_concat(x[3:], [NULL, NULL])) AS c FROM (SELECT path, regexp_extract_all(low, '(?s).') AS x FROM cut))) WHERE gram IS NOT NULL GROUP BY gram"""
-)
+@query(with_views("files") + _GRAMS + " SELECT gram, count(DISTINCT path)::BIGINT AS df, count(*)::BIGINT AS cnt FROM grams WHERE gram IS NOT NULL GROUP BY gram")
 def trigram_counts(spark, d):
     per = v.files(spark, d).select("path", F.explode(t.trigrams(F.col("text"))).alias("gram")).groupBy("gram", "path").agg(F.count("*").alias("n"))
     return per.groupBy("gram").agg(F.count("*").alias("df"), F.sum("n").cast("long").alias("cnt"))
@@ -216,18 +245,51 @@ def upsert_docs(spark, d):
 @query(with_views("files", "term_posting", "vocab") + "SELECT * FROM vocab")
 def persisted_index(spark, d):
     """The vocabulary of the written index."""
-    at = shared_dir(spark)
-    write_index(index.build_index(v.files(spark, d).select("path", "mtime", "text")), at)
-    return read_index(spark, at)["vocab"]
+    return persisted(spark, d)["vocab"]
 
 
 @query(with_views("files") + "SELECT path, mtime FROM files")
 def persisted_meta(spark, d):
     at = shared_dir(spark)
-    write_index({"file": v.files(spark, d).select("path", "mtime")}, at)
+    write_index(v.files(spark, d).select("path", "mtime", "text"), at)
     return read_meta(spark, at)
 
 
+@query(with_views("files", "term_posting", "vocab").replace("FROM files) GROUP BY ALL", "FROM (SELECT path, CASE WHEN doc_id % 3 = 0 THEN text||' Neu neu' ELSE text END AS text FROM files WHERE doc_id % 5 <> 0)) GROUP BY ALL") + "SELECT * FROM vocab")
+def updated_index(spark, d):
+    """The vocabulary of a written index after an update in place: some texts are replaced, some paths are gone."""
+    at, f = shared_dir(spark), v.files(spark, d)
+    write_index(f.select("path", "mtime", "text"), at)
+    new = f.filter("doc_id % 3 = 0 AND doc_id % 5 <> 0").select("path", "mtime", F.concat("text", F.lit(" Neu neu")).alias("text"))
+    update_index(spark, at, new, f.filter("doc_id % 5 = 0").select("path"))
+    return read_index(spark, at)["vocab"]
+
+
+def _as_files(spark, d) -> str:
+    """The documents as text files, one for each source and language."""
+    at = shared_dir(spark)
+    docs = v.table(spark, d, "documents").select("source", "lang", "doc_id", "text").repartition("source", "lang").sortWithinPartitions("source", "lang", "doc_id")
+    docs.drop("doc_id").write.partitionBy("source", "lang").text(at)
+    return at
+
+
+@query("SELECT source, lang, sum(strlen(text) + 1)::BIGINT AS size FROM documents GROUP BY ALL")
+def read_files_listing(spark, d):
+    """Sizes in a listing of written files; no content is read."""
+    files = read_files(spark, [_as_files(spark, d)], "*.txt")
+    return files.select(*_in_path(), "size").groupBy("source", "lang").agg(F.sum("size").alias("size"))
+
+
+@query("SELECT source, lang, md5(string_agg(text||chr(10), '' ORDER BY doc_id)) AS text_md5 FROM documents GROUP BY ALL")
+def files_to_docs(spark, d):
+    """Decoded content of written files."""
+    return to_docs(read_files(spark, [_as_files(spark, d)], "*.txt")).select(*_in_path(), F.md5("text").alias("text_md5"))
+
+
+def _in_path():
+    return [F.regexp_extract("path", rf"/{c}=([^/]*)/", 1).alias(c) for c in ("source", "lang")]
+
+
 # Look-ups
 
 
@@ -259,7 +321,7 @@ def complete_unfolded(spark, d):
 @query(
     with_views("files", "word_posting", "lookup_words")
     + """, l AS (SELECT path, unnest(range(1, len(x)+1))::INT AS line_number, unnest(x) AS line FROM (SELECT path, string_split(text, chr(10)) AS x FROM files))
-SELECT word, path, line_number, trim(left(line, 100)) AS line_text FROM word_posting JOIN lookup_words USING (word) JOIN l USING (path) WHERE contains(lower(line), lower(word))"""
+SELECT word, path, line_number, """ + sql_trim("left(line, 100)") + f""" AS line_text FROM (SELECT word, path FROM word_posting JOIN lookup_words USING (word) QUALIFY row_number() OVER (PARTITION BY word ORDER BY path) <= {FEW}) JOIN l USING (path) WHERE contains(lower(line), lower(word))"""
 )
 def definitions(spark, d):
     f = v.files(spark, d)
@@ -271,34 +333,26 @@ def definitions(spark, d):
 _SEARCH = ("files", "queries", "split", "long_terms", "doc_len", "term_files", "stats", "ranked")
 
 
-def _files_of(spark, d, postings: bool, limit: int = LIMIT):
-    f = v.files(spark, d)
-    return s.search_files(v.queries(spark, d), f, index.build_lengths(f), index.build_trigrams(f) if postings else None, limit)
-
-
 @query(with_views(*_SEARCH, limit=LIMIT) + "SELECT query_id, path, rank, file_rank FROM ranked")
 def search_files(spark, d):
-    return _files_of(spark, d, True)
+    return s.search_files(v.queries(spark, d), persisted(spark, d))
 
 
-@query(with_views(*_SEARCH, limit=LIMIT).replace("FROM benchmark)", "FROM benchmark WHERE item_id < 20)") + "SELECT query_id, path, rank, file_rank FROM ranked")
+@query(ORACLES["search_files"])
 def search_files_by_scan(spark, d):
     f = v.files(spark, d)
-    return s.search_files(v.queries(spark, d).filter("query_id < 20"), f, index.build_lengths(f), None, LIMIT)
+    return s.search_files_by_scan(v.queries(spark, d), f, index.build_lengths(f))
 
 
 @query(with_views(*_SEARCH[:-1]) + "SELECT term, df, n, round(average, 6) AS average FROM stats")
 def rank_stats(spark, d):
-    f = v.files(spark, d)
-    terms = s._long_terms(s.split_queries(v.queries(spark, d)))
-    return s.rank_stats(s.term_files_by_postings(terms, f, index.build_trigrams(f)), index.build_lengths(f)).withColumn("average", F.round("average", 6))
+    return s.rank_stats(term_freq(spark, d), persisted(spark, d)["doc_len"]).withColumn("average", F.round("average", 6))
 
 
 @query(with_views(*_SEARCH, "lines", limit=LIMIT) + "SELECT query_id, file_rank, path, line_number, line_text FROM capped")
 def search_lines(spark, d):
     """The flagship: rank, cap files, match lines, cap lines."""
-    f = v.files(spark, d)
-    return search(v.queries(spark, d), f, index.build_trigrams(f), LIMIT)
+    return search(v.queries(spark, d), persisted(spark, d))
 
 
 @query(with_views(*_SEARCH, "lines", limit=LIMIT) + "SELECT query_id, file_rank, path, count(*)::BIGINT AS n, array_to_string(list(line_number::VARCHAR ORDER BY line_number), ' ') AS numbers FROM capped GROUP BY ALL")
@@ -309,7 +363,7 @@ def group_matches(spark, d):
 
 @query(with_views(*_SEARCH, "lines", limit=LIMIT) + f"SELECT query_id, count(*)::BIGINT AS total, count(DISTINCT path)::BIGINT AS n_files, count(*) >= {LIMIT} AS has_more FROM capped GROUP BY query_id")
 def result_summary(spark, d):
-    return s.result_summary(search_lines(spark, d), LIMIT)
+    return s.result_summary(search_lines(spark, d))
 
 
 @query(with_views("files") + "SELECT path, k::INT AS line_number, md5(l[k]) AS line_md5 FROM (SELECT path, l, unnest(range(1, len(l)+1)) AS k FROM (SELECT path, string_split(text, chr(10)) AS l FROM files)) WHERE l[k] <> ''")
@@ -318,16 +372,19 @@ def number_lines(spark, d):
 
 
 @query(
-    """WITH RECURSIVE b AS (SELECT item_id, trim(split_part(text, chr(10), 1)) AS line, list_distinct(list_transform(regexp_split_to_array(text, '\\s+')[1:3], lambda x: lower(x))) AS terms FROM benchmark),
-o(item_id, term, low, pos) AS (SELECT item_id, term, low, instr(low, term) - 1 FROM (SELECT item_id, unnest(terms) AS term, lower(line) AS low FROM b) WHERE term <> '' AND instr(low, term) > 0
-  UNION ALL SELECT item_id, term, low, pos + length(term) + instr(substr(low, pos + length(term) + 1), term) - 1 FROM o WHERE instr(substr(low, pos + length(term) + 1), term) > 0)
-SELECT item_id, pos::INT AS "start", (pos + length(term))::INT AS "end" FROM o"""
+    with_views("files", "queries", "split")
+    + f""", line AS (SELECT path, k::INT AS line_number, {sql_trim('l[k]')} AS line FROM (SELECT path, l, unnest(range(1, len(l)+1)) AS k FROM (SELECT path, string_split(text, chr(10)) AS l FROM files))),
+hit AS (SELECT query_id, path, line_number, lower(line) AS low, unnest(list_distinct(terms)) AS term FROM line JOIN split ON len(list_filter(terms, lambda t: contains(lower(line), t))) = len(terms)),
+o(query_id, path, line_number, term, low, pos) AS (SELECT query_id, path, line_number, term, low, instr(low, term) - 1 FROM hit WHERE term <> ''
+  UNION ALL SELECT query_id, path, line_number, term, low, pos + length(term) + instr(substr(low, pos + length(term) + 1), term) - 1 FROM o WHERE instr(substr(low, pos + length(term) + 1), term) > 0)
+SELECT query_id, path, line_number, pos::INT AS "start", (pos + length(term))::INT AS "end" FROM o"""
 )
 def highlight_spans(spark, d):
-    b = v.table(spark, d, "benchmark")
-    terms = F.transform(F.slice(F.split("text", r"\s+"), 1, 3), lambda x: F.lower(x))
-    spans = t.highlight_spans(F.split_part("text", F.lit("\n"), F.lit(1)), terms)
-    return b.select("item_id", F.explode(spans).alias("x")).select("item_id", "x.start", "x.end")
+    """In every line of every document, the terms of every query that the line holds as a whole."""
+    blocks = s.split_queries(v.queries(spark, d)).select("query_id", "terms")
+    lines = s.number_lines(v.files(spark, d)).join(F.broadcast(blocks), s.has_all(F.col("line"), F.col("terms")))
+    spans = t.highlight_spans(F.col("line"), F.col("terms"))
+    return lines.select("query_id", "path", "line_number", F.explode(spans).alias("x")).select("query_id", "path", "line_number", "x.start", "x.end")
 
 
 # Functions
@@ -348,15 +405,14 @@ def query_terms(spark, d):
     return s.split_queries(v.queries(spark, d)).select("query_id", F.array_join("terms", "|").alias("terms"))
 
 
-@query("SELECT doc_id, trim(left(text, 100)) AS preview FROM documents")
+@query(f"SELECT doc_id, {sql_trim('left(text, 100)')} AS preview FROM documents")
 def preview(spark, d):
     return v.table(spark, d, "documents").select("doc_id", t.preview(F.col("text")).alias("preview"))
 
 
 @query(with_views(*_SEARCH[:-2]) + "SELECT term, path, tf FROM term_files")
 def term_freq(spark, d):
-    f = v.files(spark, d)
-    return s.term_files_by_postings(s._long_terms(s.split_queries(v.queries(spark, d))), f, index.build_trigrams(f))
+    return s.term_files_by_postings(s.long_terms(s.split_queries(v.queries(spark, d))), persisted(spark, d)).select("term", "path", "tf")
 
 
 @query(
@@ -406,16 +462,70 @@ r AS (SELECT *, sum(new) OVER (ORDER BY ts, event_id) AS run FROM m)
 SELECT min(ts) AS began, max(ts) + INTERVAL 10 MINUTE AS ended, count(*)::BIGINT AS n_events, count(DISTINCT path)::BIGINT AS n_paths FROM r GROUP BY run"""
 )
 def coalesce_bursts(spark, d):
-    return st.coalesce_bursts(v.changes(spark, d), "10 minutes").drop("root")
+    return st.coalesce_bursts(v.changes(spark, d), 600).drop("root")
+
+
+def _feed(spark, d) -> DataFrame:
+    """The changes as a stream over the folder of the events table."""
+    return v.as_changes(spark.readStream.schema(v.table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]"))
 
 
 @query(ORACLES["latest_per_path"])
 def stream_latest(spark, d):
-    """The end state of the running table over a stream of the same events."""
-    schema = v.table(spark, d, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{d}/events.parque[t]")
-    name = f"latest_{uuid.uuid4().hex[:8]}"
-    sink = st.latest_per_path(v.as_changes(stream)).writeStream.outputMode("complete").format("memory").queryName(name)
-    run = sink.option("checkpointLocation", shared_dir(spark)).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+    """The end state of the running table over a stream of the same events. Each batch writes the rows that changed; the last of a path counts."""
+    at = shared_dir(spark)
+    write = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{at}/out/n={n}")
+    sink = st.latest_per_path(_feed(spark, d)).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{at}/state")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{at}/out").drop("n")
+    return rows.groupBy("path").agg(F.max_by(F.struct(*st.STATE), "batch").alias("x")).select("path", "x.*")
+
+
+@query(with_views("changes") + "SELECT event_id, path, kind, ts, mtime, size FROM changes")
+def read_change_feed(spark, d):
+    """What arrives from a written feed of changes."""
+    at = shared_dir(spark)
+    v.changes(spark, d).select(*[c.split()[0] for c in CHANGES.split(", ")]).write.parquet(f"{at}/feed")
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/n={n}")
+    st.follow(read_changes(spark, f"{at}/feed"), write, f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("n")
+
+
+def _followed(spark, d) -> tuple[str, str]:
+    """Folders of an index of the files that followed the changes, and of the scans that were asked for. A changed path holds the text of the document of its number."""
+    key = (spark.sparkContext.applicationId, d, "followed")
+    if at := _INDEXES.get(key):
+        return f"{at}/index", f"{at}/asked"
+    at = _INDEXES[key] = shared_dir(spark)
+    texts = v.table(spark, d, "documents").select(F.concat(F.lit("/ws/u/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "text")
+    write_index(v.files(spark, d).select("path", "mtime", "text").unionByName(texts.select("path", F.lit(0).cast("long").alias("mtime"), F.lit("old").alias("text"))), f"{at}/index")
+    load = lambda c: c.select("path", "mtime").join(texts, "path", "left").select("path", "mtime", F.coalesce("text", F.lit("")).alias("text"))
+    rescan = lambda asked: asked.write.mode("append").parquet(f"{at}/asked")
+    st.apply_changes(_feed(spark, d), f"{at}/index", load, ["**/.gitignore"], f"{at}/state", rescan).awaitTermination()
+    return f"{at}/index", f"{at}/asked"
+
+
+_LAST = """, last AS (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, event_id DESC) = 1),
+begun AS (SELECT path, mtime, text FROM files UNION ALL SELECT '/ws/u/'||doc_id||'.txt', 0, 'old' FROM documents),
+fresh AS (SELECT l.path, l.mtime, coalesce(d.text, '') AS text FROM last l LEFT JOIN documents d ON l.path = '/ws/u/'||d.doc_id||'.txt' WHERE kind <> 'delete' AND size > 0 AND NOT ends_with(l.path, '/.gitignore'))"""
+
+
+@query(with_views("files", "changes") + _LAST + " SELECT path, mtime, md5(text) AS text_md5 FROM fresh")
+def stream_upsert(spark, d):
+    """The changed documents as they stand in the index after the stream."""
+    at, _ = _followed(spark, d)
+    kept = read_index(spark, at)
+    last = st.latest_per_path(v.changes(spark, d)).filter("kind <> 'delete' AND size > 0").select("path")
+    return kept["file"].join(kept["text"], "path").join(last, "path", "left_semi").select("path", "mtime", F.md5("text").alias("text_md5"))
+
+
+@query(with_views("files", "changes") + _LAST + " SELECT path, mtime FROM (SELECT path, mtime FROM begun WHERE path NOT IN (SELECT path FROM fresh) UNION ALL SELECT path, mtime FROM fresh) WHERE path NOT IN (SELECT path FROM last WHERE kind = 'delete')")
+def stream_delete(spark, d):
+    """All files of the index after the stream: deleted ones are gone."""
+    return read_meta(spark, _followed(spark, d)[0])
+
+
+@query(with_views("files", "changes") + _LAST + " SELECT path, event_id, ts, kind FROM last WHERE ends_with(path, '/.gitignore')")
+def stream_rescan_flag(spark, d):
+    """The scans that changes of ignore files ask for."""
+    return spark.read.parquet(_followed(spark, d)[1])
