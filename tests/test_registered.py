@@ -17,10 +17,8 @@ def test_query(spark, sf_dir, name):
     assert rows == want
 
 
-def test_without_sql(spark, sf_dir):
-    assert own.QUERIES["sniff_binary"](spark, sf_dir).filter("binary").count() == 0
-    grams = own.QUERIES["build_trigrams"](spark, sf_dir)
-    assert grams.count() == own.QUERIES["trigram_counts"](spark, sf_dir).selectExpr("sum(df)").first()[0]
+def test_all_have_sql():
+    assert set(own.QUERIES) == set(own.ORACLES)
 
 
 def test_entry(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella.jobs import refresh
 from tessella.operators import index as ix
 from tessella.sources.files import read_files, to_docs
-from tessella.sources.store import read_index, read_meta, write_index
+from tessella.sources.store import read_index, read_meta, update_index, write_index
 from tessella.streaming import changes as st
 
 
@@ -37,6 +37,44 @@ def test_upsert_and_delete(spark):
     assert same(ix.delete_paths(full, gone), ix.build_index(docs(spark, a="one two two", c="Été four", d="two")))
 
 
+def test_unfolded_stays_unfolded(spark, tmp_path):
+    first, new = docs(spark, a="foo_bar café"), docs(spark, b="Foo_bar Été", a="naïve foo_bar")
+    want = ix.build_index(docs(spark, a="naïve foo_bar", b="Foo_bar Été"), folded=False)
+    assert same(ix.upsert_docs(ix.build_index(first, folded=False), new, folded=False), want)
+    write_index(first, str(tmp_path / "i"), folded=False)
+    update_index(spark, str(tmp_path / "i"), new, new.filter("false"))
+    assert {r["term"] for r in read_index(spark, str(tmp_path / "i"))["vocab"].collect()} == {"naïve", "foo_bar", "été"}
+
+
+def tree(at):
+    return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(at) for f in fs if f.endswith(".parquet") and "manifest" not in d}
+
+
+def test_update_in_place(spark, tmp_path):
+    """Only the buckets of the changed paths are written, older versions go, and the result is that of a full build."""
+    at, texts = str(tmp_path / "index"), {f"p{i}": f"text number {i} of many" for i in range(60)}
+    write_index(docs(spark, **texts), at)
+    before = tree(at)
+    update_index(spark, at, docs(spark, p7="other words"), spark.createDataFrame([("p9",), ("nobody",)], "path string"))
+    after = tree(at)
+    assert all(after[f] == m for f, m in before.items())  # the version before stays for its readers
+    written = {f.split("bucket=")[1].split("/")[0] for f in after if f not in before}
+    assert 1 <= len(written) <= 3
+    texts["p7"] = "other words"
+    del texts["p9"]
+    assert same(read_index(spark, at), ix.build_index(docs(spark, **texts)))
+    for i in range(2):
+        update_index(spark, at, docs(spark, p7=f"again {i}"), spark.createDataFrame([], "path string"))
+    # Of p7's bucket the current version and the one before are left.
+    bucket = next(iter({f.split("bucket=")[1].split("/")[0] for f in tree(at) if f not in after and f not in before}))
+    assert len({f.split("/text/")[1].split("/")[0] for f in tree(at) if "/text/" in f and f"bucket={bucket}/" in f}) == 2
+    texts["p7"] = "again 1"
+    assert same(read_index(spark, at), ix.build_index(docs(spark, **texts)))
+    assert update_index(spark, at, docs(spark, x="y").filter("false"), spark.createDataFrame([], "path string")) is None
+    update_index(spark, at, docs(spark, x="y").filter("false"), docs(spark, **texts))
+    assert all(t.count() == 0 for t in read_index(spark, at).values())
+
+
 def write(path, content, mtime):
     os.makedirs(os.path.dirname(path), exist_ok=True)
     with open(path, "wb") as f:
@@ -66,6 +104,33 @@ def test_refresh(spark, tmp_path):
     assert same(kept, read_index(spark, fresh))
 
 
+def test_refresh_with_ignore_files(spark, tmp_path):
+    root, other, at = str(tmp_path / "w{s}"), str(tmp_path / "w{s}" / "nested"), str(tmp_path / "index")
+    write(f"{root}/.gitignore", b"*.log\r\n# no\n/top.txt\nbuild/\n", 1)
+    write(f"{root}/sub/.ignore", b"*.py[cod]\n", 1)
+    write(f"{root}/node_modules/.gitignore", b"*\n", 1)  # excluded itself
+    for name in ("a.txt", "a.log", "top.txt", "sub/top.txt", "sub/b.pyc", "b.pyc", "build/c.txt", "sub/build/d.txt", "node_modules/e.txt", "kept.tmp", "nested/n.txt", "nested/n.log", "pkg/__init__.py", ".git/config", ".github/w/x.yml"):
+        write(f"{root}/{name}", b"words of " + name.encode(), 5)
+    settings = spark.createDataFrame([(1, "**/kept.tmp", True), (0, "**/a.txt", True), (3, "**/a.txt", False)], "source_prio int, glob string, enabled boolean")
+    refresh.create(spark, [root], at, settings)
+    names = lambda: sorted(r["path"].split("w%7Bs%7D/")[-1].split("w{s}/")[-1] for r in read_meta(spark, at).collect())
+    assert names() == [".github/w/x.yml", ".gitignore", "a.txt", "b.pyc", "nested/n.txt", "pkg/__init__.py", "sub/.ignore", "sub/top.txt"]
+    write(f"{root}/.gitignore", b"*.txt\n", 2)
+    assert refresh.refresh(spark, [root], at, settings)
+    assert names() == [".github/w/x.yml", ".gitignore", "a.log", "b.pyc", "nested/n.log", "pkg/__init__.py", "sub/.ignore"]
+    assert refresh.refresh(spark, [root], at, settings) is None
+    # A nested root goes by its own ignore files.
+    refresh.refresh(spark, [root, other], at, settings)
+    assert names() == [".github/w/x.yml", ".gitignore", "a.log", "b.pyc", "nested/n.log", "nested/n.txt", "pkg/__init__.py", "sub/.ignore"]
+
+
+def test_content_is_read_once(spark, tmp_path):
+    write(f"{tmp_path}/x/a.txt", b"abc", 5)
+    root = str(tmp_path / "x")
+    plan = refresh._docs(spark, [root], refresh.listing(spark, [root]))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan binaryFile") == 1
+
+
 def test_listing_reads_no_content(spark, tmp_path):
     write(f"{tmp_path}/x/a.txt", b"abc", 5)
     meta = read_files(spark, [str(tmp_path / "x")]).select("path", "size")
@@ -81,7 +146,7 @@ def events(spark, rows):
 
 def test_stream(spark, tmp_path):
     at, feed = str(tmp_path / "index"), str(tmp_path / "feed")
-    write_index(ix.build_index(docs(spark, **{"/w/a.txt": "old a", "/w/b.txt": "old b", "/w/c.txt": "old c"})), at)
+    write_index(docs(spark, **{"/w/a.txt": "old a", "/w/b.txt": "old b", "/w/c.txt": "old c"}), at)
     day = "2024-01-01 00:00:0"
     first = [(1, "/w/a.txt", "change", f"{day}1", 5, 9), (2, "/w/b.txt", "delete", f"{day}2", 0, 0), (3, "/w/x.png", "create", f"{day}2", 5, 9), (4, "/w/.gitignore", "change", f"{day}3", 5, 0), (5, "/w/skip/y.txt", "create", f"{day}3", 5, 9), (6, "/w/d.txt", "delete", f"{day}1", 0, 0), (7, "/w/d.txt", "create", f"{day}1", 6, 9)]
     events(spark, first).coalesce(1).write.parquet(feed)
@@ -89,11 +154,11 @@ def test_stream(spark, tmp_path):
     load = lambda c: c.select("path", "mtime", F.concat(F.lit("new "), "path").alias("text"))
     from tessella.sources.files import read_changes
 
-    run = lambda: st.apply_changes(read_changes(spark, feed), at, load, ["/w/skip/*"], str(tmp_path / "check"), lambda: asked.append(1)).awaitTermination()
+    run = lambda: st.apply_changes(read_changes(spark, feed), at, load, ["/w/skip/*"], str(tmp_path / "check"), lambda df: asked.append([r["path"] for r in df.collect()])).awaitTermination()
     run()
     text = {r["path"]: r["text"] for r in read_index(spark, at)["text"].collect()}
     assert text == {"/w/a.txt": "new /w/a.txt", "/w/c.txt": "old c", "/w/d.txt": "new /w/d.txt"}
-    assert asked == [1]
+    assert asked == [["/w/.gitignore"]]
     time.sleep(1)
     events(spark, [(8, "/w/a.txt", "delete", f"{day}9", 0, 0)]).coalesce(1).write.mode("append").parquet(feed)
     run()
@@ -106,8 +171,8 @@ def test_bursts_on_a_stream(spark, tmp_path):
     events(spark, rows).coalesce(1).write.parquet(feed)
     from tessella.sources.files import read_changes
 
-    bursts = st.coalesce_bursts(read_changes(spark, feed), "5 seconds", late="1 second")
-    query = bursts.writeStream.format("memory").queryName("bursts").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = sorted((r["n_events"], r["n_paths"]) for r in spark.table("bursts").collect())
+    bursts = st.stream_bursts(read_changes(spark, feed), "5 seconds", late="1 second")
+    write_ = lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/n={n}")
+    st.follow(bursts, write_, str(tmp_path / "c")).awaitTermination()
+    got = sorted((r["n_events"], r["n_paths"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [(2, 2), (3, 2)]  # the last one stays open
