@@ -19,6 +19,15 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 GRAM = 3
 
 
+def exploded(df: DataFrame, keep: list[str], array: Column, name: str) -> DataFrame:
+    """The columns ``keep`` and ``name``, a row for each element.
+
+    By the outer explode: before a plain one Spark puts a filter on the array's
+    size, which evaluates it a second time.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def words(text: Column) -> Column:
     """All runs of letters, ASCII digits and underscores, in order."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD})"), F.lit(0))
@@ -78,16 +87,21 @@ def quoted(term: Column) -> Column:
     return F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
-def term_freq(low: Column, term: Column) -> Column:
+def ends_as_it_begins(term: Column) -> Column:
+    """Whether occurrences of the term can overlap."""
+    n = F.length(term)
+    return F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (i < n) & (F.substring(term, F.lit(1), i) == F.substring(term, n - i + 1, i)))
+
+
+def term_freq(low: Column, term: Column, overlaps: Column | None = None) -> Column:
     """Occurrences of a term in a text, both in lower case, overlapping ones too.
 
-    Occurrences can overlap only if the term begins as it ends; others are
-    counted by taking them out, which is much faster than a look-ahead.
+    Where they cannot overlap they are counted by taking them out, which is much
+    faster than a look-ahead. overlaps: ``ends_as_it_begins``, if it is known.
     """
-    n = F.length(term)
-    ends_as_it_begins = F.exists(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: (i < n) & (F.substring(term, F.lit(1), i) == F.substring(term, n - i + 1, i)))
-    apart = F.floor((F.length(low) - F.length(F.replace(low, term, F.lit("")))) / n)
-    return F.when(ends_as_it_begins, F.regexp_count(low, F.concat(F.lit("(?="), quoted(term), F.lit(")")))).otherwise(apart).cast("long")
+    apart = F.floor((F.length(low) - F.length(F.replace(low, term, F.lit("")))) / F.length(term))
+    ahead = F.regexp_count(low, F.concat(F.lit("(?="), quoted(term), F.lit(")")))
+    return F.when(ends_as_it_begins(term) if overlaps is None else overlaps, ahead).otherwise(apart).cast("long")
 
 
 def bm25(tf: Column, df: Column, n: Column, length: Column, average: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import fold, gram_count, raw_terms, trigrams, words
+from tessella.functions.text import exploded, fold, gram_count, raw_terms, trigrams, words
 
 MIN_WORD = 3
 
@@ -13,13 +13,13 @@ MIN_WORD = 3
 def build_postings(docs: DataFrame) -> DataFrame:
     """path, word, word_lower: the distinct words of each document, from three characters. Distinct inside the row, so nothing is shuffled."""
     own = F.filter(F.array_distinct(words(F.col("text"))), lambda w: F.length(w) >= MIN_WORD)
-    return docs.select("path", F.explode(own).alias("word")).withColumn("word_lower", F.lower("word"))
+    return exploded(docs, ["path"], own, "word").withColumn("word_lower", F.lower("word"))
 
 
 def build_term_postings(docs: DataFrame, folded: bool = True) -> DataFrame:
     """path, term, n. folded: terms without diacritics; otherwise lower-case words of three characters or more."""
     own = raw_terms(F.col("text")) if folded else F.filter(F.transform(words(F.col("text")), lambda w: F.lower(w)), lambda w: F.length(w) >= MIN_WORD)
-    n = docs.select("path", F.explode(own).alias("term")).groupBy("path", "term").agg(F.count("*").alias("n"))
+    n = exploded(docs, ["path"], own, "term").groupBy("path", "term").agg(F.count("*").alias("n"))
     return fold(n, "term").groupBy("path", "term").agg(F.sum("n").alias("n")) if folded else n
 
 
@@ -30,7 +30,7 @@ def build_vocab(term_postings: DataFrame) -> DataFrame:
 
 def build_trigrams(docs: DataFrame) -> DataFrame:
     """gram, path: distinct in each document."""
-    return docs.select(F.explode(F.array_distinct(trigrams(F.col("text")))).alias("gram"), "path")
+    return exploded(docs, ["path"], F.array_distinct(trigrams(F.col("text"))), "gram").select("gram", "path")
 
 
 def build_gram_counts(trigram_postings: DataFrame) -> DataFrame:

@@ -295,12 +295,12 @@ def _in_path():
 
 @query(with_views("files", "word_posting", "lookup_words") + f"SELECT word, path FROM word_posting JOIN lookup_words USING (word) QUALIFY row_number() OVER (PARTITION BY word ORDER BY path) <= {FEW}")
 def paths_by_word(spark, d):
-    return lookup.paths_by_word(v.lookup_words(spark, d), index.build_postings(v.files(spark, d)), FEW)
+    return lookup.paths_by_word(v.lookup_words(spark, d), persisted(spark, d)["word_posting"])
 
 
 @query(with_views("files", "word_posting", "lookup_words") + f"SELECT word, least(count(DISTINCT path), {FEW})::BIGINT AS n_files, count(DISTINCT path) >= {FEW} AS or_more FROM word_posting JOIN lookup_words USING (word) GROUP BY word")
 def word_file_count(spark, d):
-    return lookup.word_file_count(v.lookup_words(spark, d), index.build_postings(v.files(spark, d)), FEW)
+    return lookup.word_file_count(v.lookup_words(spark, d), persisted(spark, d)["word_posting"])
 
 
 _COMPLETE = "SELECT prefix, word, max(cnt)::BIGINT AS cnt, row_number() OVER (PARTITION BY prefix ORDER BY max(cnt) DESC, word)::INT AS k FROM prefixes JOIN {} ON starts_with(term, lower(prefix)) JOIN (SELECT DISTINCT word, word_lower FROM word_posting) ON word_lower = term GROUP BY prefix, word QUALIFY k <= 2000"
@@ -308,8 +308,8 @@ _COMPLETE = "SELECT prefix, word, max(cnt)::BIGINT AS cnt, row_number() OVER (PA
 
 @query(with_views("files", "word_posting", "term_posting", "vocab", "prefixes") + _COMPLETE.format("vocab"))
 def complete(spark, d):
-    f = v.files(spark, d)
-    return lookup.complete(v.prefixes(spark, d), index.build_vocab(index.build_term_postings(f)), index.build_postings(f))
+    ix = persisted(spark, d)
+    return lookup.complete(v.prefixes(spark, d), ix["vocab"], ix["word_posting"])
 
 
 @query(with_views("files", "word_posting", "lower_posting", "lower_vocab", "prefixes") + _COMPLETE.format("lower_vocab"))
@@ -324,8 +324,8 @@ def complete_unfolded(spark, d):
 SELECT word, path, line_number, """ + sql_trim("left(line, 100)") + f""" AS line_text FROM (SELECT word, path FROM word_posting JOIN lookup_words USING (word) QUALIFY row_number() OVER (PARTITION BY word ORDER BY path) <= {FEW}) JOIN l USING (path) WHERE contains(lower(line), lower(word))"""
 )
 def definitions(spark, d):
-    f = v.files(spark, d)
-    return lookup.definitions(v.lookup_words(spark, d), index.build_postings(f), f)
+    ix = persisted(spark, d)
+    return lookup.definitions(v.lookup_words(spark, d), ix["word_posting"], ix["text"])
 
 
 # Search

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,9 +68,9 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def _write(table: DataFrame, index_dir: str, name: str, version: str) -> None:
-    """Dealt by bucket, so by path, and sorted by key inside it; so a key that all documents have makes no file larger than another."""
-    table.repartition("bucket").sortWithinPartitions("bucket", KEYS[name]).write.partitionBy("bucket").parquet(f"{index_dir}/{name}/{version}")
+def _write(table: DataFrame, index_dir: str, name: str, version: str, buckets: int) -> None:
+    """A task for each bucket, so dealt by path, and sorted by key inside it; so a key that all documents have makes no file larger than another."""
+    table.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", KEYS[name]).write.partitionBy("bucket").parquet(f"{index_dir}/{name}/{version}")
 
 
 def _read(spark: SparkSession, name: str, base: str, *paths: str) -> DataFrame:
@@ -116,22 +117,28 @@ _SCHEMAS = {
 }
 
 
-def _write_counts(spark: SparkSession, index_dir: str, version: str) -> None:
+def _write_all(tables: dict[str, DataFrame], index_dir: str, version: str, buckets: int) -> None:
+    """Several at a time, so that the tail of one does not hold up the next."""
+    with ThreadPoolExecutor(4) as pool:
+        for done in [pool.submit(_write, t.withColumn("bucket", _bucket(buckets)), index_dir, name, version, buckets) for name, t in tables.items()]:
+            done.result()
+
+
+def _write_counts(spark: SparkSession, index_dir: str, version: str, buckets: int) -> None:
     """Partial sums of the buckets, from the postings just written."""
     read = lambda name: _read(spark, name, f"{index_dir}/{name}/{version}")
-    _write(read("term_posting").groupBy("bucket", "term").agg(F.count("*").alias("doc_cnt"), F.sum("n").cast("long").alias("cnt")), index_dir, "vocab", version)
-    _write(read("trigram_posting").groupBy("bucket", "gram").agg(F.count("*").alias("df")), index_dir, "gram_count", version)
+    _write(read("term_posting").groupBy("bucket", "term").agg(F.count("*").alias("doc_cnt"), F.sum("n").cast("long").alias("cnt")), index_dir, "vocab", version, buckets)
+    _write(read("trigram_posting").groupBy("bucket", "gram").agg(F.count("*").alias("df")), index_dir, "gram_count", version, buckets)
 
 
 def write_index(docs: DataFrame, index_dir: str, folded: bool = True, buckets: int = BUCKETS) -> str:
     """Writes all tables anew from docs (path, mtime, text); returns the version. The texts are written first and the rest is made from them, so docs are read once."""
     spark, version = docs.sparkSession, uuid.uuid4().hex
-    _write(docs.select("path", "mtime", "text", _bucket(buckets).alias("bucket")), index_dir, "text", version)
+    _write_all({"text": docs.select("path", "mtime", "text")}, index_dir, version, buckets)
     kept = _read(spark, "text", f"{index_dir}/text/{version}")
-    for name, table in ix.build_index(kept, folded).items():
-        if name not in SUMS and name != "text":
-            _write(table.withColumn("bucket", _bucket(buckets)), index_dir, name, version)
-    _write_counts(spark, index_dir, version)
+    tables = ix.build_index(kept, folded)
+    _write_all({name: t for name, t in tables.items() if name not in SUMS and name != "text"}, index_dir, version, buckets)
+    _write_counts(spark, index_dir, version, buckets)
     _commit(spark, index_dir, list(range(buckets)), version, buckets, folded)
     _clean(spark, index_dir)
     return version
@@ -150,11 +157,9 @@ def update_index(spark: SparkSession, index_dir: str, docs: DataFrame, gone: Dat
         return None
     version, old = uuid.uuid4().hex, _tables(spark, index_dir, touched)
     new = ix.build_index(docs, line["folded"])
-    for name in (n for n in KEYS if n not in SUMS):
-        fresh = docs if name == "text" else new[name]
-        rows = old[name].drop("bucket").join(changed.select("path"), "path", "left_anti").unionByName(fresh)
-        _write(rows.withColumn("bucket", _bucket(line["buckets"])), index_dir, name, version)
-    _write_counts(spark, index_dir, version)
+    stays = {name: old[name].drop("bucket").join(changed.select("path"), "path", "left_anti") for name in KEYS if name not in SUMS}
+    _write_all({name: t.unionByName(docs if name == "text" else new[name]) for name, t in stays.items()}, index_dir, version, line["buckets"])
+    _write_counts(spark, index_dir, version, line["buckets"])
     _commit(spark, index_dir, touched, version, line["buckets"], line["folded"])
     _clean(spark, index_dir)
     return version
