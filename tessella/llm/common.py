@@ -50,19 +50,27 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def hot_keys(counts: DataFrame, key: list[str], rows: int) -> DataFrame:
-    """The key columns and __of, the number of parts in which a key's rows are dealt, for the keys with very many rows.
+def tidy(spark: SparkSession) -> None:
+    """Lets go of broadcasts, shuffles and plans of finished steps, as Spark does now and then by itself; a job of very many steps would fill the driver's heap with them."""
+    spark.sparkContext._jvm.java.lang.System.gc()
 
-    counts: the key columns and n, its rows; rows: of all keys. The bound rises
-    with the input: no more than MANY keys can have more than a MANY-th of all
-    rows, so this table may always be broadcast.
+
+def hot_keys(counts: DataFrame, key: list[str]) -> DataFrame | None:
+    """The key columns and __of, the number of parts in which a key's rows are dealt, for the keys with very many rows; None if there are none.
+
+    counts: the key columns and n, its rows. The bound rises with the input: no
+    more than MANY keys can have more than a MANY-th of all rows, so this table may
+    always be broadcast.
     """
+    rows, top = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     hot = max(HOT_ROWS, rows // MANY)
-    return F.broadcast(counts.filter(F.col("n") > hot).select(*key, (F.floor(F.col("n") / hot) + 1).cast("int").alias("__of")))
+    return F.broadcast(counts.filter(F.col("n") > hot).select(*key, (F.floor(F.col("n") / hot) + 1).cast("int").alias("__of"))) if top > hot else None
 
 
-def dealt(rows: DataFrame, hot: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+def dealt(rows: DataFrame, hot: DataFrame | None, key: list[str], by: list[str]) -> DataFrame:
     """The rows with __part: 0, or for a hot key one of its parts, by the hash of the columns ``by``."""
+    if hot is None:
+        return rows.withColumn("__part", F.lit(0))
     part = F.pmod(F.xxhash64(*by), F.coalesce("__of", F.lit(1)).cast("long")).cast("int")
     return rows.join(hot, key, "left").withColumn("__part", part).drop("__of")
 
@@ -73,7 +81,9 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: list[str], by: list[st
     A hot key's row is copied to each of the key's parts, and its rows are dealt over
     them by ``by``: no task gets all rows of one key.
     """
-    hot = hot_keys(per_key, key, per_key.agg(F.sum("n")).first()[0] or 0)
+    hot = hot_keys(per_key, key)
+    if hot is None:
+        return rows.join(per_key.drop("n"), key, how)
     parts = F.explode(F.sequence(F.lit(0), F.coalesce("__of", F.lit(1)) - 1))
     copied = per_key.drop("n").join(hot, key, "left").withColumn("__part", parts).drop("__of")
     return dealt(rows, hot, key, by).join(copied, [*key, "__part"], how).drop("__part")

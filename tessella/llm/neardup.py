@@ -53,7 +53,7 @@ from pyspark.sql.window import Window
 
 from tessella.llm import blocks
 from tessella.llm.blocks import LOWER, Words, mix, window_hash
-from tessella.llm.common import WORD, cut, dealt, guarded, hot_keys, spread_join
+from tessella.llm.common import WORD, cut, dealt, guarded, hot_keys, spread_join, tidy
 
 BANDS, BAND_ROWS = 24, 5
 SKETCH_LONGS, SET_LONGS = 4, 16
@@ -193,6 +193,7 @@ def connect(edges: DataFrame) -> DataFrame:
     very many neighbours is no single task's work. Each round is written to the
     checkpoint folder.
     """
+    tidy(edges.sparkSession)
     edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     print_of = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
     before = print_of(edges)
@@ -213,7 +214,8 @@ def connect(edges: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class representatives that are similar enough, by the words of their full texts."""
     pairs = cut(pairs)
-    pairs = dealt(pairs, hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"], pairs.count()), ["a"], ["b"])
+    tidy(pairs.sparkSession)
+    pairs = dealt(pairs, hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"]), ["a"], ["b"])
     partners = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "__part", "b", "text")
     heads = pairs.select("a", "__part").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "__part", F.lit(None).cast("long").alias("b"), "text")
     order = ["a", "__part", "b"]

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tessella.llm.licence_texts import EQUIVALENT, NOTICES, TEXTS
+import hashlib
+
+import regex
+
+from tessella.llm.licence_texts import EQUIVALENT, FORMS, NOTICES, TEXTS
 from tessella.llm.licences import BREAKS, COPYRIGHT_LINE, NEITHER
 from tessella.llm.mixing import CYCLE, MAX_REPEATS
 from tessella.llm.quality import FENCES, PRIOR, RATES, SCALE, SPREAD
@@ -53,6 +57,14 @@ FROM d LEFT JOIN n USING (rid) LEFT JOIN low ON d.doc_id = low.doc_id
 
 
 
+def _digest(text: str) -> str:
+    """What the operator's ``digest`` gives for a known text."""
+    c = regex.sub(NEITHER, " ", regex.sub(COPYRIGHT_LINE, "", text.lower()))
+    for spelling, one in EQUIVALENT:
+        c = c.replace(spelling, one)
+    return hashlib.md5(regex.sub(BREAKS, " ", c).strip(" ").encode()).hexdigest()
+
+
 def _licences() -> str:
     def lines(text: str) -> str:
         c = f"regexp_replace(regexp_replace(lower(coalesce({text}, '')), '{COPYRIGHT_LINE}', '', 'g'), '{NEITHER}', ' ', 'g')"
@@ -63,12 +75,16 @@ def _licences() -> str:
     rows = lambda known: ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in known)
     digest = lambda c: f"md5(nullif(trim(regexp_replace({c}, '{BREAKS}', ' ', 'g')), ''))"
     known = lambda r: f"SELECT {digest(lines('t'))} AS known, min(i) AS licence FROM (VALUES {rows(r)}) k(i, t) GROUP BY 1"
+    whole: dict[str, str] = {}
+    for i, text in TEXTS + FORMS:
+        whole[_digest(text)] = min(i, whole.get(_digest(text), i))
+    whole_rows = ", ".join(f"('{k}', '{i}')" for k, i in whole.items())
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {lines('text')} AS c FROM documents),
 l AS (SELECT rid, unnest(list_transform(string_split(c, chr(10)), lambda x: md5(trim(x)))) AS known FROM d),
 h AS (SELECT rid, array_to_string(list_sort(list(DISTINCT licence)), ' ') AS notices, count(*)::BIGINT AS n FROM l JOIN ({known(NOTICES)}) USING (known) GROUP BY rid)
 SELECT doc_id, {digest('c')} AS digest, w.licence, coalesce(h.notices, '') AS notices, coalesce(h.n, 0)::BIGINT AS n_notice_lines
-FROM d LEFT JOIN h USING (rid) LEFT JOIN ({known(TEXTS)}) w ON w.known = {digest('c')}
+FROM d LEFT JOIN h USING (rid) LEFT JOIN (VALUES {whole_rows}) w(known, licence) ON w.known = {digest('c')}
 """
 
 

@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessella.llm import common, language, licences, neardup, quality, repeats, vectors
+from tessella.llm.licence_texts import FORMS, TEXTS
+from tessella.llm.oracles import ORACLES
+from tests.compare import rows_of, sql_rows
 from tests.llm import brute
 
 
@@ -31,6 +34,21 @@ def test_real_licence_files(spark):
     assert len(got) == 7 and got == {f.name: f.name.rsplit(".", 2)[0] for f in files}
 
 
+def test_planted_licences(spark, tmp_path):
+    """Every known form of a whole text, as it is and disguised, in a table beside other documents: all found, by Spark and SQL alike."""
+    plain = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    known = [*TEXTS, *FORMS]
+    disguised = [f"Copyright (c) 1999 Some One\n{t.upper()}\n\n(c) 2001 Other" if n % 2 else t.replace(", ", " ,\t").replace("license", "licence") for n, (_, t) in enumerate(known)]
+    planted = spark.createDataFrame([(10_000 + n, t) for n, t in enumerate(disguised)] + [(-1, known[0][1] + " more"), (-2, None)], "doc_id long, text string")
+    plain.union(planted).write.parquet(str(tmp_path / "documents.parquet"))
+    df = licences.scan(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    columns, rows = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    assert (columns, rows) == sql_rows(str(tmp_path), ORACLES["op5_licence_scan"])
+    found = {r["doc_id"]: r["licence"] for r in df.filter("doc_id >= 10000 OR doc_id < 0").collect()}
+    assert found.pop(-1) is None and found.pop(-2) is None
+    assert all(found.values()) and sum(found[10_000 + n] == i for n, (i, _) in enumerate(known)) >= 0.9 * len(known)  # BSD License titles two of them
+
+
 def _bucket(texts: list[bytes]) -> pa.RecordBatch:
     n = len(texts)
     columns = [pa.array([1] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array([7] * n, pa.int64()), pa.array([len(t) for t in texts], pa.int32()), pa.array(texts, pa.binary())]
@@ -64,8 +82,9 @@ def test_hot_keys(spark):
     per = common.cut(rows.groupBy("k").agg(F.count("*").alias("n"), F.min("id").alias("low")))
     out = common.spread_join(rows, per, ["k"], ["id"])
     assert out.count() == 9000 and out.filter("k = 0").select("low").distinct().collect()[0][0] == 0
-    hot = common.hot_keys(per, ["k"], 9000)
+    hot = common.hot_keys(per, ["k"])
     assert [tuple(r) for r in hot.collect()] == [(0, 7)]
+    assert common.hot_keys(per.filter("k > 0"), ["k"]) is None and common.hot_keys(per.limit(0), ["k"]) is None
     assert common.dealt(rows, hot, ["k"], ["id"]).filter("k = 0").groupBy("__part").count().filter("count > 1200").count() == 0
 
 
