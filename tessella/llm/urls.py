@@ -3,7 +3,7 @@
 A rule is a host and a path prefix; it fits its host, all subdomains, and every
 path that starts with its path. ``RuleArray.pack`` writes the sorted 64-bit
 xxhash digests of all rules and, beside them, the full rule strings. The list
-of rules is an argument of bounded size (``MAX_RULES``, checked), so the packed
+of rules is an argument of bounded size (``MAX_BYTES`` packed, checked), so the packed
 bytes go to the executors as a broadcast; each worker puts them in its own
 temporary folder and maps them. A url's candidates are its host suffixes, with
 the prefixes of its path as long as some rule's path; their digests are looked up with
@@ -28,7 +28,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-MAX_RULES = 20_000_000
+#: Of the packed rules, which every worker maps.
+MAX_BYTES = 256 << 20
 
 
 def split_url(url: bytes | None) -> tuple[bytes, bytes]:
@@ -62,8 +63,9 @@ class RuleArray:
     @staticmethod
     def pack(rules: list[tuple[str, str, str]]) -> bytes:
         """rules: (verdict, host, path) with verdict allow or block; the last of equal rules counts."""
-        if len(rules) > MAX_RULES:
-            raise ValueError(f"more than {MAX_RULES} rules")
+        size = sum(len(host) + len(path) + 17 for _, host, path in rules)
+        if size > MAX_BYTES:
+            raise ValueError(f"rules of {size} bytes, more than {MAX_BYTES}")
         own = {host.lower().encode() + path.encode(): (verdict == "allow", len(path.encode())) for verdict, host, path in rules}
         rows = sorted((xxhash.xxh64_intdigest(s), s, a) for s, (a, _) in own.items())
         lengths = sorted({n for _, n in own.values()})

@@ -156,6 +156,13 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), URL_RULES).count() == 0 and urls.judge(df, []).filter("verdict <> 'allow'").count() == 0
 
 
+def test_rules_are_bounded(monkeypatch):
+    monkeypatch.setattr(urls, "MAX_BYTES", 100)
+    urls.RuleArray.pack(URL_RULES[:1])
+    with pytest.raises(ValueError, match="more than 100"):
+        urls.RuleArray.pack(URL_RULES)
+
+
 def test_colliding_digests(tmp_path, monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda s: len(s) % 2)
     (tmp_path / "r").write_bytes(urls.RuleArray.pack(URL_RULES))
