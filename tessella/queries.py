@@ -124,14 +124,14 @@ def is_indexable(spark, d):
 merged AS (SELECT "glob" FROM (SELECT "glob", arg_max(enabled, source_prio * 2 + enabled::INT) AS enabled FROM settings GROUP BY "glob") WHERE enabled)
 SELECT path, size FROM files WHERE NOT EXISTS (SELECT 1 FROM capped WHERE ("glob" = dir||'/**/*.dat' AND starts_with(path, '/ws/'||dir||'/') AND ends_with(path, '.dat'))
     OR ("glob" = dir||'/de/*.md' AND starts_with(path, '/ws/'||dir||'/de/') AND ends_with(path, '.md')))
-  AND NOT EXISTS (SELECT 1 FROM merged WHERE "glob" = '**/'||source||'/'||lang) AND size > 0 AND size < {scan.MAX_SIZE} AND {_KIND} <> 'binary'"""
+  AND NOT EXISTS (SELECT 1 FROM merged WHERE ends_with("glob", '/fr') AND "glob" = '**/'||source||'/'||lang) AND size > 0 AND size < {scan.MAX_SIZE} AND {_KIND} <> 'binary'"""
 )
 def scan_with_ignore(spark, d):
-    """What a full scan of the root /ws lists: excludes from the settings, capped ignore lines, and files that may be indexed."""
+    """What a full scan of the root /ws lists: excludes from the settings for one language, capped ignore lines, and files that may be indexed."""
     files = v.files(spark, d).select(F.lit("/ws").alias("root"), "path", "size")
     lines = v.ignore_lines(spark, d)
     lines = lines.select(F.lit("/ws").alias("root"), F.concat_ws("/", F.substring("root", 5, 1 << 30), F.when(F.col("dir") != "", F.col("dir"))).alias("dir"), "line_no", "line")
-    return refresh.scan_files(files, lines, refresh.excludes(spark, v.settings(spark, d))).select("path", "size")
+    return refresh.scan_files(files, lines, refresh.excludes(spark, v.settings(spark, d).filter(F.endswith("glob", F.lit("/fr"))))).select("path", "size")
 
 
 @query(with_views("files") + f"SELECT path, md5(CASE WHEN {_KIND} = 'binary' THEN '' ELSE text END) AS text_md5 FROM files")
