@@ -142,4 +142,32 @@ SELECT sig.*, (NOT base_failed AND coalesce({ok}, false)) AS kept FROM sig
 
 OP10 = f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({_quality('documents')})"
 
-ORACLES = {"op1_url_filter": OP1, "op2_mix_sources": OP2, "op4_near_dedup": OP4, "op5_licence_scan": OP5, "op6_substring_dedup": OP6, "op9_top_k": OP9, "op10_quality_rules": OP10}
+#: The same rules once more, row by row with whole audit strings.
+OP12 = r"""
+WITH RECURSIVE base AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ')||':'||coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+crc AS (SELECT key, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(key) + 1), lambda i: [ascii(substr(key, i::BIGINT, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, e: xor(xor(c, e) >> 1, CASE WHEN xor(c, e) % 2 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)), 4294967295::BIGINT) % 20 AS way FROM (SELECT DISTINCT key FROM base)),
+conv AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+hurt AS (SELECT c, turn, CASE WHEN way = 4 THEN 'user' ELSE role END AS role, CASE way WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM base JOIN crc USING (key) JOIN conv ON base.conv_id IS NOT DISTINCT FROM conv.conv_id, (VALUES (1), (2)) t(time) WHERE way <> 0 AND (time = 1 OR way = 3)),
+n AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text)) AS k FROM hurt),
+r AS (SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY k) > 1 THEN 'duplicate'
+  WHEN regexp_extract(text, '(?s)([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE 'ok' END AS fault FROM n),
+runs(state, spot, run, price, made) AS (VALUES ('e', 'e', '', 0, []::VARCHAR[]), ('e', 'u', 'I', 3, ['user:']), ('e', 'a', 'II', 6, ['user:', 'assistant:']), ('s', 's', '', 0, []), ('s', 'u', 'I', 3, ['user:']), ('s', 'a', 'II', 6, ['user:', 'assistant:']),
+  ('u', 'u', '', 0, []), ('u', 'a', 'I', 3, ['assistant:']), ('u', 'u', 'II', 6, ['assistant:', 'user:']), ('a', 'a', '', 0, []), ('a', 'u', 'I', 3, ['user:']), ('a', 'a', 'II', 6, ['user:', 'assistant:'])),
+follows(spot, i, after) AS (VALUES ('e', 's', 's'), ('e', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+edits AS (SELECT spot, NULL AS i, 'D' AS edit, spot AS after, 4 AS price FROM (SELECT DISTINCT spot FROM runs) UNION ALL SELECT spot, i, 'K', after, 0 FROM follows UNION ALL SELECT spot, NULL, 'R', after, 3 FROM follows WHERE i <> 's'),
+moves AS (SELECT u.state, e.i, e.edit, e.after, u.run || e.edit AS macro, u.price + e.price AS price, made FROM runs u JOIN edits e USING (spot)),
+dp AS (SELECT c, 0::BIGINT AS k, 'e' AS state, {'cost': 0::BIGINT, 'audit': '', 'made': []::VARCHAR[]} AS best FROM conv
+  UNION ALL SELECT dp.c, r.k, m.after, min({'cost': best.cost + m.price + CASE WHEN edit <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END, 'audit': best.audit || macro,
+    'made': list_concat(best.made, m.made, CASE edit WHEN 'K' THEN [role || ':' || text] WHEN 'R' THEN [CASE m.after WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] ELSE [] END)})
+  FROM dp JOIN r ON r.c = dp.c AND r.k = dp.k + 1 JOIN moves m ON m.state = dp.state AND (m.i IS NULL OR m.i = r.i) AND (edit = 'D' OR fault IN ('ok', 'truncated')) GROUP BY dp.c, r.k, m.after),
+ends(state, run, price, made) AS (VALUES ('e', '', 0, []::VARCHAR[]), ('s', 'II', 6, ['user:', 'assistant:']), ('u', 'I', 3, ['assistant:']), ('a', '', 0, [])),
+done AS (SELECT c, min({'cost': best.cost + price, 'audit': best.audit || run, 'made': list_concat(best.made, ends.made)}) AS best FROM (SELECT * FROM dp QUALIFY k = max(k) OVER (PARTITION BY c)) JOIN ends USING (state) GROUP BY c),
+facts AS (SELECT c, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(i) OVER (PARTITION BY c ORDER BY k) || i AS pair FROM r) GROUP BY c)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  best.cost::BIGINT AS cost, best.audit AS audit, sha256(array_to_string(best.made, chr(10))) AS repaired_sha256 FROM conv JOIN done USING (c) LEFT JOIN facts USING (c)
+"""
+
+ORACLES = {"op1_url_filter": OP1, "op2_mix_sources": OP2, "op4_near_dedup": OP4, "op5_licence_scan": OP5, "op6_substring_dedup": OP6, "op9_top_k": OP9, "op10_quality_rules": OP10, "op12_conversation_repair": OP12}

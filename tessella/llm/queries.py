@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, language, licences, mixing, neardup, phrases, quality, repeats, urls, vectors
+from tessella.llm import bpe, conversations, language, licences, mixing, neardup, phrases, quality, repeats, urls, vectors
 from tessella.llm.common import table
 
 #: Fixed values of the contract: (verdict, host, path).
@@ -64,4 +64,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_suffix_dedup, op4_near_dedup, op5_licence_scan, op6_substring_dedup, op7_language_id, op8_bpe, op9_top_k, op10_quality_rules)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_suffix_dedup, op4_near_dedup, op5_licence_scan, op6_substring_dedup, op7_language_id, op8_bpe, op9_top_k, op10_quality_rules, op12_conversation_repair)}
