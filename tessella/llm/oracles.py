@@ -170,4 +170,21 @@ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS
   best.cost::BIGINT AS cost, best.audit AS audit, sha256(array_to_string(best.made, chr(10))) AS repaired_sha256 FROM conv JOIN done USING (c) LEFT JOIN facts USING (c)
 """
 
-ORACLES = {"op1_url_filter": OP1, "op2_mix_sources": OP2, "op4_near_dedup": OP4, "op5_licence_scan": OP5, "op6_substring_dedup": OP6, "op9_top_k": OP9, "op10_quality_rules": OP10, "op12_conversation_repair": OP12}
+#: Every kept term in every group, without a split.
+OP13 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+o AS MATERIALIZED (SELECT lang, source, term, count(*) AS n, count(DISTINCT rid) AS docs FROM (SELECT rid, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+k AS MATERIALIZED (SELECT lang, term, sum(n)::HUGEINT AS n FROM o GROUP BY lang, term HAVING sum(docs) >= 30),
+v AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM k GROUP BY lang),
+g AS MATERIALIZED (SELECT DISTINCT lang, source FROM d),
+t AS (SELECT g.lang, g.source, coalesce(sum(o.n), 0)::HUGEINT AS total FROM g LEFT JOIN (SELECT o.* FROM o JOIN k USING (lang, term)) o USING (lang, source) GROUP BY ALL),
+p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n, (1 + 1000000000::HUGEINT * (coalesce(o.n, 0) + 5) // (t.total + 5 * v.v))::BIGINT AS p, (1 + 1000000000::HUGEINT * (k.n + 5) // (v.total + 5 * v.v))::BIGINT AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) JOIN t USING (lang, source) LEFT JOIN o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(f, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.other = b.source),
+every AS (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM every QUALIFY part = 'pair' OR rank <= 50
+"""
+
+ORACLES = {"op1_url_filter": OP1, "op2_mix_sources": OP2, "op4_near_dedup": OP4, "op5_licence_scan": OP5, "op6_substring_dedup": OP6, "op9_top_k": OP9, "op10_quality_rules": OP10, "op12_conversation_repair": OP12, "op13_source_divergence": OP13}
