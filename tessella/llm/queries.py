@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, conversations, divergence, language, licences, mixing, neardup, phrases, quality, repeats, urls, vectors
+from tessella.llm import bpe, conversations, divergence, language, licences, mixing, neardup, phrases, quality, repeats, toxicity, urls, vectors
 from tessella.llm.common import table
 
 #: Fixed values of the contract: (verdict, host, path).
@@ -64,6 +64,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
 
@@ -72,4 +76,4 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_suffix_dedup, op4_near_dedup, op5_licence_scan, op6_substring_dedup, op7_language_id, op8_bpe, op9_top_k, op10_quality_rules, op12_conversation_repair, op13_source_divergence)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_mix_sources, op3_suffix_dedup, op4_near_dedup, op5_licence_scan, op6_substring_dedup, op7_language_id, op8_bpe, op9_top_k, op10_quality_rules, op11_toxicity, op12_conversation_repair, op13_source_divergence)}
