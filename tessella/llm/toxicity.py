@@ -15,8 +15,8 @@ for each character that is no letter, up to a span of SPAN letters. So ``id-iot`
   toxic documents, against others.
 - As kernel and machine are linear in the triples' weights, the landmarks fold into one table of
   a number for each triple; a text is scored by that table, each different string of a batch once.
-- A document's score is a logistic function of its worst sentence, the mean of its worst three, and
-  how many and what share of its sentences are toxic, fitted on sampled documents that the machine has not seen.
+- A document's score is a logistic function of its two worst sentences and of how many are clearly
+  toxic, in all and for its length, fitted on sampled documents that the machine has not seen.
 
 ``fit`` learns from a sample of at most about ROWS labelled documents of each class, drawn by a hash of the
 id; SENTENCES of each, evenly over the text, train the machine. Every document is scored whole.
@@ -54,6 +54,8 @@ COST, ROUNDS = 1.0, 2
 ODD, LIKELY = 3.8, 500
 #: A toxic document's sentence is toxic from this score of the round before; its other sentences teach nothing.
 SURE = 0.5
+#: A sentence is clearly toxic from this score.
+CLEARLY = 0.75
 THRESHOLD = 0.7
 #: Characters of texts that are worked on at once.
 PIECE = 1 << 20
@@ -301,19 +303,17 @@ class Model:
         return hit[np.append(True, s.sentence[hit][1:] != s.sentence[hit][:-1])], best + self.bias, s.doc[first]
 
     def features(self, s: Strings, texts: int) -> np.ndarray:
-        """Worst sentence, mean of the worst three, how many are toxic, and which share, of each text."""
+        """Of each text the worst and the second worst sentence, how many sentences are clearly toxic, and how many of them for each string."""
         _, score, doc = self.worst(s)
         order = np.lexsort((-score, doc))
         score, doc = score[order], doc[order]
         begin = np.searchsorted(doc, np.arange(texts + 1))
-        n = np.diff(begin)
-        toxic = np.bincount(doc[score > 0], minlength=texts)[:texts]
-        out = np.full((texts, 4), self.bias)
-        some = n > 0
-        top = [score[np.minimum(begin[:-1] + k, np.maximum(begin[1:] - 1, 0))[some]] for k in range(3)]
-        out[some, 0], out[some, 1] = np.clip(top[0], -3, 3), np.clip(np.mean(top, 0), -3, 3)
-        out[:, 2], out[:, 3] = np.log1p(toxic), np.log((toxic + 0.5) / (n + 10.0))
-        return out
+        top = np.full((texts, 2), -1.0)
+        for k in range(2):
+            some = begin[1:] - begin[:-1] > k
+            top[some, k] = np.clip(score[begin[:-1][some] + k], -1, 1)
+        toxic, strings = np.bincount(doc[score > CLEARLY], minlength=texts)[:texts], np.bincount(s.doc, minlength=texts)[:texts]
+        return np.column_stack([top, np.log1p(toxic), np.log((toxic + 0.2) / (strings + 50.0))])
 
     def scores(self, s: Strings, texts: int) -> np.ndarray:
         if self.head is None:
