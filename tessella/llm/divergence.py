@@ -125,7 +125,7 @@ _pair_names = ["lang", "i", "j", "value"]
 
 
 def _pairs_of(lang: str, i: np.ndarray, j: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(i)), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(value.astype(np.int64))], names=_pair_names)
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(i), pa.string()), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(value.astype(np.int64))], names=_pair_names)
 
 
 def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
