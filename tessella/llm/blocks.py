@@ -79,6 +79,18 @@ def window_hash(values: np.ndarray, k: int) -> np.ndarray:
     return mix((g[k:] - g[:n]) * powers(n, INVERSE))
 
 
+def shingle_hash(values: np.ndarray, k: int) -> np.ndarray:
+    """Hash of each k consecutive values. Each is mixed with a key of its place before they are added, so that no two shingles collide by the sum's form."""
+    n = len(values) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    key = mix(np.arange(1, k + 1, dtype=np.uint64) * _GOLD)
+    h = np.zeros(n, np.uint64)
+    for j in range(k):
+        h += mix(values[j : n + j] ^ key[j]) * (mix(key[j : j + 1]) | np.uint64(1))
+    return mix(h)
+
+
 def word_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each word. Eight bytes at a time are mixed with a key of their place before they are added, so that no two texts collide by the sum's form (as they do in a polynomial modulo 2^64)."""
     if not len(start):
@@ -121,6 +133,14 @@ class Words:
         s, e = np.flatnonzero(starts), np.flatnonzero(ends) + 1
         return s + at, e + at, word_hash(data, s, e)
 
+    def numbers(self, data: np.ndarray) -> np.ndarray:
+        """A number for each word, equal for equal bytes and no others. data: as given to the constructor."""
+        size = self.end - self.start
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        at = np.repeat(self.start - offsets[:-1], size) + np.arange(int(offsets[-1]))
+        words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data[at].tobytes())])
+        return words.dictionary_encode().indices.to_numpy()
+
     def windows(self, k: int) -> np.ndarray:
         """Numbers of the words at which k consecutive words of one text begin."""
         n = np.maximum(np.diff(self.first) - (k - 1), 0)
@@ -211,11 +231,11 @@ def reply(keys: np.ndarray, owners: np.ndarray, targets: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([planes(r[2]) for r in rows], pa.binary())], schema=_answer)
 
 
-def deliver(name: str):
-    """For mapInArrow over answers dealt by target: one row for each owner."""
+def deliver(name: str, kind: np.dtype | type = np.uint64):
+    """For mapInArrow over answers dealt by target: one row for each owner. kind: of a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.frombuffer(k, np.uint64), from_planes(o, np.int64)) for b in batches for k, o in zip(b.column("keys").to_pylist(), b.column("owners").to_pylist(), strict=True)]
+        held = [(np.frombuffer(k, kind), from_planes(o, np.int64)) for b in batches for k, o in zip(b.column("keys").to_pylist(), b.column("owners").to_pylist(), strict=True)]
         if held:
             keys, owners = (np.concatenate(x) for x in zip(*held, strict=True))
             order, begin = groups(owners)

@@ -96,8 +96,8 @@ def group_join(rows: DataFrame, per_key: DataFrame, key: list[str], by: list[str
     return spread_join(rows, per_key, key, by, "left")
 
 
-def settle(asked: DataFrame, decide, name: str) -> DataFrame:
-    """did and ``name``, one row for each document that gets an answer.
+def settle(asked: DataFrame, decide, name: str, kind=None) -> DataFrame:
+    """did and ``name``, one row for each document that gets an answer. kind: of a key, if it is no 64-bit number.
 
     asked: blocks of questions (see ``blocks``); ``decide`` answers a target's
     blocks. Rows with target -1 need no other block and are dealt by chance.
@@ -108,4 +108,4 @@ def settle(asked: DataFrame, decide, name: str) -> DataFrame:
 
     n = shuffle_partitions(asked.sparkSession)
     spread = asked.repartition(n, F.when(F.col("target") < 0, F.xxhash64("owners")).otherwise(F.col("target").cast("long")))
-    return spread.mapInArrow(decide, ANSWER).repartition(n, "target").mapInArrow(deliver(name), f"did long, {name} binary")
+    return spread.mapInArrow(decide, ANSWER).repartition(n, "target").mapInArrow(deliver(name, kind) if kind else deliver(name), f"did long, {name} binary")

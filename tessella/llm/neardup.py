@@ -1,6 +1,6 @@
 """MinHash near-dedup with odd sketches.
 
-A document's set is its distinct word shingles, as 64-bit hashes. From it come
+A document's set is its distinct word shingles, counted by their words and handled as 64-bit hashes. From it come
 MinHash band keys and two odd sketches. In the first
 each MinHash sample flips one bit of a small bitmap, so that the XOR of two
 bitmaps has about as many ones as the samples differ, which estimates high
@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.llm import blocks
-from tessella.llm.blocks import LOWER, Words, mix, window_hash
+from tessella.llm.blocks import LOWER, Words, mix, shingle_hash
 from tessella.llm.common import WORD, cut, dealt, guarded, hot_keys, spread_join, tidy
 
 BANDS, BAND_ROWS = 24, 5
@@ -65,25 +65,39 @@ _CACHE = 1 << 14
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of each text, one after the other, and where each text's begin."""
-    w = Words(LOWER[data], offsets)
+    """Sorted hashes of the distinct shingles of each text, one after the other, and where each text's begin. Shingles are distinct by their words; should two of them share a hash, it stands twice."""
+    data = LOWER[data]
+    w = Words(data, offsets)
     at = w.windows(k)
     doc = np.searchsorted(w.first, at, "right") - 1
-    h = window_hash(w.hash, k)[at] if len(at) else np.zeros(0, np.uint64)
+    h = shingle_hash(w.hash, k)[at] if len(at) else np.zeros(0, np.uint64)
+    order = np.argsort(h, kind="stable")
+    order = order[np.argsort(doc[order].astype(np.int32), kind="stable")]
+    new = _new(h[order], doc[order])
+    if not new.all():
+        # Where hashes coincide the words tell whether the shingles do.
+        word = w.numbers(data)
+        differ = lambda o: np.logical_or.reduce([word[at[o][1:] + j] != word[at[o][:-1] + j] for j in range(k)])
+        if (differ(order) & ~new[1:]).any():
+            order = np.lexsort((*(word[at + j] for j in range(k)), h, doc))
+            new = _new(h[order], doc[order])
+            new[1:] |= differ(order)
+    h, doc = h[order][new], doc[order][new]
     n = np.diff(w.first)
     short = np.flatnonzero((n > 0) & (n < k))
     if len(short):  # the whole sequence is the one shingle
-        own = [mix(window_hash(w.hash[w.first[i] : w.first[i + 1]], int(n[i])) + np.uint64(n[i]))[0] for i in short]
-        h, doc = np.concatenate([h, np.array(own, np.uint64)]), np.concatenate([doc, short])
-    order = np.argsort(h, kind="stable")
-    order = order[np.argsort(doc[order].astype(np.int32), kind="stable")]
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[new], doc[new]
+        own = [mix(shingle_hash(w.hash[w.first[i] : w.first[i + 1]], int(n[i])) + np.uint64(n[i]))[0] for i in short]
+        place = np.searchsorted(doc, short)
+        h, doc = np.insert(h, place, np.array(own, np.uint64)), np.insert(doc, place, short)
     return h, np.searchsorted(doc, np.arange(len(offsets)))
 
 
+def _new(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    out = np.ones(len(h), bool)
+    out[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return out
+
+
 def minhashes(h: np.ndarray, begin: np.ndarray, count: int) -> np.ndarray:
     """Samples x texts. begin: where each text's shingles begin; every text has some."""
     factor = mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D)) | np.uint64(1)

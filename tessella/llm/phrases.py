@@ -12,10 +12,10 @@ symbol (the smallest name of several), known by the name of its context's words.
 1. Every document's anchors go to shared targets in packed blocks; those of two
    or more documents come back.
 2. Documents that have any are parsed again. Windows with such an anchor are
-   verified: a hash and a cryptographic digest (BLAKE2b) of the 13 words' own bytes
-   meet their equals, and windows that also stand in a document with a smaller id
-   come back.
-3. The words of those windows are removed.
+   verified: cryptographic digests (BLAKE2b, 96 bits) of the 13 words' own bytes
+   meet their equals, and the digests of windows that also stand in a document with
+   a smaller id come back.
+3. The words of the windows with these digests are removed. No other hash decides.
 
 A window in two documents has the same anchor in both, so step 1 loses none.
 
@@ -43,6 +43,8 @@ from tessella.llm.common import guarded, settle, shuffle_partitions
 WINDOW = 13
 ROUNDS = 2
 LAST = (1 << 63) - 1
+#: A window's digest.
+DIGEST = np.dtype([("first", "<u8"), ("second", "<u4")])
 _RUN = np.uint64(0xA0761D6478BD642F)
 _PAIR = np.uint64(0xE7037ED1A0B428DB)
 
@@ -119,14 +121,14 @@ class Piece:
         return anchors(self.words, self.windows, self.hash) if len(self.windows) else self.hash
 
     def digests(self, data: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        """64 bits of a cryptographic digest of the words of the chosen windows, joined by one space. data: the piece's bytes."""
+        """Cryptographic digests of the words of the chosen windows, joined by one space. data: the piece's bytes."""
         w = self.words
         size = w.end - w.start
         raw = b" ".join(x for a, b in zip(w.offsets[:-1].tolist(), w.offsets[1:].tolist(), strict=True) for x in data[a:b].tobytes().split())
         at = np.cumsum(size + 1) - (size + 1)
         one = self.windows[chosen]
         digest = hashlib.blake2b
-        return np.frombuffer(b"".join(digest(raw[a:b], digest_size=8).digest() for a, b in zip(at[one].tolist(), (at + size)[one + WINDOW - 1].tolist(), strict=True)), np.uint64)
+        return np.frombuffer(b"".join(digest(raw[a:b], digest_size=DIGEST.itemsize).digest() for a, b in zip(at[one].tolist(), (at + size)[one + WINDOW - 1].tolist(), strict=True)), DIGEST)
 
 
 def _pieces(b: pa.RecordBatch) -> Iterator[tuple[int, int, Piece, np.ndarray]]:
@@ -168,18 +170,19 @@ def _later(first: np.ndarray, second: np.ndarray, owners: np.ndarray) -> tuple[n
 
 
 def _claims(targets: int):
-    """Windows whose anchor is shared. In a block only the smallest owner of a window asks; the others are told at once."""
+    """Windows whose anchor is shared. In a block only the smallest owner of a window asks; the others are told at once (their digests stand in ``first`` whole)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def close() -> Iterator[pa.RecordBatch]:
-            first, second, owners = (np.concatenate(x) for x in zip(*held, strict=True))
+            digest, owners = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order, later, new = _later(first, second, owners)
-            first, second, owners = first[order], second[order], owners[order]
-            rows = [(-1, first[later], second[:0], owners[later])] if later.any() else []
-            rows += [(t, first[new][at], second[new][at], owners[new][at]) for t, at in blocks.deal(first[new], targets)]
+            order, later, new = _later(digest["first"], digest["second"], owners)
+            digest, owners = digest[order], owners[order]
+            rows = [(-1, digest[later], digest["second"][:0], owners[later])] if later.any() else []
+            first, second, owners = digest["first"][new], digest["second"][new], owners[new]
+            rows += [(t, first[at], second[at], owners[at]) for t, at in blocks.deal(first, targets)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([r[2].tobytes() for r in rows], pa.binary()), pa.array([blocks.planes(r[3]) for r in rows], pa.binary())], schema=_claim)
 
         for b in batches:
@@ -192,7 +195,7 @@ def _claims(targets: int):
                 for i in range(hi - lo):
                     mine[ends[i] : ends[i + 1]] = blocks.contains(np.sort(np.frombuffer(shared[lo + i], np.uint64)), keys[ends[i] : ends[i + 1]])
                 if mine.any():
-                    held.append((p.hash[mine], p.digests(data, mine), ids[lo + p.doc[mine]]))
+                    held.append((p.digests(data, mine), ids[lo + p.doc[mine]]))
                 if sum(len(x[0]) for x in held) >= blocks.BLOCK_KEYS:
                     yield from close()
         if held:
@@ -206,38 +209,38 @@ def _verdicts(targets: int):
         held = []
         for b in batches:
             for t, f, s, o in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                f, o = np.frombuffer(f, np.uint64), blocks.from_planes(o, np.int64)
+                o = blocks.from_planes(o, np.int64)
                 if t < 0:
-                    yield blocks.reply(f, o, targets)
+                    yield blocks.reply(np.frombuffer(f, DIGEST), o, targets)
                 else:
-                    held.append((f, np.frombuffer(s, np.uint64), o))
+                    held.append((np.frombuffer(f, np.uint64), np.frombuffer(s, np.uint32), o))
         if held:
             first, second, owners = (np.concatenate(x) for x in zip(*held, strict=True))
             order, later, _ = _later(first, second, owners)
             if later.any():
-                yield blocks.reply(first[order][later], owners[order][later], targets)
+                told = np.empty(int(later.sum()), DIGEST)
+                told["first"], told["second"] = first[order][later], second[order][later]
+                yield blocks.reply(told, owners[order][later], targets)
 
     return run
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """did, gone: packed hashes of the windows of each document that also stand in one with a smaller id. docs: did, text and any others."""
+    """did, gone: packed digests of the windows of each document that also stand in one with a smaller id. docs: did, text and any others."""
     targets = 2 * shuffle_partitions(docs.sparkSession)
     asked = docs.select("did", "text").mapInArrow(_ask(targets), blocks.QUESTION)
     shared = settle(asked, blocks.answer(True, targets), "shared")
     claims = docs.join(shared, "did").mapInArrow(_claims(targets), _CLAIM)
-    return settle(claims, _verdicts(targets), "gone")
-
-
-def _removed(p: Piece, i: int, gone: bytes | None) -> np.ndarray:
-    """Which words of the piece's document i go."""
-    a, b = p.words.first[i : i + 2]
-    out = np.zeros(b - a + 1, np.int64)
-    if gone:
-        lo, hi = np.searchsorted(p.doc, [i, i + 1])
-        hit = p.windows[lo:hi][blocks.contains(np.sort(np.frombuffer(gone, np.uint64)), p.hash[lo:hi])] - a
-        np.add.at(out, hit, 1)
-        np.add.at(out, hit + WINDOW, -1)
+    return settle(claims, _verdicts(targets), "gone", DIGEST)
+
+
+def _removed(p: Piece, data: np.ndarray, gone: bytes) -> np.ndarray:
+    """Which words of the piece's one document go."""
+    out = np.zeros(len(p.words.start) + 1, np.int64)
+    told = set(np.frombuffer(gone, DIGEST).tolist())
+    hit = p.windows[np.fromiter((d in told for d in p.digests(data, np.arange(len(p.windows))).tolist()), bool, len(p.windows))]
+    np.add.at(out, hit, 1)
+    np.add.at(out, hit + WINDOW, -1)
     return np.cumsum(out)[:-1] > 0
 
 
@@ -251,7 +254,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = (t or b"").split()
             if g and own:  # rows of one id may hold different texts
                 data = np.frombuffer(t, np.uint8)
-                cut = _removed(Piece(data, np.array([0, len(data)])), 0, g)
+                cut = _removed(Piece(data, np.array([0, len(data)])), data, g)
                 kept = [w for w, c in zip(own, cut.tolist(), strict=True) if not c]
             else:
                 kept = own
@@ -270,7 +273,7 @@ def _rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if g and texts[i]:
                 data = np.frombuffer(texts[i], np.uint8)
                 p = Piece(data, np.array([0, len(data)]))
-                cut = _removed(p, 0, g)
+                cut = _removed(p, data, g)
                 mark = np.zeros(len(data) + 1, np.int64)
                 begin = np.concatenate([[0], p.words.end[:-1]])
                 np.add.at(mark, begin[cut], 1)

@@ -8,8 +8,8 @@ LENGTH bytes are brought together first:
    function of the window alone. Every document's anchors are asked for in
    packed blocks, and those that occur twice come back.
 2. Consecutive windows with one shared anchor are a segment: its bytes go to the
-   anchor's bucket. Equal segments are collapsed in their task to the first, and
-   again in the bucket; all others are removed whole.
+   anchor's bucket. Equal segments (compared byte by byte) are collapsed
+   in their task to the first, and again in the bucket; all others are removed whole.
 3. In a bucket the segments that are left are cut down to runs of windows that
    occur twice in it, by their hashes: segments that merely share the anchor go no
    further, whatever their number, and those that differ only around a common passage
@@ -123,6 +123,9 @@ def _segments(collapse: bool):
             if collapse:
                 k, o = key[order], own[order]
                 new[1:] = (k[1:] != k[:-1]) | (o[1:] != o[:-1])
+                # Equal hashes only suggest it: what differs in a byte goes to the bucket itself.
+                heads = order[new][np.cumsum(new) - 1]
+                new |= np.fromiter((i != h and text[i] != text[h] for i, h in zip(order.tolist(), heads.tolist(), strict=True)), bool, len(order))
             first, rest = order[new], order[~new]
             # What is removed whole mostly stands together: one row for each run of it.
             rest = rest[np.lexsort((start[rest], version[rest], did[rest]))]

@@ -15,7 +15,7 @@ for each character that is no letter, up to a span of SPAN letters. So ``id-iot`
   toxic documents, against others.
 - As kernel and machine are linear in the triples' weights, the landmarks fold into one table of
   a number for each triple; a text is scored by that table, each different string of a batch once.
-- A document's score is a logistic function of its two worst sentences and of how many are clearly
+- A document's score is a logistic function of its two worst strings and of how many are clearly
   toxic, in all and for its length, fitted on sampled documents that the machine has not seen.
 
 ``fit`` learns from a sample of at most about ROWS labelled documents of each class, drawn by a hash of the
@@ -54,7 +54,7 @@ COST, ROUNDS = 1.0, 2
 ODD, LIKELY = 3.8, 500
 #: A toxic document's sentence is toxic from this score of the round before; its other sentences teach nothing.
 SURE = 0.5
-#: A sentence is clearly toxic from this score.
+#: A string is clearly toxic from this score.
 CLEARLY = 0.75
 THRESHOLD = 0.7
 #: Characters of texts that are worked on at once.
@@ -89,9 +89,11 @@ class Strings:
         begin = np.flatnonzero(new)
         n = np.diff(np.append(begin, len(letter)))
         stops = np.cumsum(stop)[letter[begin]] if len(begin) else begin
-        # Three or more single letters in one sentence are one string.
+        # Three or more single letters in one sentence, equally far apart, are one string.
         single = n == 1
         edge = np.append(True, (single[1:] != single[:-1]) | ~single[1:] | (stops[1:] != stops[:-1]))[: len(n)]
+        far = np.diff(letter[begin])
+        edge[2:] |= ~edge[1:-1] & (far[1:] != far[:-1])
         run = np.flatnonzero(edge)
         length = np.diff(np.append(run, len(n)))
         apart = edge | np.repeat(length < 3, length)
@@ -303,16 +305,16 @@ class Model:
         return hit[np.append(True, s.sentence[hit][1:] != s.sentence[hit][:-1])], best + self.bias, s.doc[first]
 
     def features(self, s: Strings, texts: int) -> np.ndarray:
-        """Of each text the worst and the second worst sentence, how many sentences are clearly toxic, and how many of them for each string."""
-        _, score, doc = self.worst(s)
-        order = np.lexsort((-score, doc))
-        score, doc = score[order], doc[order]
-        begin = np.searchsorted(doc, np.arange(texts + 1))
+        """Of each text its worst and its second worst string, how many strings are clearly toxic, and which share of all."""
+        score = s.folded(self.table)[s.which] + self.bias if len(s.which) else np.zeros(0)
+        some = np.flatnonzero(score > -1)
+        some = some[np.lexsort((-score[some], s.doc[some]))]
+        score, begin = score[some], np.searchsorted(s.doc[some], np.arange(texts + 1))
         top = np.full((texts, 2), -1.0)
         for k in range(2):
-            some = begin[1:] - begin[:-1] > k
-            top[some, k] = np.clip(score[begin[:-1][some] + k], -1, 1)
-        toxic, strings = np.bincount(doc[score > CLEARLY], minlength=texts)[:texts], np.bincount(s.doc, minlength=texts)[:texts]
+            has = begin[1:] - begin[:-1] > k
+            top[has, k] = np.minimum(score[begin[:-1][has] + k], 1)
+        toxic, strings = np.bincount(s.doc[some[score > CLEARLY]], minlength=texts)[:texts], np.bincount(s.doc, minlength=texts)[:texts]
         return np.column_stack([top, np.log1p(toxic), np.log((toxic + 0.2) / (strings + 50.0))])
 
     def scores(self, s: Strings, texts: int) -> np.ndarray:

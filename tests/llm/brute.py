@@ -190,3 +190,52 @@ def _latin() -> int:
     from tessella.llm import language
 
     return language._NAMES.index("Latin")
+
+
+def kernel_triples(symbols: list[str], marks: list[int], span: int, letter: float, mark: float) -> dict[tuple, list[float]]:
+    """The weights of every occurrence of each triple of symbols. marks: characters that are no letter before each symbol."""
+    out: dict[tuple, list[float]] = defaultdict(list)
+    for i, j, k in itertools.combinations(range(len(symbols)), 3):
+        if k - i < span:
+            out[symbols[i], symbols[j], symbols[k]].append(letter ** (k - i - 2) * mark ** sum(marks[i + 1 : k + 1]))
+    return out
+
+
+def kernel(a: tuple[list[str], list[int]], b: tuple[list[str], list[int]], *decay) -> float:
+    """The normalised kernel of two strings, each its symbols and marks."""
+    x, y = kernel_triples(*a, *decay), kernel_triples(*b, *decay)
+    norm = lambda t: math.sqrt(sum(w * w for ws in t.values() for w in ws)) or 1.0
+    return sum(sum(ws) * sum(y[t]) for t, ws in x.items() if t in y) / norm(x) / norm(y)
+
+
+def repair(rows: list[tuple[str, str]], runs: int = 2) -> tuple[int, str, str]:
+    """(cost, audit, repaired text) of the cheapest edits of the rows (role, text) of one conversation, trying all."""
+    seen, faults = set(), []
+    for r in rows:
+        text = r[1].strip(" \t\n\v\f\r")
+        faults.append("delete" if not text or r in seen else "cut" if text[-1] not in ".!?" else "ok")
+        seen.add(r)
+    fits = re.compile("(s?(ua)+)?")
+    best = None
+    inserts = [p for n in range(runs + 1) for p in itertools.product(("user", "assistant"), repeat=n)]
+    choices = [["D"] if f == "delete" else ["D", "K", "user", "assistant"] for f in faults]
+    for edits in itertools.product(*choices):
+        base = sum(4 if e == "D" else (0 if e == "K" else 3) + 3 * (f == "cut") for e, f in zip(edits, faults, strict=True))
+        if best and base > best[0]:
+            continue
+        for gaps in itertools.product(inserts, repeat=len(rows) + 1):
+            cost = base + 3 * sum(map(len, gaps))
+            if best and cost > best[0]:
+                continue
+            audit, out = "", []
+            for n, gap in enumerate(gaps):
+                audit += "I" * len(gap)
+                out += [(role, "") for role in gap]
+                if n < len(rows):
+                    audit += edits[n] if edits[n] in "DK" else "R"
+                    if edits[n] != "D":
+                        out.append((rows[n][0] if edits[n] == "K" else edits[n], rows[n][1]))
+            found = (cost, audit, "\n".join(map(":".join, out)))
+            if fits.fullmatch("".join(r[:1] or "?" for r, _ in out)) and (best is None or found < best):
+                best = found
+    return best
