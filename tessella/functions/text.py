@@ -43,12 +43,15 @@ def raw_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({TERM})"), F.lit(0))
 
 
+def folded_term(term: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFD", term) if not unicodedata.combining(c))
+
+
 @F.pandas_udf(StringType())
 def fold_diacritics(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Letters without their marks. Meant for distinct terms, not for every occurrence."""
     for s in batches:
-        folded = s.map(lambda x: "".join(c for c in unicodedata.normalize("NFD", x) if not unicodedata.combining(c)), na_action="ignore")
-        yield folded
+        yield s.map(folded_term, na_action="ignore")
 
 
 def fold(df: DataFrame, term: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions.globs import any_regex
 from tessella.operators import scan
 from tessella.operators.diff import diff_changed, diff_deleted
-from tessella.sources.files import folders_of, hidden_files, is_hidden, list_roots, qualified, read_files, read_hidden
+from tessella.sources.files import folders_of, hidden_files, list_roots, qualified, read_files, read_hidden, read_listed
 from tessella.sources.store import materialized, read_meta, update_index, write_index
 
 
@@ -20,7 +20,8 @@ def create(spark: SparkSession, roots: list[str], index_dir: str, settings: Data
 def refresh(spark: SparkSession, roots: list[str], index_dir: str, settings: DataFrame | None = None) -> str | None:
     """The version written, or None if nothing changed."""
     listed, stored = listing(spark, roots, settings), read_meta(spark, index_dir)
-    return update_index(spark, index_dir, _docs(spark, roots, diff_changed(listed, stored)), diff_deleted(listed, stored))
+    changed = materialized(diff_changed(listed, stored))  # only these files are opened
+    return update_index(spark, index_dir, _docs(spark, roots, changed), diff_deleted(listed, stored))
 
 
 def excludes(spark: SparkSession, settings: DataFrame | None = None) -> DataFrame:
@@ -65,9 +66,8 @@ def _below_root() -> Column:
 
 
 def _docs(spark: SparkSession, roots: list[str], files: DataFrame) -> DataFrame:
-    """path, mtime, text of the listed files. Content is read once: decoded and tried for binary bytes in the same step."""
-    seen = files.withColumn("hidden", is_hidden(_below_root()))
-    content = read_files(spark, roots).dropDuplicates(["path"]) if len(roots) > 1 else read_files(spark, roots)
-    wanted = content.join(seen.filter(~F.col("hidden")).select("path"), "path", "left_semi").unionByName(read_hidden(seen.filter("hidden")))
+    """path, mtime, text of the listed files, of which alone the content is read: decoded and tried for binary bytes in the same step."""
+    content = read_listed(spark, files.select("path", "mtime", "size"), [qualified(spark, r) for r in roots])
     text = F.make_valid_utf8(F.col("content").cast("string"))
-    return scan.blank_binary(wanted.select("path", "mtime", text.alias("text"), scan.sniff_binary(F.col("content")).alias("binary")), F.col("binary")).select("path", "mtime", "text")
+    docs = content.select("path", "mtime", text.alias("text"), scan.sniff_binary(F.col("content")).alias("binary"))
+    return scan.blank_binary(docs, F.col("binary")).select("path", "mtime", "text")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import exploded, fold, gram_count, raw_terms, trigrams, words
+from tessella.functions.text import GRAM, exploded, fold, folded_term, gram_count, raw_terms, trigrams, words
 
 MIN_WORD = 3
 
@@ -18,11 +23,40 @@ def build_postings(docs: DataFrame) -> DataFrame:
 
 def build_term_postings(docs: DataFrame, folded: bool = True) -> DataFrame:
     """path, term, n. folded: terms without diacritics; otherwise lower-case words of three characters or more."""
-    own = raw_terms(F.col("text")) if folded else F.filter(F.transform(words(F.col("text")), lambda w: F.lower(w)), lambda w: F.length(w) >= MIN_WORD)
-    n = exploded(docs, ["path"], own, "term").groupBy("path", "term").agg(F.count("*").alias("n"))
+    n = exploded(docs, ["path"], _terms(folded), "term").groupBy("path", "term").agg(F.count("*").alias("n"))
     return fold(n, "term").groupBy("path", "term").agg(F.sum("n").alias("n")) if folded else n
 
 
+def _terms(folded: bool) -> Column:
+    return raw_terms(F.col("text")) if folded else F.filter(F.transform(words(F.col("text")), lambda w: F.lower(w)), lambda w: F.length(w) >= MIN_WORD)
+
+
+def count_terms(docs: DataFrame, folded: bool = True) -> DataFrame:
+    """term, doc_cnt, cnt: ``build_vocab`` of ``build_term_postings`` in one step. Terms are folded and counted inside a batch of documents, so only partial sums by term are shuffled."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("terms")
+            coded = lists.flatten().dictionary_encode()
+            if not len(coded):
+                continue
+            terms, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+            if folded:
+                one = pa.array([x if x.isascii() else folded_term(x) for x in terms], pa.string()).dictionary_encode()
+                terms, code = one.dictionary.to_pylist(), one.indices.to_numpy().astype(np.int64)[code]
+            in_doc = np.unique(pc.list_parent_indices(lists).to_numpy().astype(np.int64) * len(terms) + code)
+            n = lambda x: pa.array(np.bincount(x, minlength=len(terms)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), n(in_doc % len(terms)), n(code)], names=["term", "doc_cnt", "cnt"])
+
+    parts = docs.select(_terms(folded).alias("terms")).mapInArrow(partial, "term string, doc_cnt long, cnt long")
+    return parts.groupBy("term").agg(F.sum("doc_cnt").alias("doc_cnt"), F.sum("cnt").alias("cnt"))
+
+
+def build_forms(word_postings: DataFrame) -> DataFrame:
+    """term, word, n: the spellings of each lower-case word, and in how many documents each stands."""
+    return word_postings.groupBy("word").agg(F.count("*").alias("n")).select(F.lower("word").alias("term"), "word", "n")
+
+
 def build_vocab(term_postings: DataFrame) -> DataFrame:
     """term, doc_cnt, cnt. One row per document and term comes in, so a count of rows counts documents."""
     return term_postings.groupBy("term").agg(F.count("*").alias("doc_cnt"), F.sum("n").cast("long").alias("cnt"))
@@ -33,14 +67,57 @@ def build_trigrams(docs: DataFrame) -> DataFrame:
     return exploded(docs, ["path"], F.array_distinct(trigrams(F.col("text"))), "gram").select("gram", "path")
 
 
+#: Characters that are worked on at once.
+_PIECE = 1 << 20
+
+
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts, paths, lo = b.column("low").to_pylist(), b.column("path"), 0
+        while lo < len(texts):
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= _PIECE):
+                size += len(texts[hi])
+                hi += 1
+            code = np.frombuffer("".join(texts[lo:hi]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            n = np.array([len(t) for t in texts[lo:hi]], np.int64)
+            grams = np.maximum(n - (GRAM - 1), 0)
+            at = np.arange(int(grams.sum())) - np.repeat(np.cumsum(grams) - grams, grams)
+            start = np.repeat(np.cumsum(n) - n, grams) + at
+            doc = np.repeat(np.arange(lo, hi), grams)
+            lo = hi
+            if not len(start):
+                continue
+            key = code[start] << 42 | code[start + 1] << 21 | code[start + 2]
+            order = np.lexsort((key, doc))
+            key, doc, at = key[order], doc[order], at[order]
+            begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
+            own, which = np.unique(key[begin], return_inverse=True)
+            names = pa.array(["".join(map(chr, (k >> 42, k >> 21 & 0x1FFFFF, k & 0x1FFFFF))) for k in own.tolist()], pa.string())
+            for part in range(0, len(begin), 200_000):
+                some = slice(part, part + 200_000)
+                edges = np.append(begin, len(at))[part : part + 200_001]
+                lists = pa.ListArray.from_arrays(pa.array((edges - edges[0]).astype(np.int32)), pa.array(at[edges[0] : edges[-1]].astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(which[some])), paths.take(pa.array(doc[begin[some]])), lists], names=["gram", "path", "at"])
+
+
+def build_positions(docs: DataFrame) -> DataFrame:
+    """gram, path, at: where each lower-case trigram of a document begins, in order. Grouped inside the document, so nothing is shuffled."""
+    return docs.select("path", F.lower(F.coalesce("text", F.lit(""))).alias("low")).mapInArrow(_positions, "gram string, path string, at array<int>")
+
+
 def build_gram_counts(trigram_postings: DataFrame) -> DataFrame:
     """gram, df: the number of documents that have it."""
     return trigram_postings.groupBy("gram").agg(F.count("*").alias("df"))
 
 
+def length_in_grams() -> Column:
+    return gram_count(F.col("text"))
+
+
 def build_lengths(docs: DataFrame) -> DataFrame:
     """path, n_grams: trigrams of each document, repeats counted."""
-    return docs.select("path", gram_count(F.col("text")).alias("n_grams"))
+    return docs.select("path", length_in_grams().alias("n_grams"))
 
 
 def delete_paths(index: dict[str, DataFrame], paths: DataFrame) -> dict[str, DataFrame]:
@@ -50,7 +127,7 @@ def delete_paths(index: dict[str, DataFrame], paths: DataFrame) -> dict[str, Dat
 
 
 #: Tables that are sums over another one.
-COUNTS = {"vocab": ("term_posting", build_vocab), "gram_count": ("trigram_posting", build_gram_counts)}
+COUNTS = {"vocab": ("term_posting", build_vocab), "gram_count": ("trigram_posting", build_gram_counts), "word_form": ("word_posting", build_forms)}
 
 
 def _counted(tables: dict[str, DataFrame], like: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -59,8 +136,9 @@ def _counted(tables: dict[str, DataFrame], like: dict[str, DataFrame]) -> dict[s
 
 def build_index(docs: DataFrame, folded: bool = True) -> dict[str, DataFrame]:
     """docs: path, mtime, text. folded: whether terms lose their diacritics."""
-    terms, grams = build_term_postings(docs, folded), build_trigrams(docs)
-    return {"file": docs.select("path", "mtime"), "text": docs.select("path", "text"), "word_posting": build_postings(docs), "term_posting": terms, "trigram_posting": grams, "doc_len": build_lengths(docs), "vocab": build_vocab(terms), "gram_count": build_gram_counts(grams)}
+    terms, grams, own = build_term_postings(docs, folded), build_positions(docs), build_postings(docs)
+    counts = {"vocab": build_vocab(terms), "gram_count": build_gram_counts(grams), "word_form": build_forms(own)}
+    return {"file": docs.select("path", "mtime"), "text": docs.select("path", "text"), "word_posting": own, "term_posting": terms, "trigram_posting": grams, "doc_len": build_lengths(docs), **counts}
 
 
 def upsert_docs(index: dict[str, DataFrame], docs: DataFrame, folded: bool = True) -> dict[str, DataFrame]:

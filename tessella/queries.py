@@ -12,11 +12,11 @@ from tessella.fixtures import sql_trim, with_views
 from tessella.functions import paths as p
 from tessella.functions import text as t
 from tessella.jobs import refresh
-from tessella.jobs.search import search
+from tessella.jobs import search as jobs
 from tessella.operators import diff, index, lookup, scan
 from tessella.operators import search as s
 from tessella.sources.files import CHANGES, list_roots, mtime_seconds, read_changes, read_files, to_docs
-from tessella.sources.store import read_index, read_meta, shared_dir, update_index, write_index
+from tessella.sources.store import Index, read_index, read_meta, shared_dir, signature, update_index, write_index
 from tessella.streaming import changes as st
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,14 +34,15 @@ def query(sql: str | None = None):
     return register
 
 
-_INDEXES: dict[tuple[str, ...], str] = {}
+_INDEXES: dict[tuple, str] = {}
 
 
-def persisted(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    """The index of the files, written when first asked for in a session: it is made once and searched many times."""
-    at = _INDEXES.get((spark.sparkContext.applicationId, d))
+def persisted(spark: SparkSession, d: str) -> Index:
+    """The index of the files, written when first asked for in a session: it is made once and searched many times. A table that is written anew is another one."""
+    key = (spark.sparkContext.applicationId, d, *signature(spark, f"{d}/documents.parquet"))
+    at = _INDEXES.get(key)
     if at is None:
-        at = _INDEXES[spark.sparkContext.applicationId, d] = shared_dir(spark)
+        at = _INDEXES[key] = shared_dir(spark)
         write_index(v.files(spark, d).select("path", "mtime", "text"), at)
     return read_index(spark, at)
 
@@ -201,12 +202,12 @@ def term_postings(spark, d):
 
 @query(with_views("files", "term_posting", "vocab") + "SELECT * FROM vocab")
 def build_vocab(spark, d):
-    return index.build_vocab(index.build_term_postings(v.files(spark, d)))
+    return index.count_terms(v.files(spark, d))
 
 
 @query(with_views("files", "lower_posting", "lower_vocab") + "SELECT * FROM lower_vocab")
 def build_vocab_unfolded(spark, d):
-    return index.build_vocab(index.build_term_postings(v.files(spark, d), folded=False))
+    return index.count_terms(v.files(spark, d), folded=False)
 
 
 _GRAMS = """, grams AS (SELECT path, a||b||c AS gram FROM (SELECT path, unnest(x) AS a, unnest(list_concat(x[2:], [NULL])) AS b, unnest(list_concat(x[3:], [NULL, NULL])) AS c FROM (SELECT path, regexp_extract_all(lower(text), '(?s).') AS x FROM files)))"""
@@ -295,12 +296,12 @@ def _in_path():
 
 @query(with_views("files", "word_posting", "lookup_words") + f"SELECT word, path FROM word_posting JOIN lookup_words USING (word) QUALIFY row_number() OVER (PARTITION BY word ORDER BY path) <= {FEW}")
 def paths_by_word(spark, d):
-    return lookup.paths_by_word(v.lookup_words(spark, d), persisted(spark, d)["word_posting"])
+    return jobs.paths_by_word(v.lookup_words(spark, d), persisted(spark, d))
 
 
 @query(with_views("files", "word_posting", "lookup_words") + f"SELECT word, least(count(DISTINCT path), {FEW})::BIGINT AS n_files, count(DISTINCT path) >= {FEW} AS or_more FROM word_posting JOIN lookup_words USING (word) GROUP BY word")
 def word_file_count(spark, d):
-    return lookup.word_file_count(v.lookup_words(spark, d), persisted(spark, d)["word_posting"])
+    return jobs.word_file_count(v.lookup_words(spark, d), persisted(spark, d))
 
 
 _COMPLETE = "SELECT prefix, word, max(cnt)::BIGINT AS cnt, row_number() OVER (PARTITION BY prefix ORDER BY max(cnt) DESC, word)::INT AS k FROM prefixes JOIN {} ON starts_with(term, lower(prefix)) JOIN (SELECT DISTINCT word, word_lower FROM word_posting) ON word_lower = term GROUP BY prefix, word QUALIFY k <= 2000"
@@ -308,14 +309,13 @@ _COMPLETE = "SELECT prefix, word, max(cnt)::BIGINT AS cnt, row_number() OVER (PA
 
 @query(with_views("files", "word_posting", "term_posting", "vocab", "prefixes") + _COMPLETE.format("vocab"))
 def complete(spark, d):
-    ix = persisted(spark, d)
-    return lookup.complete(v.prefixes(spark, d), ix["vocab"], ix["word_posting"])
+    return jobs.complete(v.prefixes(spark, d), persisted(spark, d))
 
 
 @query(with_views("files", "word_posting", "lower_posting", "lower_vocab", "prefixes") + _COMPLETE.format("lower_vocab"))
 def complete_unfolded(spark, d):
     f = v.files(spark, d)
-    return lookup.complete(v.prefixes(spark, d), index.build_vocab(index.build_term_postings(f, folded=False)), index.build_postings(f))
+    return lookup.complete(v.prefixes(spark, d), index.build_vocab(index.build_term_postings(f, folded=False)), index.build_forms(index.build_postings(f)))
 
 
 @query(
@@ -324,8 +324,7 @@ def complete_unfolded(spark, d):
 SELECT word, path, line_number, """ + sql_trim("left(line, 100)") + f""" AS line_text FROM (SELECT word, path FROM word_posting JOIN lookup_words USING (word) QUALIFY row_number() OVER (PARTITION BY word ORDER BY path) <= {FEW}) JOIN l USING (path) WHERE contains(lower(line), lower(word))"""
 )
 def definitions(spark, d):
-    ix = persisted(spark, d)
-    return lookup.definitions(v.lookup_words(spark, d), ix["word_posting"], ix["text"])
+    return jobs.definitions(v.lookup_words(spark, d), persisted(spark, d))
 
 
 # Search
@@ -352,7 +351,7 @@ def rank_stats(spark, d):
 @query(with_views(*_SEARCH, "lines", limit=LIMIT) + "SELECT query_id, file_rank, path, line_number, line_text FROM capped")
 def search_lines(spark, d):
     """The flagship: rank, cap files, match lines, cap lines."""
-    return search(v.queries(spark, d), persisted(spark, d))
+    return jobs.search(v.queries(spark, d), persisted(spark, d))
 
 
 @query(with_views(*_SEARCH, "lines", limit=LIMIT) + "SELECT query_id, file_rank, path, count(*)::BIGINT AS n, array_to_string(list(line_number::VARCHAR ORDER BY line_number), ' ') AS numbers FROM capped GROUP BY ALL")
@@ -493,7 +492,7 @@ def read_change_feed(spark, d):
 
 def _followed(spark, d) -> tuple[str, str]:
     """Folders of an index of the files that followed the changes, and of the scans that were asked for. A changed path holds the text of the document of its number."""
-    key = (spark.sparkContext.applicationId, d, "followed")
+    key = (spark.sparkContext.applicationId, d, "followed", *signature(spark, f"{d}/documents.parquet"), *signature(spark, f"{d}/events.parquet"))
     if at := _INDEXES.get(key):
         return f"{at}/index", f"{at}/asked"
     at = _INDEXES[key] = shared_dir(spark)

@@ -103,6 +103,29 @@ def hidden_files(folders: DataFrame, skip: str) -> DataFrame:
     return found.filter("not folder").unionByName(rest).drop("folder")
 
 
+#: Bytes of files that one task opens, about; and paths that may be named to Spark's own reader.
+TASK_BYTES, NAMED = 32 << 20, 10_000
+
+
+def read_listed(spark: SparkSession, files: DataFrame, roots: list[str]) -> DataFrame:
+    """path, mtime, size, content of the listed files (path, mtime, size) and no others: each is opened by a task.
+
+    A store that pyarrow does not know is read by Spark's reader: up to NAMED files by their names, of more the
+    roots' folders are scanned.
+    """
+    size, count = files.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    try:
+        for r in roots:
+            _store(r)
+    except (OSError, ValueError, NotImplementedError):
+        if count <= NAMED:
+            names = [re.sub(r"([\\{}\[\]*?])", r"\\\1", r["path"]) for r in files.select("path").collect()]
+            held = spark.read.format("binaryFile").option("ignoreMissingFiles", True).load(names) if names else read_files(spark, roots).limit(0)
+            return held.select("path", mtime_seconds(F.col("modificationTime")).alias("mtime"), F.col("length").alias("size"), "content") if names else held
+        return read_files(spark, roots).join(files.select("path", "size"), ["path", "size"], "left_semi")
+    return read_hidden(files.repartition(int(size // TASK_BYTES + min(count, spark.sparkContext.defaultParallelism) + 1)))
+
+
 def read_hidden(files: DataFrame) -> DataFrame:
     """path, mtime, size, content of listed files, each opened by its task; vanished files are skipped."""
 

@@ -1,34 +1,55 @@
-"""The persisted index.
-
-Every table is dealt to BUCKETS by a hash of the path. A write makes a new version
-of the buckets it touches, in folders of its own, and then adds a line to the
-manifest for each; the latest line of a bucket counts. So readers never see half a
-write, a job that fails leaves the manifest alone and may simply run again, and an
-upsert rewrites the buckets of its paths only. Versions that are older than the
-previous one are removed.
-
-``vocab`` and ``gram_count`` hold partial sums of each bucket and are added up when read.
+"""The persisted index: a log of sorted segments.
+
+A write makes a segment, a folder with one file set per table, and then one entry of the
+log, which lists the segments that count from then on. An entry's file must not exist before: of two
+writers that start from the same entry one is refused. So readers never see half a write, and a
+job that fails leaves the log alone and may simply run again.
+
+An update writes what changed and no more: the new rows of its paths, the paths themselves
+(``gone``), and for the counts (vocabulary, trigrams, word forms) new minus old, the old ones from
+the replaced texts. A reader leaves out rows whose path a later segment names, and adds the counts
+up. When FANOUT segments of one size have gathered, they are merged into one, so there are
+few of them after any number of updates, and a table is one scan whatever their number.
+
+In a segment a table is dealt to parts: by ranges of its key, with the bounds in the log (a key
+with more rows than a part holds is dealt over several by path), or by a hash of the path. Inside a
+part rows are sorted by key, in small pages, front-coded. ``Index.pick`` and ``Index.starting``
+read only the parts, and for few keys only the pages, that may hold the keys asked for.
 """
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from collections.abc import Iterator, Mapping
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessella.operators import index as ix
 
-#: What each table is sorted by inside a bucket, so that look-ups skip row groups.
-KEYS = {"file": "path", "text": "path", "word_posting": "word", "term_posting": "term", "trigram_posting": "gram", "doc_len": "path", "vocab": "term", "gram_count": "gram"}
-SUMS = {"vocab": {"doc_cnt": "doc_cnt", "cnt": "cnt"}, "gram_count": {"df": "df"}}
-#: For small indexes. A few hundred MB of text a bucket is a good size: give ``write_index`` more of them for more text.
-BUCKETS = 8
-KEPT_VERSIONS = 2
-_MANIFEST = "seq long, bucket int, version string, buckets int, folded boolean"
+#: The key that each stored table is sorted by; path: dealt by hash.
+KEYS = {"file": "path", "text": "path", "word_posting": "word", "trigram_posting": "gram", "vocab": "term", "gram_count": "gram", "word_form": "term", "gone": "path"}
+#: Counts, kept as sums of what each segment adds: their keys, and the count that says whether a key is there.
+SUMS = {"vocab": (["term"], "doc_cnt", "cnt"), "gram_count": (["gram"], "df"), "word_form": (["term", "word"], "n")}
+_SCHEMAS = {
+    "file": "path string, mtime long, n_grams long", "text": "path string, mtime long, text string", "word_posting": "path string, word string", "trigram_posting": "gram string, path string, at array<int>",
+    "vocab": "term string, doc_cnt long, cnt long", "gram_count": "gram string, df long", "word_form": "term string, word string, n long", "gone": "path string",
+}
+#: Text of a part, about; segments of one size that are merged; log entries that are kept for running readers.
+PART_BYTES, FANOUT, KEPT = 16 << 20, 4, 2
+#: Documents from which the bounds of the parts are taken.
+BOUND_DOCS = 500
+#: So many keys are looked for page by page.
+FEW_KEYS = 200
+_LAST = "\U0010ffff"
+_LAYOUT = {"parquet.writer.version": "PARQUET_2_0", "parquet.page.row.count.limit": "2000", **{f"parquet.enable.dictionary#{c}": "false" for c in ("path", "term", "word")}}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,133 +68,333 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("path"), F.lit(buckets)).cast("int")
+# The log
 
 
-def _manifest(spark: SparkSession, index_dir: str) -> DataFrame:
-    """The current line of every bucket."""
-    lines = spark.read.schema(_MANIFEST).parquet(f"{index_dir}/manifest")
-    return lines.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("seq")))).filter("k = 1").drop("k")
-
+def signature(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a table's files: another one when it was written anew."""
+    fs, p = _folder(spark, path)
+    return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)))
 
 def _folder(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def _children(spark: SparkSession, path: str) -> list[str]:
     fs, p = _folder(spark, path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+    return sorted(s.getPath().getName() for s in fs.listStatus(p) if not s.getPath().getName().startswith(".")) if fs.exists(p) else []
+
+
+def _entry(spark: SparkSession, index_dir: str, name: str) -> dict:
+    fs, p = _folder(spark, f"{index_dir}/log/{name}")
+    stream = fs.open(p)
+    try:
+        return json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def log(spark: SparkSession, index_dir: str) -> dict:
+    """The last entry: seq, folded, segments (oldest first; id, seq, docs and for each table its parts and bounds)."""
+    names = [n for n in _children(spark, f"{index_dir}/log") if n.endswith(".json")]
+    return _entry(spark, index_dir, names[-1]) if names else {"seq": 0, "folded": True, "segments": []}
+
+
+def _commit(spark: SparkSession, index_dir: str, entry: dict) -> str:
+    """Adds the entry; raises if another writer has added one with its number."""
+    fs, p = _folder(spark, f"{index_dir}/log/{entry['seq']:012d}.json")
+    stream = fs.create(p, False)
+    try:
+        stream.write(bytearray(json.dumps(entry).encode()))
+    finally:
+        stream.close()
+    names = _children(spark, f"{index_dir}/log")
+    kept = {s["id"] for n in names[-KEPT:] for s in _entry(spark, index_dir, n)["segments"]}
+    for n in names[:-KEPT]:
+        for s in _entry(spark, index_dir, n)["segments"]:
+            if s["id"] not in kept:
+                _remove(spark, f"{index_dir}/segments/{s['id']}")
+        _remove(spark, f"{index_dir}/log/{n}")
+    return str(entry["seq"])
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, p = _folder(spark, path)
+    fs.delete(p, True)
 
 
-def _write(table: DataFrame, index_dir: str, name: str, version: str, buckets: int) -> None:
-    """A task for each bucket, so dealt by path, and sorted by key inside it; so a key that all documents have makes no file larger than another."""
-    table.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", KEYS[name]).write.partitionBy("bucket").parquet(f"{index_dir}/{name}/{version}")
+# Segments
 
 
-def _read(spark: SparkSession, name: str, base: str, *paths: str) -> DataFrame:
-    return spark.read.schema(_SCHEMAS[name] + ", bucket int").option("basePath", base).parquet(*(paths or [base]))
+def _bounds(weights: list[tuple[str, int]], parts: int) -> list[str]:
+    """Keys that cut the sorted keys in parts of about equal weight; a heavy key may stand several times."""
+    rows = sorted(w for w in weights if w[0] is not None)
+    if parts < 2 or not rows:
+        return []
+    upto = np.cumsum([n for _, n in rows])
+    return [rows[int(np.searchsorted(upto, upto[-1] * k / parts, "right"))][0] if upto[-1] * k / parts < upto[-1] else rows[-1][0] for k in range(1, parts)]
 
 
-def _commit(spark: SparkSession, index_dir: str, touched: list[int], version: str, buckets: int, folded: bool) -> None:
-    seq = (spark.read.schema(_MANIFEST).parquet(f"{index_dir}/manifest").agg(F.max("seq")).first()[0] or 0) if "manifest" in _children(spark, index_dir) else 0
-    spark.createDataFrame([(seq + 1, b, version, buckets, folded) for b in touched], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{index_dir}/manifest")
+def _part_of(key: str, bounds: list[str], spread: Column) -> Column:
+    """The part of each row of a range-dealt table; spread: a number that deals the rows of a key in several parts."""
+    edges = np.array(bounds, object)
 
+    @F.pandas_udf("int")
+    def part(keys: pd.Series, spread: pd.Series) -> pd.Series:
+        codes, own = pd.factorize(keys)
+        own = np.asarray(own, object)
+        lo, hi = np.searchsorted(edges, own, "left"), np.searchsorted(edges, own, "right")
+        return pd.Series(lo[codes] + spread.to_numpy() % (hi - lo + 1)[codes])
 
-def _clean(spark: SparkSession, index_dir: str) -> None:
-    """Removes the buckets' versions that are neither current nor the one before, which a running reader may still hold."""
-    lines = spark.read.schema(_MANIFEST).parquet(f"{index_dir}/manifest")
-    old = lines.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy(F.desc("seq")))).filter(F.col("k") > KEPT_VERSIONS)
-    for r in old.select("bucket", "version").collect():  # versions of some buckets, not data
-        for name in KEYS:
-            fs, p = _folder(spark, f"{index_dir}/{name}/{r['version']}/bucket={r['bucket']}")
-            fs.delete(p, True)
+    return part(F.col(key), spread)
 
 
-def _tables(spark: SparkSession, index_dir: str, only: list[int] | None = None) -> dict[str, DataFrame]:
-    """The tables as they are stored, with bucket."""
-    buckets: dict[str, list[int]] = {}
-    for r in _manifest(spark, index_dir).collect():
-        if only is None or r["bucket"] in only:
-            buckets.setdefault(r["version"], []).append(r["bucket"])
-    out = {}
-    for name in KEYS:
-        table = spark.createDataFrame([], _SCHEMAS[name] + ", bucket int")
-        for version, own in buckets.items():
-            base = f"{index_dir}/{name}/{version}"
-            held = set(_children(spark, base))  # a bucket may be empty
-            paths = [f"{base}/bucket={b}" for b in own if f"bucket={b}" in held]
-            table = table.unionByName(_read(spark, name, base, *paths)) if paths else table
-        out[name] = table
-    return out
+def _write(table: DataFrame, at: str, name: str, seq: int, parts: int, bounds: list[str]) -> None:
+    key = KEYS[name]
+    table = table.select(*[c.split()[0] for c in _SCHEMAS[name].split(", ")]).withColumn("seq", F.lit(seq).cast("long"))
+    if parts > 1:
+        if key == "path":
+            part = F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int")
+        else:  # a count stands once
+            part = _part_of(key, bounds, F.pmod(F.xxhash64("path"), F.lit(1 << 20)) if "path" in table.columns else F.lit(0).cast("long"))
+        table = table.withColumn("part", part).repartitionById(parts, F.col("part"))
+    else:
+        table = table.withColumn("part", F.lit(0)).coalesce(1)
+    table.sortWithinPartitions("part", key, *(["path"] if "path" in table.columns and key != "path" else [])).write.options(**_LAYOUT).partitionBy("part").mode("overwrite").parquet(f"{at}/{name}")
 
 
-_SCHEMAS = {
-    "file": "path string, mtime long", "text": "path string, mtime long, text string", "word_posting": "path string, word string, word_lower string",
-    "term_posting": "path string, term string, n long", "trigram_posting": "gram string, path string", "doc_len": "path string, n_grams long",
-    "vocab": "term string, doc_cnt long, cnt long", "gram_count": "gram string, df long",
-}
+def _scan(spark: SparkSession, name: str, paths: list[str]) -> DataFrame:
+    schema = _SCHEMAS[name] + ", seq long"
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
-def _write_all(tables: dict[str, DataFrame], index_dir: str, version: str, buckets: int) -> None:
-    """Several at a time, so that the tail of one does not hold up the next."""
+def _segment(spark: SparkSession, index_dir: str, tables: dict[str, DataFrame], seq: int, parts: int, bounds: dict[str, list[str]], docs: int, found: str | None = None) -> dict:
+    """Writes the tables, several at a time, so that the tail of one does not hold up the next; returns the log's line."""
+    name = found or uuid.uuid4().hex
+    at = f"{index_dir}/segments/{name}"
     with ThreadPoolExecutor(4) as pool:
-        for done in [pool.submit(_write, t.withColumn("bucket", _bucket(buckets)), index_dir, name, version, buckets) for name, t in tables.items()]:
+        for done in [pool.submit(_write, t, at, k, seq, parts, bounds.get(k, [])) for k, t in tables.items()]:
             done.result()
-
-
-def _write_counts(spark: SparkSession, index_dir: str, version: str, buckets: int) -> None:
-    """Partial sums of the buckets, from the postings just written."""
-    read = lambda name: _read(spark, name, f"{index_dir}/{name}/{version}")
-    _write(read("term_posting").groupBy("bucket", "term").agg(F.count("*").alias("doc_cnt"), F.sum("n").cast("long").alias("cnt")), index_dir, "vocab", version, buckets)
-    _write(read("trigram_posting").groupBy("bucket", "gram").agg(F.count("*").alias("df")), index_dir, "gram_count", version, buckets)
-
-
-def write_index(docs: DataFrame, index_dir: str, folded: bool = True, buckets: int = BUCKETS) -> str:
-    """Writes all tables anew from docs (path, mtime, text); returns the version. The texts are written first and the rest is made from them, so docs are read once."""
-    spark, version = docs.sparkSession, uuid.uuid4().hex
-    _write_all({"text": docs.select("path", "mtime", "text")}, index_dir, version, buckets)
-    kept = _read(spark, "text", f"{index_dir}/text/{version}")
-    tables = ix.build_index(kept, folded)
-    _write_all({name: t for name, t in tables.items() if name not in SUMS and name != "text"}, index_dir, version, buckets)
-    _write_counts(spark, index_dir, version, buckets)
-    _commit(spark, index_dir, list(range(buckets)), version, buckets, folded)
-    _clean(spark, index_dir)
-    return version
+    line = {"id": name, "seq": seq, "docs": docs, "parts": dict.fromkeys(KEYS, parts), "bounds": bounds, "held": {}}
+    for k in KEYS:
+        line["held"][k] = sorted(int(c.split("=")[1]) for c in _children(spark, f"{at}/{k}") if c.startswith("part="))
+    return line
+
+
+class Index(Mapping):
+    """The tables of an index by name, as ``ix.build_index`` has them, of the segments of one log entry."""
+
+    def __init__(self, spark: SparkSession, index_dir: str, entry: dict):
+        self.spark, self.index_dir, self.entry = spark, index_dir, entry
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(["file", "text", "word_posting", "term_posting", "trigram_posting", "doc_len", "vocab", "gram_count", "word_form"])
+
+    def __len__(self) -> int:
+        return 9
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in list(self):
+            raise KeyError(name)
+        return self._shown(name, self._live(self._stored(name)))
+
+    @staticmethod
+    def _stored(name: str) -> str:
+        return {"doc_len": "file", "term_posting": "text"}.get(name, name)
+
+    def _shown(self, name: str, table: DataFrame) -> DataFrame:
+        """A table as it is given out: from the stored one that it is made of."""
+        if name == "file":
+            return table.select("path", "mtime")
+        if name == "doc_len":
+            return table.select("path", "n_grams")
+        if name == "text":
+            return table.select("path", "text")
+        if name == "word_posting":
+            return table.select("path", "word", F.lower("word").alias("word_lower"))
+        if name == "term_posting":
+            return ix.build_term_postings(table, self.entry["folded"])
+        return table
+
+    def paths_of(self, name: str, parts: dict[int, list[int]] | None = None) -> list[str]:
+        """Folders of a stored table's parts; parts: by the segment's number, all if None."""
+        return [f"{self.index_dir}/segments/{s['id']}/{name}/part={p}" for k, s in enumerate(self.entry["segments"]) for p in (s["held"][name] if parts is None else parts.get(k, [])) if p in s["held"][name]]
+
+    def _live(self, name: str, paths: list[str] | None = None, only: Column | None = None) -> DataFrame:
+        """The rows that count: added up, or those that no later segment replaces."""
+        table = _scan(self.spark, name, self.paths_of(name) if paths is None else paths)
+        table = table if only is None else table.filter(only)
+        if name in SUMS:
+            keys, there, *more = SUMS[name]
+            return table.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in (there, *more)]).filter(F.col(there) > 0)
+        gone = self.paths_of("gone")
+        if gone:
+            last = _scan(self.spark, "gone", gone).groupBy("path").agg(F.max("seq").alias("__seq"))
+            table = table.join(last, "path", "left").filter(F.col("__seq").isNull() | (F.col("__seq") <= F.col("seq"))).drop("__seq")
+        return table.drop("seq")
+
+    def parts_of(self, name: str, keys: DataFrame, prefix: bool = False) -> dict[int, list[int]]:
+        """Which parts of which segments may hold one of the keys (the only column). At most all parts come to the driver."""
+        key, segments = KEYS[name], self.entry["segments"]
+        if key == "path":
+            ways = [F.struct(F.lit(k).alias("k"), F.pmod(F.xxhash64("path"), F.lit(s["parts"][name])).cast("int").alias("p")) for k, s in enumerate(segments)]
+            found = keys.toDF("path").select(F.explode(F.array(*ways)).alias("x")).select("x.*").distinct()
+        else:
+            edges = [np.array(s["bounds"].get(name, []), object) for s in segments]
+
+            def which(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    own = np.array([x for x in b.column(0).to_pylist() if x is not None], object)
+                    pairs = set()
+                    for k, e in enumerate(edges):
+                        lo, hi = np.searchsorted(e, own, "left"), np.searchsorted(e, own + _LAST if prefix and len(own) else own, "right")
+                        pairs |= {(k, p) for a, z in set(zip(lo.tolist(), hi.tolist(), strict=True)) for p in range(a, z + 1)}
+                    rows = sorted(pairs)
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([p for _, p in rows], pa.int32())], names=["k", "p"])
+
+            found = keys.mapInArrow(which, "k int, p int").distinct()
+        out: dict[int, list[int]] = {}
+        for r in found.collect():
+            out.setdefault(r["k"], []).append(r["p"])
+        return out
+
+    def pick(self, name: str, keys: DataFrame) -> DataFrame:
+        """The table's rows with one of the keys (the only column), and perhaps others: from the parts, and for few keys the pages, that may hold them."""
+        stored, key = self._stored(name), KEYS[self._stored(name)]
+        few = [r[0] for r in keys.distinct().limit(FEW_KEYS + 1).collect()]
+        only = None
+        if len(few) <= FEW_KEYS:
+            tests = [F.col(key) == F.lit(x) for x in sorted(x for x in few if x is not None)] or [F.lit(False)]
+            while len(tests) > 1:  # a balanced tree of equalities, which the reader tests against the pages' bounds
+                tests = [reduce(lambda a, b: a | b, tests[i : i + 2]) for i in range(0, len(tests), 2)]
+            only = tests[0]
+        return self._shown(name, self._live(stored, self.paths_of(stored, self.parts_of(stored, keys)), only))
+
+    def starting(self, name: str, prefixes: DataFrame) -> DataFrame:
+        """The rows of vocab or word_form whose term starts with one of the prefixes (the only column), and perhaps others."""
+        few = [r[0] for r in prefixes.distinct().limit(FEW_KEYS + 1).collect()]
+        only = None
+        if len(few) <= FEW_KEYS:
+            tests = [(F.col("term") >= F.lit(x)) & (F.col("term") < F.lit(x + _LAST)) for x in sorted(x for x in few if x is not None)] or [F.lit(False)]
+            while len(tests) > 1:
+                tests = [reduce(lambda a, b: a | b, tests[i : i + 2]) for i in range(0, len(tests), 2)]
+            only = tests[0]
+        return self._live(name, self.paths_of(name, self.parts_of(name, prefixes, True)), only)
+
+
+def _made(docs: DataFrame, folded: bool) -> dict[str, DataFrame]:
+    """The stored tables of written documents, but for text and what is counted from other tables."""
+    return {"file": docs.select("path", "mtime", ix.length_in_grams().alias("n_grams")), "word_posting": ix.build_postings(docs), "trigram_posting": ix.build_positions(docs), "vocab": ix.count_terms(docs, folded)}
+
+
+def _cuts(docs: DataFrame, parts: int, count: int, folded: bool) -> dict[str, list[str]]:
+    """Bounds of the range-dealt tables, from some documents."""
+    if parts < 2:
+        return {}
+    some = materialized(docs.filter(F.pmod(F.xxhash64("path"), F.lit(max(1, count // BOUND_DOCS))) == 0).select("path", "text"))
+    weigh = lambda df, key: [(r[0], r[1]) for r in df.groupBy(key).count().collect()]
+    grams, words, terms = weigh(ix.build_trigrams(some), "gram"), weigh(ix.build_postings(some), "word"), weigh(ix.count_terms(some, folded), "term")
+    # A count has one row a key.
+    single = lambda rows: _bounds([(k, 1) for k, _ in rows], parts)
+    return {"trigram_posting": _bounds(grams, parts), "word_posting": _bounds(words, parts), "vocab": single(terms), "gram_count": single(grams), "word_form": single([(w.lower(), 1) for w, _ in words])}
+
+
+def write_index(docs: DataFrame, index_dir: str, folded: bool = True, parts: int | None = None) -> str:
+    """Writes an index anew from docs (path, mtime, text); returns its version. The texts are written first and the rest is made from them, so docs are read once.
+
+    parts: of each table; by default spark.sql.shuffle.partitions for the texts, and for the others by the texts' bytes.
+    """
+    spark = docs.sparkSession
+    seq, name = log(spark, index_dir)["seq"] + 1, uuid.uuid4().hex
+    at = f"{index_dir}/segments/{name}"
+    first = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _write(docs, at, "text", seq, first, [])
+    fs, p = _folder(spark, f"{at}/text")
+    parts = parts or max(8, int(fs.getContentSummary(p).getLength()) // PART_BYTES)
+    kept = _scan(spark, "text", [f"{at}/text"])
+    count = kept.count()
+    bounds = _cuts(kept, parts, count, folded)
+    _segment(spark, index_dir, _made(kept, folded), seq, parts, bounds, count, name)
+    counts = {"gram_count": ix.build_gram_counts(_scan(spark, "trigram_posting", [f"{at}/trigram_posting"])), "word_form": ix.build_forms(_scan(spark, "word_posting", [f"{at}/word_posting"]))}
+    line = _segment(spark, index_dir, counts, seq, parts, bounds, count, name)
+    line["parts"]["text"] = first
+    return _commit(spark, index_dir, {"seq": seq, "folded": folded, "segments": [line]})
+
+
+def _less(new: DataFrame, old: DataFrame, name: str) -> DataFrame:
+    """What the counts change by."""
+    keys, *counts = SUMS[name]
+    both = new.select(*keys, *counts).unionByName(old.select(*keys, *[(-F.col(c)).alias(c) for c in counts]))
+    return _changes(both, name)
+
+
+def _changes(table: DataFrame, name: str) -> DataFrame:
+    keys, *counts = SUMS[name]
+    return table.groupBy(*keys).agg(*[F.sum(c).cast("long").alias(c) for c in counts]).filter(reduce(lambda a, b: a | b, [F.col(c) != 0 for c in counts]))
 
 
 def update_index(spark: SparkSession, index_dir: str, docs: DataFrame, gone: DataFrame) -> str | None:
-    """Puts docs (path, mtime, text) in place of what stands under their paths and takes out the paths of ``gone``; only the buckets of these paths are written.
+    """Puts docs (path, mtime, text) in place of what stands under their paths and takes out the paths of ``gone``; what is written follows these texts and those they replace, not the index.
 
     Returns the version, or None if there was nothing to do. Doing it twice changes nothing more.
     """
-    line = _manifest(spark, index_dir).select("buckets", "folded").first()
+    entry = log(spark, index_dir)
+    index, seq, folded = Index(spark, index_dir, entry), entry["seq"] + 1, entry["folded"]
     docs = materialized(docs.select("path", "mtime", "text"))
-    changed = materialized(docs.select("path").union(gone.select("path")).distinct().withColumn("bucket", _bucket(line["buckets"])))
-    touched = sorted(r["bucket"] for r in changed.select("bucket").distinct().collect())  # at most all bucket numbers
-    if not touched:
+    paths = materialized(docs.select("path").union(gone.select("path")).distinct())
+    old = materialized(index.pick("text", paths).join(paths, "path", "left_semi"))
+    count, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    replaced = old.count()
+    if not count and not replaced:
         return None
-    version, old = uuid.uuid4().hex, _tables(spark, index_dir, touched)
-    new = ix.build_index(docs, line["folded"])
-    stays = {name: old[name].drop("bucket").join(changed.select("path"), "path", "left_anti") for name in KEYS if name not in SUMS}
-    _write_all({name: t.unionByName(docs if name == "text" else new[name]) for name, t in stays.items()}, index_dir, version, line["buckets"])
-    _write_counts(spark, index_dir, version, line["buckets"])
-    _commit(spark, index_dir, touched, version, line["buckets"], line["folded"])
-    _clean(spark, index_dir)
-    return version
-
-
-def read_index(spark: SparkSession, index_dir: str) -> dict[str, DataFrame]:
-    tables = _tables(spark, index_dir)
-    out = {name: t.drop("bucket") for name, t in tables.items()}
-    out["text"] = out["text"].drop("mtime")
-    for name, sums in SUMS.items():
-        out[name] = out[name].groupBy(KEYS[name]).agg(*[F.sum(c).cast("long").alias(c) for c in sums])
-    return out
+    parts = max(1, size // PART_BYTES)
+    counts = {
+        "vocab": _less(ix.count_terms(docs, folded), ix.count_terms(old, folded), "vocab"),
+        "gram_count": _less(ix.build_gram_counts(ix.build_trigrams(docs)), ix.build_gram_counts(ix.build_trigrams(old)), "gram_count"),
+        "word_form": _less(ix.build_forms(ix.build_postings(docs)), ix.build_forms(ix.build_postings(old)), "word_form"),
+    }
+    tables = {"text": docs, **_made(docs, folded), **counts, "gone": old.select("path")}
+    line = _segment(spark, index_dir, tables, seq, parts, _cuts(docs, parts, count, folded), count + replaced)
+    segments = _merged(spark, index_dir, [*entry["segments"], line], folded)
+    if line not in segments:
+        _remove(spark, f"{index_dir}/segments/{line['id']}")  # no entry ever names it
+    return _commit(spark, index_dir, {"seq": seq, "folded": folded, "segments": segments})
+
+
+def _tier(segment: dict) -> int:
+    return int(np.log(max(1, segment["docs"])) / np.log(FANOUT) + 1e-9)
+
+
+def _merged(spark: SparkSession, index_dir: str, segments: list[dict], folded: bool) -> list[dict]:
+    """The segments, of which the last ones of no larger size than the last are one where there are FANOUT of them."""
+    known = {s["id"] for s in segments}
+    while True:
+        n = 0
+        while n < len(segments) and _tier(segments[-1 - n]) <= _tier(segments[-1]):
+            n += 1
+        if n < FANOUT:
+            return segments
+        whole, run = n == len(segments), segments[-n:]
+        own = Index(spark, index_dir, {"segments": run, "folded": folded})
+        tables = {k: own._live(k) for k in KEYS if k not in SUMS and k != "gone"}
+        tables |= {k: _changes(_scan(spark, k, own.paths_of(k)), k) for k in SUMS}
+        gone = _scan(spark, "gone", own.paths_of("gone")).select("path").distinct()
+        if not whole:
+            tables["gone"] = gone
+        model = max(run, key=lambda s: s["docs"])
+        docs = tables["file"].count() + (0 if whole else gone.count())
+        line = _segment(spark, index_dir, tables, run[-1]["seq"], max(model["parts"].values()), model["bounds"], docs)
+        for s in run:
+            if s["id"] not in known:
+                _remove(spark, f"{index_dir}/segments/{s['id']}")
+        segments = [*segments[:-n], line]
+
+
+def read_index(spark: SparkSession, index_dir: str) -> Index:
+    return Index(spark, index_dir, log(spark, index_dir))
 
 
 def read_meta(spark: SparkSession, index_dir: str) -> DataFrame:
     """path, mtime of the stored files; no text is read."""
-    return read_index(spark, index_dir)["file"].select("path", "mtime")
+    return read_index(spark, index_dir)["file"]

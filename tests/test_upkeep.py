@@ -5,11 +5,15 @@ from __future__ import annotations
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.jobs import refresh
+from tessella.jobs.search import search
 from tessella.operators import index as ix
+from tessella.operators import scan
 from tessella.sources.files import read_files, to_docs
+from tessella.sources import files, store
 from tessella.sources.store import read_index, read_meta, update_index, write_index
 from tessella.streaming import changes as st
 
@@ -47,32 +51,87 @@ def test_unfolded_stays_unfolded(spark, tmp_path):
 
 
 def tree(at):
-    return {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, fs in os.walk(at) for f in fs if f.endswith(".parquet") and "manifest" not in d}
+    return {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(at) for f in fs if f.endswith(".parquet")}
 
 
-def test_update_in_place(spark, tmp_path):
-    """Only the buckets of the changed paths are written, older versions go, and the result is that of a full build."""
-    at, texts = str(tmp_path / "index"), {f"p{i}": f"text number {i} of many" for i in range(60)}
-    write_index(docs(spark, **texts), at)
+def none(spark):
+    return spark.createDataFrame([], "path string")
+
+
+def test_updates_are_small_and_merged(spark, tmp_path):
+    """An update writes what it changes; the rows are those of a full build after each of many; few segments are left, and a table is two scans at most."""
+    at, texts = str(tmp_path / "index"), {f"p{i}": f"text number {i} of many Wörter " * 40 for i in range(200)}
+    write_index(docs(spark, **texts), at, parts=4)
     before = tree(at)
     update_index(spark, at, docs(spark, p7="other words"), spark.createDataFrame([("p9",), ("nobody",)], "path string"))
     after = tree(at)
-    assert all(after[f] == m for f, m in before.items())  # the version before stays for its readers
-    written = {f.split("bucket=")[1].split("/")[0] for f in after if f not in before}
-    assert 1 <= len(written) <= 3
+    assert all(after[f] == n for f, n in before.items())
+    assert sum(n for f, n in after.items() if f not in before) < 0.25 * sum(before.values())
     texts["p7"] = "other words"
     del texts["p9"]
     assert same(read_index(spark, at), ix.build_index(docs(spark, **texts)))
-    for i in range(2):
-        update_index(spark, at, docs(spark, p7=f"again {i}"), spark.createDataFrame([], "path string"))
-    # Of p7's bucket the current version and the one before are left.
-    bucket = next(iter({f.split("bucket=")[1].split("/")[0] for f in tree(at) if f not in after and f not in before}))
-    assert len({f.split("/text/")[1].split("/")[0] for f in tree(at) if "/text/" in f and f"bucket={bucket}/" in f}) == 2
-    texts["p7"] = "again 1"
-    assert same(read_index(spark, at), ix.build_index(docs(spark, **texts)))
-    assert update_index(spark, at, docs(spark, x="y").filter("false"), spark.createDataFrame([], "path string")) is None
+    for i in range(9):
+        texts["p7"], texts[f"new{i % 4}"] = f"again {i}", f"Added {i} text"
+        gone = spark.createDataFrame([(f"p{50 + i}",)], "path string")
+        del texts[f"p{50 + i}"]
+        update_index(spark, at, docs(spark, **{"p7": texts["p7"], f"new{i % 4}": texts[f"new{i % 4}"]}), gone)
+        assert len(store.log(spark, at)["segments"]) <= 1 + 2 * (store.FANOUT - 1)
+        if i in (3, 8):
+            index = read_index(spark, at)
+            assert same(index, ix.build_index(docs(spark, **texts)))
+            assert all(index[k]._jdf.queryExecution().executedPlan().toString().count("FileScan") <= 2 for k in index if k != "term_posting")
+    assert update_index(spark, at, docs(spark, x="y").filter("false"), none(spark)) is None
     update_index(spark, at, docs(spark, x="y").filter("false"), docs(spark, **texts))
     assert all(t.count() == 0 for t in read_index(spark, at).values())
+    # Folders of segments that no kept entry of the log names are gone.
+    kept = {s["id"] for n in store._children(spark, f"{at}/log") for s in store._entry(spark, at, n)["segments"]}
+    assert set(os.listdir(f"{at}/segments")) == kept and len(os.listdir(f"{at}/log")) <= 2 * (store.KEPT + 1)
+
+
+def test_two_writers(spark, tmp_path):
+    """Of two updates from one state the second is refused, and nothing of it shows."""
+    at = str(tmp_path / "index")
+    write_index(docs(spark, a="one", b="two"), at, parts=2)
+    entry = store.log(spark, at)
+    update_index(spark, at, docs(spark, a="three"), none(spark))
+    with pytest.raises(Exception, match="already exists"):
+        store._commit(spark, at, entry | {"seq": entry["seq"] + 1})
+    assert rows(read_index(spark, at)["text"]) == [("a", "three"), ("b", "two")]
+
+
+def test_looked_up_parts(spark, tmp_path):
+    """Look-ups select parts by their bounds and pages by keys, and find all rows, also of keys that fill several parts."""
+    at = str(tmp_path / "index")
+    texts = {f"p{i}": " ".join(f"w{(i * 7 + k) % 300:03d}x" for k in range(30)) + f" only{i:04d} Word WORD" for i in range(400)}
+    write_index(docs(spark, **texts), at, parts=12)
+    update_index(spark, at, docs(spark, p3="word only0001 again", z="Wordy"), spark.createDataFrame([("p5",)], "path string"))
+    index = read_index(spark, at)
+    texts |= {"p3": "word only0001 again", "z": "Wordy"}
+    del texts["p5"]
+    full = ix.build_index(docs(spark, **texts))
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "k string")
+    files = lambda df: {f for f in df.inputFiles() if "/gone/" not in f}
+    for name, key, own in (("word_posting", "word", ("only0001", "Word", "none")), ("trigram_posting", "gram", ("y00", "wor", "zzz")), ("vocab", "term", ("only0001", "w007x")), ("text", "path", ("p3", "p9", "p5"))):
+        got = index.pick(name, keys(*own)).filter(F.col(key).isin(*own))
+        assert rows(got) == rows(full[name].filter(F.col(key).isin(*own)))
+    one = index.pick("word_posting", keys("only0007"))
+    assert len(files(one)) <= 3 < len(files(index["word_posting"])) and "EqualTo(word,only0007)" in one._jdf.queryExecution().executedPlan().toString().replace(" ", "")
+    many = index.pick("trigram_posting", full["trigram_posting"].select("gram").distinct())  # more than FEW_KEYS
+    assert rows(many) == rows(full["trigram_posting"])
+    for prefix in ("onl", "w00", "wor", "ÿ", ""):
+        for name in ("vocab", "word_form"):
+            got = index.starting(name, keys(prefix)).filter(F.startswith("term", F.lit(prefix)))
+            assert rows(got) == rows(full[name].filter(F.startswith("term", F.lit(prefix))))
+    assert len(files(index.starting("vocab", keys("only00")))) < len(files(index["vocab"]))
+    q = spark.createDataFrame([(1, "only0007"), (2, "w007x word"), (3, "ord WORD"), (4, "none")], "query_id long, query string")
+    assert rows(search(q, index)) == rows(search(q, full))
+    hit = index.pick("trigram_posting", keys("7 w", "y00"))._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" in hit and "text string" not in hit
+
+
+def test_bounds():
+    assert store._bounds([("a", 1), ("b", 1), ("c", 1), ("d", 1)], 2) == ["c"] and store._bounds([], 4) == [] and store._bounds([("a", 5)], 3) == ["a", "a"]
+    assert store._bounds([("a", 1), ("b", 98), ("c", 1)], 4) == ["b", "b", "b"]
 
 
 def write(path, content, mtime):
@@ -124,11 +183,37 @@ def test_refresh_with_ignore_files(spark, tmp_path):
     assert names() == [".github/w/x.yml", ".gitignore", "a.log", "b.pyc", "nested/n.log", "nested/n.txt", "pkg/__init__.py", "sub/.ignore"]
 
 
-def test_content_is_read_once(spark, tmp_path):
-    write(f"{tmp_path}/x/a.txt", b"abc", 5)
-    root = str(tmp_path / "x")
-    plan = refresh._docs(spark, [root], refresh.listing(spark, [root]))._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan binaryFile") == 1
+def test_only_changed_files_are_opened(spark, tmp_path):
+    """By the times of last access: of 50 files the changed one is opened, and none that is too large."""
+    root, at = str(tmp_path / "x"), str(tmp_path / "index")
+    for i in range(50):
+        write(f"{root}/f{i}.txt", b"words %d" % i, 1000)
+    refresh.create(spark, [root], at)
+    write(f"{root}/f7.txt", b"changed", 2000)
+    write(f"{root}/huge.txt", b"x" * (scan.MAX_SIZE + 1), 2000)
+    old = lambda: [os.utime(os.path.join(root, n), (500, os.stat(os.path.join(root, n)).st_mtime)) for n in os.listdir(root)]
+    opened = lambda: {n for n in os.listdir(root) if os.stat(os.path.join(root, n)).st_atime != 500}
+    old()
+    with open(f"{root}/f1.txt", "rb") as f:
+        f.read()
+    if "f1.txt" not in opened():
+        pytest.skip("the file system keeps no access times")
+    old()
+    assert refresh.refresh(spark, [root], at)
+    assert opened() == {"f7.txt"}
+    assert {r["text"] for r in read_index(spark, at)["text"].collect()} == {f"words {i}" for i in range(50) if i != 7} | {"changed"}
+
+
+def test_listed_files_of_an_unknown_store(spark, tmp_path, monkeypatch):
+    """What pyarrow cannot open is read by name, or, of very many files, from a scan."""
+    for i in range(5):
+        write(f"{tmp_path}/x/a{{{i}}}.txt", b"abc%d" % i, 5)
+    root = files.qualified(spark, str(tmp_path / "x"))
+    some = read_files(spark, [root]).select("path", "mtime", "size").filter("path like '%1%' or path like '%3%'")
+    monkeypatch.setattr(files, "_store", lambda uri: (_ for _ in ()).throw(NotImplementedError()))
+    for most in (10, 1):
+        monkeypatch.setattr(files, "NAMED", most)
+        assert {bytes(r["content"]) for r in files.read_listed(spark, some, [root]).collect()} == {b"abc1", b"abc3"}
 
 
 def test_listing_reads_no_content(spark, tmp_path):
