@@ -22,7 +22,7 @@ from tessella.llm.licence_texts import EQUIVALENT, FORMS, NOTICES, TEXTS
 
 #: Digests of 32 characters and an id: some 10 MB.
 KNOWN_BROADCAST = 100_000
-COPYRIGHT_LINE = r"(?m)^[ \t*#/;-]*(copyright[ \t]+(\(c\)|©|[0-9])|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"(?md)^[ \t*#/;-]*(copyright[ \t]+(\(c\)|©|[0-9])|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
 NEITHER = r"[^\p{L}\p{N}\n]+"
 BREAKS = r"[ \n]+"
 

@@ -7,10 +7,14 @@ import hashlib
 import regex
 
 from tessella.llm.licence_texts import EQUIVALENT, FORMS, NOTICES, TEXTS
-from tessella.llm.licences import BREAKS, COPYRIGHT_LINE, NEITHER
+from tessella.llm import licences
+from tessella.llm.licences import BREAKS, NEITHER
 from tessella.llm.mixing import CYCLE, MAX_REPEATS
 from tessella.llm.quality import FENCES, PRIOR, RATES, SCALE, SPREAD
 
+#: Only Java wants to be told that lines end with \n alone.
+COPYRIGHT_LINE = licences.COPYRIGHT_LINE.replace("(?md)", "(?m)")
+
 OP1 = r"""
 WITH u AS (SELECT page_id, coalesce(regexp_extract(url, '(?s)^.*?://(.*)$', 1), '') AS rest FROM pages),
 p AS (SELECT page_id, regexp_extract(rest, '(?s)^[^/?#]*') AS h, regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u),

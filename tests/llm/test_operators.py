@@ -156,18 +156,30 @@ def test_urls(spark):
     assert urls.judge(df.limit(0), URL_RULES).count() == 0 and urls.judge(df, []).filter("verdict <> 'allow'").count() == 0
 
 
-def test_rules_are_bounded(monkeypatch):
-    monkeypatch.setattr(urls, "MAX_BYTES", 100)
-    urls.RuleArray.pack(URL_RULES[:1])
-    with pytest.raises(ValueError, match="more than 100"):
-        urls.RuleArray.pack(URL_RULES)
+def test_rules_in_several_arrays(spark, monkeypatch):
+    """However the rules are cut, and however few candidates are looked up at once, the verdicts are the same."""
+    urls_ = ["http://www.example.com/en/a", "http://example.com/en/", "http://a.net/fr/", "http://b.com/", "http://x/", None, "http://" + "a.b." * 15_000 + "net/es/", "http://example.com/en/" + "/" * 9000]
+    df = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    want = rows(urls.judge(df, URL_RULES))
+    monkeypatch.setattr(urls, "MAX_BYTES", 40)
+    monkeypatch.setattr(urls, "CANDIDATES", 3)
+    assert len(urls.arrays(URL_RULES)) == 5 and rows(urls.judge(df, URL_RULES)) == want
+    assert {r[0]: r[3] for r in want} == {0: "www.example.com/en/", 1: "example.com/en/", 2: "net/fr/", 3: "com/", 4: None, 5: None, 6: "net/es/", 7: "example.com/en/"}
+
+
+def test_long_hosts(tmp_path):
+    """Of a host with very many labels only those a rule can have are looked at."""
+    (tmp_path / "r").write_bytes(urls.arrays(URL_RULES)[0])
+    array = urls.RuleArray(str(tmp_path / "r"))
+    assert list(array._suffixes(b"a.b.example.com")) == [b"com", b"example.com", b"b.example.com", b"a.b.example.com"] and list(array._suffixes(b"")) == [] and list(array._suffixes(b"com")) == [b"com"]
+    assert len(list(array._suffixes(b"ab." * 30_000 + b"net"))) == 5
 
 
 def test_colliding_digests(tmp_path, monkeypatch):
     monkeypatch.setattr(urls.xxhash, "xxh64_intdigest", lambda s: len(s) % 2)
-    (tmp_path / "r").write_bytes(urls.RuleArray.pack(URL_RULES))
+    (tmp_path / "r").write_bytes(urls.arrays(URL_RULES)[0])
     array = urls.RuleArray(str(tmp_path / "r"))
-    assert array.probe([(b"a.example.com", b"/en/1"), (b"b.org", b"/en/")]) == [("example.com/en/", False), (None, False)]
+    assert array.probe([(b"a.example.com", b"/en/1"), (b"b.org", b"/en/")]) == [(b"example.com/en/", False), (None, False)]
 
 
 def test_mix(spark, sf_dir, odd, empty):

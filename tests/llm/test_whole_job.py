@@ -49,6 +49,14 @@ def test_planted_licences(spark, tmp_path):
     assert all(found.values()) and sum(found[10_000 + n] == i for n, (i, _) in enumerate(known)) >= 0.9 * len(known)  # BSD License titles two of them
 
 
+def test_copyright_lines_end_with_line_feeds(spark, tmp_path):
+    """Prose behind other separators of Unicode is no line of its own."""
+    spark.createDataFrame([(i, f"some words{x}copyright 2020 and these words of prose stay") for i, x in enumerate("\n\u2028\u2029\u0085\r ")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    df = licences.scan(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == sql_rows(str(tmp_path), ORACLES["op5_licence_scan"])
+    assert df.select("digest").distinct().count() == 2
+
+
 def _bucket(texts: list[bytes]) -> pa.RecordBatch:
     n = len(texts)
     columns = [pa.array([1] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([0] * n, pa.int64()), pa.array([7] * n, pa.int64()), pa.array([len(t) for t in texts], pa.int32()), pa.array(texts, pa.binary())]
