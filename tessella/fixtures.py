@@ -52,7 +52,7 @@ def lookup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_prio, glob, enabled."""
     d = table(spark, sf_dir, "documents")
-    return d.select((F.col("doc_id") % 4).cast("int").alias("source_prio"), F.concat(F.lit("**/"), "source", F.lit("/"), "lang").alias("glob"), (F.col("doc_id") % 3 != 0).alias("enabled"))
+    return d.select((F.col("doc_id") % 4).cast("int").alias("source_prio"), F.concat(F.lit("**/"), "source", F.lit("/"), "lang", F.lit("/"), (F.col("doc_id") % 1000).cast("string"), F.lit("?.txt")).alias("glob"), (F.col("doc_id") % 3 != 0).alias("enabled"))
 
 
 def ignore_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +77,12 @@ def as_changes(events: DataFrame) -> DataFrame:
     return events.select("event_id", F.concat(F.lit("/ws/u/"), name).alias("path"), kind.alias("kind"), "ts", F.round(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long").alias("mtime"), (F.col("event_id") % 1000).alias("size"))
 
 
+def controls(events: DataFrame) -> DataFrame:
+    """event_id, ts, what, value: now and then the settings or the folders are saved, mostly as they were."""
+    what = F.when(F.col("event_id") % 2 == 0, "settings").otherwise("folders")
+    return events.filter("event_id % 5 = 0").select("event_id", "ts", what.alias("what"), F.when(F.col("user_id") % 4 == 0, F.col("event_type")).otherwise("usual").alias("value"))
+
+
 #: What ``trimmed`` does.
 sql_trim = lambda x: f"regexp_replace({x}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
 _list = lambda xs: "[" + ", ".join("'" + x.replace("\r", "' || chr(13) || '") + "'" for x in xs) + "]"
@@ -88,10 +94,11 @@ SQL = {
     "queries": f"queries AS (SELECT item_id AS query_id, array_to_string(list_slice(list_filter({_WORDS.format('text')}, lambda x: length(x)>=3),1,2),' ') AS query FROM benchmark)",
     "prefixes": f"prefixes AS (SELECT DISTINCT left(lower(w),3) AS prefix FROM (SELECT unnest({_WORDS.format('text')}) AS w FROM benchmark) WHERE length(w)>=5)",
     "lookup_words": f"lookup_words AS (SELECT DISTINCT word FROM (SELECT (list_filter({_WORDS.format('text')}, lambda x: length(x)>=6))[1] AS word FROM benchmark) WHERE word IS NOT NULL)",
-    "settings": "settings AS (SELECT (doc_id%4)::INT AS source_prio, '**/'||source||'/'||lang AS \"glob\", doc_id%3<>0 AS enabled FROM documents)",
+    "settings": "settings AS (SELECT (doc_id%4)::INT AS source_prio, '**/'||source||'/'||lang||'/'||doc_id%1000||'?.txt' AS \"glob\", doc_id%3<>0 AS enabled FROM documents)",
     "ignore_lines": f"ignore_lines AS (SELECT '/ws/'||source AS root, CASE WHEN lang='en' THEN '' ELSE lang END AS dir, doc_id AS line_no, {_list(IGNORED)}[doc_id%{len(IGNORED)}+1] AS line FROM documents)",
     "folders": "folders(name, root) AS (VALUES " + ", ".join(f"('{n}', '{r}')" for n, r in FOLDERS) + ")",
     "changes": "changes AS (SELECT event_id, '/ws/u/'||CASE WHEN event_id%97=0 THEN '.gitignore' ELSE user_id||'.txt' END AS path, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' ELSE 'change' END AS kind, ts, round(epoch_us(ts)/1e6)::BIGINT AS mtime, event_id%1000 AS size FROM events)",
+    "controls": "controls AS (SELECT event_id, ts, CASE WHEN event_id%2=0 THEN 'settings' ELSE 'folders' END AS what, CASE WHEN user_id%4=0 THEN event_type ELSE 'usual' END AS value FROM events WHERE event_id%5=0)",
     "word_posting": f"word_posting AS (SELECT DISTINCT path, word, lower(word) AS word_lower FROM (SELECT path, unnest({_WORDS.format('text')}) AS word FROM files) WHERE length(word)>=3)",
     "term_posting": r"term_posting AS (SELECT path, term, count(*)::BIGINT AS n FROM (SELECT path, strip_accents(unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{Co}\p{M}]+'))) AS term FROM files) GROUP BY ALL)",
     "lower_posting": f"lower_posting AS (SELECT path, term, count(*)::BIGINT AS n FROM (SELECT path, lower(unnest({_WORDS.format('text')})) AS term FROM files) WHERE length(term)>=3 GROUP BY ALL)",

@@ -50,3 +50,27 @@ def glob_to_regex(glob: str, tree: bool = False, root: str = "") -> str:
 def any_regex(globs: list[str], tree: bool = True, root: str = "") -> str:
     """One alternation for all globs; matches nothing if there are none."""
     return "|".join(f"(?:{glob_to_regex(g, tree, root)})" for g in sorted(set(globs))) or "(?!)"
+
+
+_MAGIC = re.compile(r"[*?{}\[\]]")
+
+
+def literal_key(glob: str) -> str | None:
+    """What every path that the glob matches has among its ``path_keys``: a part's name after ``=``, or the end of a part's name from a dot on. None if the glob names nothing such."""
+    if re.search(r"\{[^}]*/", glob):  # a slash inside alternatives
+        return None
+    parts = glob.split("/")
+    names, ends = [], []
+    for before, part in zip(["", *parts], parts, strict=False):
+        if "**" in before and before != "**":
+            continue  # it may stand in the middle of a part
+        if part and not _MAGIC.search(part):
+            names.append("=" + part)
+        elif re.fullmatch(r"\*\.[^*?{}\[\]]+", part):
+            ends.append(part[1:])
+    return max(names, key=len) if names else max(ends, key=len) if ends else None
+
+
+def path_keys(path: str) -> set[str]:
+    parts = [p for p in path.split("/") if p]
+    return {"=" + p for p in parts} | {p[i:] for p in parts for i, c in enumerate(p) if c == "."}

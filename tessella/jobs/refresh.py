@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.globs import any_regex
 from tessella.operators import scan
-from tessella.operators.diff import diff_changed, diff_deleted
+from tessella.operators.diff import changed_folders, diff_changed, diff_deleted
 from tessella.sources.files import folders_of, hidden_files, list_roots, qualified, read_files, read_hidden, read_listed
 from tessella.sources.store import materialized, read_meta, update_index, write_index
 
@@ -20,8 +20,9 @@ def create(spark: SparkSession, roots: list[str], index_dir: str, settings: Data
 def refresh(spark: SparkSession, roots: list[str], index_dir: str, settings: DataFrame | None = None) -> str | None:
     """The version written, or None if nothing changed."""
     listed, stored = listing(spark, roots, settings), read_meta(spark, index_dir)
-    changed = materialized(diff_changed(listed, stored))  # only these files are opened
-    return update_index(spark, index_dir, _docs(spark, roots, changed), diff_deleted(listed, stored))
+    folders = materialized(changed_folders(listed, stored))
+    changed = materialized(diff_changed(listed, stored, folders))  # only these files are opened
+    return update_index(spark, index_dir, _docs(spark, roots, changed), diff_deleted(listed, stored, folders))
 
 
 def excludes(spark: SparkSession, settings: DataFrame | None = None) -> DataFrame:

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 from pyspark.sql.window import Window
 
-from tessella.functions.globs import any_regex
+from tessella.functions.globs import any_regex, glob_to_regex, literal_key
 from tessella.functions.paths import classify_ext
 from tessella.functions.text import trimmed
+from tessella.sources.store import materialized
 
 #: Excluded by default, and names of ignore files.
 DEFAULT_EXCLUDES = [
@@ -62,23 +63,50 @@ def cap_ignore(patterns: DataFrame, n: int = MAX_IGNORE, excludes: DataFrame | N
     return rows.groupBy("root").agg(F.sum("over").alias("dropped"), F.array_sort(F.collect_set("glob")).alias("globs"))
 
 
-def _alternations(tree: bool):
+def _rules(tree: bool):
+    """For mapInPandas over (root, globs): root, key, rx: of each glob with a literal key; and with a null key one alternation of a root's others."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
-            yield pd.DataFrame({"root": df["root"], "rx": [any_regex(list(g), tree, r) for r, g in zip(df["root"], df["globs"], strict=True)]})
+            rows = []
+            for root, globs in zip(df["root"], df["globs"], strict=True):
+                keys = [(g, literal_key(g)) for g in globs]
+                rows += [(root, k, glob_to_regex(g, tree, root)) for g, k in keys if k]
+                rest = [g for g, k in keys if not k]
+                rows += [(root, None, any_regex(rest, tree, root))] if rest else []
+            yield pd.DataFrame(rows, columns=["root", "key", "rx"])
 
     return run
 
 
+def _keys(path: Column) -> Column:
+    """``path_keys``, natively."""
+    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    ends = F.transform(parts, lambda p: F.transform(F.slice(F.split(p, r"\."), 2, 1 << 20), lambda _, i: F.concat(F.lit("."), F.array_join(F.slice(F.split(p, r"\."), i + 2, 1 << 20), "."))))
+    return F.array_distinct(F.concat(F.transform(parts, lambda p: F.concat(F.lit("="), p)), F.flatten(ends)))
+
+
+#: Rules that go to every task.
+BROADCAST_RULES = 200_000
+
+
 def apply_ignore(files: DataFrame, capped: DataFrame, tree: bool = True) -> DataFrame:
     """The files (root, path) that no glob of their own root matches.
 
-    Each root's globs, some thousand at most, become one alternation; files meet it by
-    their root, sorted so that an expression is compiled once and not once a file.
+    Most globs name a part of the path or an end of one (``node_modules``, ``*.log``): they meet
+    the files by equality on the parts below the root, and only such pairs are tried by
+    their expression. Of the few others each root has one alternation.
     """
-    rules = capped.select("root", "globs").mapInPandas(_alternations(tree), "root string, rx string")
-    both = files.join(rules, "root", "left").sortWithinPartitions("root")
-    return both.filter(~F.coalesce(F.regexp_like("path", F.col("rx")), F.lit(False))).select(*files.columns)
+    rules = materialized(capped.select("root", "globs").mapInPandas(_rules(tree), "root string, key string, rx string"))
+    keyed, rest = rules.filter("key is not null"), rules.filter("key is null").select("root", "rx")
+    small = rules.count() <= BROADCAST_RULES
+    below = F.when(F.startswith("path", F.concat("root", F.lit("/"))), F.substring("path", F.length("root") + 2, F.length("path"))).otherwise(F.col("path"))
+    parts = files.select("root", "path", F.explode(_keys(below)).alias("key"))
+    pairs = parts.join(F.broadcast(keyed) if small else keyed, ["root", "key"]).sortWithinPartitions("rx")  # an expression is compiled once and not once a file
+    hits = pairs.filter(F.regexp_like("path", F.col("rx"))).select("root", "path").distinct()
+    both = files.join(F.broadcast(rest) if small else rest, "root", "left").sortWithinPartitions("root")
+    left = both.filter(~F.coalesce(F.regexp_like("path", F.col("rx")), F.lit(False))).select(*files.columns)
+    return left.join(hits, ["root", "path"], "left_anti").select(*files.columns)
 
 
 def _edges(b: bytes, begin: int) -> bool:

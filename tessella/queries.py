@@ -125,14 +125,14 @@ def is_indexable(spark, d):
 merged AS (SELECT "glob" FROM (SELECT "glob", arg_max(enabled, source_prio * 2 + enabled::INT) AS enabled FROM settings GROUP BY "glob") WHERE enabled)
 SELECT path, size FROM files WHERE NOT EXISTS (SELECT 1 FROM capped WHERE ("glob" = dir||'/**/*.dat' AND starts_with(path, '/ws/'||dir||'/') AND ends_with(path, '.dat'))
     OR ("glob" = dir||'/de/*.md' AND starts_with(path, '/ws/'||dir||'/de/') AND ends_with(path, '.md')))
-  AND NOT EXISTS (SELECT 1 FROM merged WHERE ends_with("glob", '/fr') AND "glob" = '**/'||source||'/'||lang) AND size > 0 AND size < {scan.MAX_SIZE} AND {_KIND} <> 'binary'"""
+  AND NOT EXISTS (SELECT 1 FROM merged WHERE "glob" = '**/'||source||'/'||lang||'/'||doc_id//10||'?.txt' AND doc_id >= 10 AND ends_with(path, '.txt')) AND size > 0 AND size < {scan.MAX_SIZE} AND {_KIND} <> 'binary'"""
 )
 def scan_with_ignore(spark, d):
-    """What a full scan of the root /ws lists: excludes from the settings for one language, capped ignore lines, and files that may be indexed."""
+    """What a full scan of the root /ws lists: excludes from the settings, capped ignore lines, and files that may be indexed."""
     files = v.files(spark, d).select(F.lit("/ws").alias("root"), "path", "size")
     lines = v.ignore_lines(spark, d)
     lines = lines.select(F.lit("/ws").alias("root"), F.concat_ws("/", F.substring("root", 5, 1 << 30), F.when(F.col("dir") != "", F.col("dir"))).alias("dir"), "line_no", "line")
-    return refresh.scan_files(files, lines, refresh.excludes(spark, v.settings(spark, d).filter(F.endswith("glob", F.lit("/fr"))))).select("path", "size")
+    return refresh.scan_files(files, lines, refresh.excludes(spark, v.settings(spark, d))).select("path", "size")
 
 
 @query(with_views("files") + f"SELECT path, md5(CASE WHEN {_KIND} = 'binary' THEN '' ELSE text END) AS text_md5 FROM files")
@@ -172,6 +172,15 @@ def diff_changed(spark, d):
     return diff.diff_changed(v.files(spark, d).select("path", "mtime"), v.stored(spark, d))
 
 
+@query(
+    with_views("files", "stored")
+    + """, pairs AS (SELECT coalesce(f.path, s.path) AS path, f.mtime AS now, s.mtime AS old FROM files f FULL JOIN stored s ON f.path = s.path)
+SELECT DISTINCT regexp_replace(path, '/?[^/]*$', '') AS folder FROM pairs WHERE now IS DISTINCT FROM old"""
+)
+def changed_folders(spark, d):
+    return diff.changed_folders(v.files(spark, d).select("path", "mtime"), v.stored(spark, d))
+
+
 @query(with_views("files", "stored") + "SELECT path, mtime FROM stored WHERE path NOT IN (SELECT path FROM files)")
 def diff_deleted(spark, d):
     return diff.diff_deleted(v.files(spark, d), v.stored(spark, d))
@@ -380,10 +389,7 @@ SELECT query_id, path, line_number, pos::INT AS "start", (pos + length(term))::I
 )
 def highlight_spans(spark, d):
     """In every line of every document, the terms of every query that the line holds as a whole."""
-    blocks = s.split_queries(v.queries(spark, d)).select("query_id", "terms")
-    lines = s.number_lines(v.files(spark, d)).join(F.broadcast(blocks), s.has_all(F.col("line"), F.col("terms")))
-    spans = t.highlight_spans(F.col("line"), F.col("terms"))
-    return lines.select("query_id", "path", "line_number", F.explode(spans).alias("x")).select("query_id", "path", "line_number", "x.start", "x.end")
+    return jobs.highlights(v.queries(spark, d), persisted(spark, d))
 
 
 # Functions
@@ -528,3 +534,13 @@ def stream_delete(spark, d):
 def stream_rescan_flag(spark, d):
     """The scans that changes of ignore files ask for."""
     return spark.read.parquet(_followed(spark, d)[1])
+
+
+@query(with_views("controls") + "SELECT what, event_id, ts, value FROM controls QUALIFY value IS DISTINCT FROM lag(value) OVER (PARTITION BY what ORDER BY ts, event_id)")
+def stream_setting_requests(spark, d):
+    """The scans that real changes of the settings and of the folder list ask for, over a stream of what was saved."""
+    at = shared_dir(spark)
+    feed = v.controls(spark.readStream.schema(v.table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]"))
+    write = lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/n={n}")
+    st.follow(st.setting_requests(feed), write, f"{at}/state").awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("n")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from tessella.operators.scan import exclude_globs, ignore_file_events, is_indexable
@@ -61,6 +63,38 @@ def rescan_requests(changes: DataFrame) -> DataFrame:
     return latest_per_path(ignore_file_events(changes)).select("path", "event_id", "ts", "kind")
 
 
+REQUEST = "what string, event_id long, ts timestamp, value string"
+
+
+def _real_changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The events after which the value is another one than before; the value, and when it was set, are all that is kept."""
+    last = state.get if state.exists else None
+    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"], kind="stable")  # control events are few
+    out = []
+    for r in rows.itertuples(index=False):
+        at = (int(r.ts.value), int(r.event_id))
+        if last is not None and at <= (last[1], last[2]):
+            continue  # it came late: a later value stands already
+        if last is None or r.value != last[0]:
+            out.append((key[0], int(r.event_id), r.ts, r.value))
+        last = (r.value, *at)
+    if last is not None:
+        state.update(last)
+    if out:
+        yield pd.DataFrame(out, columns=["what", "event_id", "ts", "value"])
+
+
+def setting_requests(controls: DataFrame) -> DataFrame:
+    """what, event_id, ts, value: a request for a full scan for each real change of the settings or the list of folders, and for their first value.
+
+    controls: a stream of event_id, ts, what (``settings``, ``folders``) and value, their whole
+    content or a digest of it; an event with the value that stands already asks for nothing, and one
+    that is older than the value that stands is passed over.
+    """
+    rows = controls.select("what", "event_id", "ts", "value")
+    return rows.groupBy("what").applyInPandasWithState(_real_changes, REQUEST, "value string, ts long, event_id long", "append", GroupStateTimeout.NoTimeout)
+
+
 def apply_changes(changes: DataFrame, index_dir: str, load: Callable[[DataFrame], DataFrame], globs: list[str], checkpoint: str, rescan: Callable[[DataFrame], None] | None = None, once: bool = True) -> StreamingQuery:
     """Follows a streaming table of changes.
 

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import os
+import random
+import re
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions.globs import any_regex, glob_to_regex, literal_key, path_keys
 from tessella.jobs import refresh
-from tessella.jobs.search import search
+from tessella.jobs.search import highlights, search
 from tessella.operators import index as ix
-from tessella.operators import scan
+from tessella.operators import diff, scan
 from tessella.sources.files import read_files, to_docs
 from tessella.sources import files, store
 from tessella.sources.store import read_index, read_meta, update_index, write_index
@@ -19,7 +22,7 @@ from tessella.streaming import changes as st
 
 
 def rows(df):
-    return sorted(map(tuple, df.select(sorted(df.columns)).collect()))
+    return sorted(map(tuple, df.select(sorted(df.columns)).collect()), key=str)
 
 
 def same(a, b):
@@ -261,3 +264,55 @@ def test_bursts_on_a_stream(spark, tmp_path):
     st.follow(bursts, write_, str(tmp_path / "c")).awaitTermination()
     got = sorted((r["n_events"], r["n_paths"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [(2, 2), (3, 2)]  # the last one stays open
+
+
+def test_folders_are_compared_first(spark):
+    """Of folders that are the same no file is joined; nulls and files without a folder are compared too."""
+    now = spark.createDataFrame([("/a/x", 1), ("/a/y", 2), ("/b/x", 1), ("top", 3), ("/c/d/z", None), ("/e/n", None)], "path string, mtime long")
+    old = spark.createDataFrame([("/a/y", 2), ("/a/x", 1), ("/b/x", 2), ("/b/gone", 5), ("top", 3), ("/c/d/z", 4), ("/e/n", None), ("/f/only", 1)], "path string, mtime long")
+    assert rows(diff.changed_folders(now, old)) == [("/b",), ("/c/d",), ("/f",)]
+    assert rows(diff.diff_changed(now, old)) == [(1, "/b/x"), (None, "/c/d/z")]
+    assert rows(diff.diff_deleted(now, old)) == [(1, "/f/only"), (5, "/b/gone")]
+    # Exchanged times, and files of one hash sum, do not hide a change.
+    assert rows(diff.changed_folders(now, now.withColumn("mtime", F.when(F.col("path") == "/a/x", 2).when(F.col("path") == "/a/y", 1).otherwise(F.col("mtime"))))) == [("/a",)]
+    assert diff.changed_folders(now, now).count() == 0 and diff.diff_changed(now, now).count() == 0 and diff.diff_deleted(now.limit(0), now.limit(0)).count() == 0
+
+
+def test_setting_requests(spark, tmp_path):
+    """One request for a real change, none for the same value, across batches and late events."""
+    schema = "event_id long, ts timestamp, what string, value string"
+    feed, out = str(tmp_path / "feed"), str(tmp_path / "out")
+
+    def run(*new):
+        spark.createDataFrame(list(new), "event_id long, ts string, what string, value string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(feed)
+        write_ = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/n={n}")
+        st.follow(st.setting_requests(spark.readStream.schema(schema).parquet(feed)), write_, str(tmp_path / "c")).awaitTermination()
+        return sorted(r["event_id"] for r in spark.read.parquet(out).collect())
+
+    day = "2024-01-01 00:00:0"
+    assert run((1, f"{day}1", "settings", "a"), (2, f"{day}2", "settings", "a"), (3, f"{day}1", "folders", None), (4, f"{day}3", "settings", "b")) == [1, 3, 4]
+    assert run((5, f"{day}4", "settings", "b"), (6, f"{day}4", "folders", "x")) == [1, 3, 4, 6]
+    assert run((7, f"{day}2", "settings", "z"), (8, f"{day}5", "settings", "a")) == [1, 3, 4, 6, 8]
+
+
+def test_globs_by_their_parts(spark):
+    """Files meet globs by parts of their paths; the result is that of one alternation for every file."""
+    r = random.Random(3)
+    names = ["src", "lib", "a.tar.gz", "b.log", "node_modules", ".git", "x", "main.py", "a{b}", "c[d]", "e.f", "déjà", "a+b.log", "xy"]
+    paths = sorted({"/r%d/" % r.randint(1, 3) + "/".join(r.choice(names) for _ in range(r.randint(1, 4))) for _ in range(400)})
+    globs = ["**/node_modules", "**/*.log", "src/*.py", "lib/**", "**/.git/**", "*", "**/x**/y", "**/{src/x,lib}/e.f", "**/[ab].*", "**/a+b.log", "x**/y", "**/*.gz", "e.f/*", "**/déjà/?", "a/**/xy", "!x"]
+    capped = spark.createDataFrame([("/r1", globs[:9]), ("/r2", globs[9:]), ("/r9", ["*"])], "root string, globs array<string>")
+    rows_ = [(p[:3], p, k) for k, p in enumerate(paths)] + [("/r1", "elsewhere/b.log", -1), ("/r1", "/r1/x/b.log", -2)]
+    df = spark.createDataFrame(rows_, "root string, path string, key long")
+    for tree_ in (True, False):
+        own = {"/r1": re.compile(any_regex(globs[:9], tree_, "/r1")), "/r2": re.compile(any_regex(globs[9:], tree_, "/r2"))}
+        want = sorted(k for root, p, k in rows_ if not (root in own and own[root].match(p)))
+        assert sorted(x["key"] for x in scan.apply_ignore(df, capped, tree_).collect()) == want
+    assert all(k is None or k in path_keys(p) for p in paths for g in globs if (k := literal_key(g)) or True if re.match(glob_to_regex(g, True), p))
+    assert literal_key("**/*.py[cod]") is None and literal_key("a/b*/c.txt") == "=c.txt" and literal_key("*.min.js") == ".min.js"
+
+
+def test_highlights_of_short_queries(spark):
+    q = spark.createDataFrame([(1, "lo"), (2, "hello WO"), (3, "zz")], "query_id long, query string")
+    got = highlights(q, ix.build_index(docs(spark, a="say hello\nhello world", b="lo")))
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 1, 7, 9), (1, "a", 2, 3, 5), (1, "b", 1, 0, 2), (2, "a", 2, 0, 5), (2, "a", 2, 6, 8)]
