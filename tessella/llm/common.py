@@ -50,11 +50,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def tidy(spark: SparkSession) -> None:
-    """Lets go of broadcasts, shuffles and plans of finished steps, as Spark does now and then by itself; a job of very many steps would fill the driver's heap with them."""
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def hot_keys(counts: DataFrame, key: list[str]) -> DataFrame | None:
     """The key columns and __of, the number of parts in which a key's rows are dealt, for the keys with very many rows; None if there are none.
 
@@ -75,6 +70,13 @@ def dealt(rows: DataFrame, hot: DataFrame | None, key: list[str], by: list[str])
     return rows.join(hot, key, "left").withColumn("__part", part).drop("__of")
 
 
+def copied(rows: DataFrame, hot: DataFrame | None, key: list[str]) -> DataFrame:
+    """The rows with __part, once for each part of their key (see ``dealt``)."""
+    if hot is None:
+        return rows.withColumn("__part", F.lit(0))
+    return rows.join(hot, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__of", F.lit(1)) - 1))).drop("__of")
+
+
 def spread_join(rows: DataFrame, per_key: DataFrame, key: list[str], by: list[str], how: str = "inner") -> DataFrame:
     """``rows`` joined with ``per_key``, which has one row per key, its number of rows in n, and is written (``cut``).
 
@@ -84,9 +86,7 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: list[str], by: list[st
     hot = hot_keys(per_key, key)
     if hot is None:
         return rows.join(per_key.drop("n"), key, how)
-    parts = F.explode(F.sequence(F.lit(0), F.coalesce("__of", F.lit(1)) - 1))
-    copied = per_key.drop("n").join(hot, key, "left").withColumn("__part", parts).drop("__of")
-    return dealt(rows, hot, key, by).join(copied, [*key, "__part"], how).drop("__part")
+    return dealt(rows, hot, key, by).join(copied(per_key.drop("n"), hot, key), [*key, "__part"], how).drop("__part")
 
 
 def group_join(rows: DataFrame, per_key: DataFrame, key: list[str], by: list[str]) -> DataFrame:

@@ -30,7 +30,7 @@ probability of 7.7e-7, one at 0.80 with one of 7.3e-5. No later step drops a
 similar pair, and no link rests on hashes alone.
 
 Hot keys: the members of a class, of a bucket and the partners of a hub are dealt in
-parts of bounded size (``common.dealt``), and a hub's text travels once to a part.
+parts of bounded size (``common.dealt``), and a hub's text, or in step 4 the classes outside, travels once to a part.
 
 Cases: texts without a word, and null texts, are linked with nothing; shorter
 texts than a shingle are one shingle; a null doc_id is linked with nothing, its
@@ -53,7 +53,7 @@ from pyspark.sql.window import Window
 
 from tessella.llm import blocks
 from tessella.llm.blocks import LOWER, Words, mix, shingle_hash
-from tessella.llm.common import WORD, cut, dealt, guarded, hot_keys, spread_join, tidy
+from tessella.llm.common import WORD, copied, cut, dealt, guarded, hot_keys, spread_join
 
 BANDS, BAND_ROWS = 24, 5
 SKETCH_LONGS, SET_LONGS = 4, 16
@@ -207,7 +207,6 @@ def connect(edges: DataFrame) -> DataFrame:
     very many neighbours is no single task's work. Each round is written to the
     checkpoint folder.
     """
-    tidy(edges.sparkSession)
     edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     print_of = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
     before = print_of(edges)
@@ -228,7 +227,6 @@ def connect(edges: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of class representatives that are similar enough, by the words of their full texts."""
     pairs = cut(pairs)
-    tidy(pairs.sparkSession)
     pairs = dealt(pairs, hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"]), ["a"], ["b"])
     partners = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "__part", "b", "text")
     heads = pairs.select("a", "__part").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "__part", F.lit(None).cast("long").alias("b"), "text")
@@ -282,9 +280,12 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     links = links.union(_verified(near, texts, k, percent))
 
     rest, outside = undecided(links)
-    others = rest.select("key", F.col("rep").alias("b"), F.col("c").alias("bc")).join(side("b"), "b")
-    minor = outside.select(F.col("key").alias("k"), F.col("rep").alias("a"), F.col("c").alias("ac")).join(side("a"), "a")
-    on = (F.col("k") == F.col("key")) & (F.col("ac") != F.col("bc")) & plausible("a", "b", percent)
+    # The others of a bucket with very many of them are dealt in parts, and those outside come to each.
+    hot = hot_keys(rest.groupBy("key").agg(F.count("*").alias("n")), ["key"])
+    others = dealt(rest.select("key", F.col("rep").alias("b"), F.col("c").alias("bc")).join(side("b"), "b"), hot, ["key"], ["b"])
+    minor = copied(outside.select("key", F.col("rep").alias("a"), F.col("c").alias("ac")).join(side("a"), "a"), hot, ["key"])
+    minor = minor.withColumnsRenamed({"key": "k", "__part": "__p"})
+    on = (F.col("k") == F.col("key")) & (F.col("__p") == F.col("__part")) & (F.col("ac") != F.col("bc")) & plausible("a", "b", percent)
     more = minor.join(others, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.union(_verified(more, texts, k, percent))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, language, licences, mixing, neardup, phrases, quality, repeats, urls, vectors
+from tessella.llm import bpe, common, language, licences, mixing, neardup, phrases, quality, repeats, urls, vectors
 from tessella.llm.oracles import ORACLES
 from tessella.llm.queries import QUERIES, URL_RULES, vocabulary_path
 from tests.compare import rows_of, sql_rows
@@ -130,8 +130,10 @@ def test_near_dedup(spark, sf_dir, odd, empty):
     assert neardup.components(empty, 3, 85).count() == 0 and neardup.keep_one(empty).count() == 0
 
 
-def test_near_copies_without_a_hub(spark):
-    """A group in which the smallest id is similar to few: links lead from copy to copy."""
+@pytest.mark.parametrize("hot", [1000, 5])
+def test_near_copies_without_a_hub(spark, monkeypatch, hot):
+    """A group in which the smallest id is similar to few: links lead from copy to copy. hot: from how many rows on a key is dealt in parts."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     base, r = passage(20, 120).split(), random.Random(5)
     some = []
     for i in range(150):
