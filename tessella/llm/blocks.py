@@ -226,7 +226,9 @@ def ask(found: Iterator[tuple[np.ndarray, np.ndarray]], targets: int, distinct_o
 
 
 def reply(keys: np.ndarray, owners: np.ndarray, targets: int) -> pa.RecordBatch:
-    """Blocks of answers, dealt by owner for ``deliver``."""
+    """Blocks of answers, dealt by owner for ``deliver``; an owner's stand together, so that the compression finds them."""
+    order = np.argsort(owners, kind="stable")
+    keys, owners = keys[order], owners[order]
     rows = [(t, keys[at], owners[at]) for t, at in deal(mix(owners.astype(np.uint64)), targets)]
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([planes(r[2]) for r in rows], pa.binary())], schema=_answer)
 

@@ -12,7 +12,7 @@ symbol (the smallest name of several), known by the name of its context's words.
 1. Every document's anchors go to shared targets in packed blocks; those of two
    or more documents come back.
 2. Documents that have any are parsed again. Windows with such an anchor are
-   verified: cryptographic digests (BLAKE2b, 96 bits) of the 13 words' own bytes
+   verified: cryptographic digests (BLAKE2b, 80 bits, and 16 of a plain hash) of the 13 words' own bytes
    meet their equals, and the digests of windows that also stand in a document with
    a smaller id come back.
 3. The words of the windows with these digests are removed. No other hash decides.
@@ -43,7 +43,7 @@ from tessella.llm.common import guarded, settle, shuffle_partitions
 WINDOW = 13
 ROUNDS = 2
 LAST = (1 << 63) - 1
-#: A window's digest.
+#: A window's digest: 80 bits of BLAKE2b, and as the upper half of ``second`` 16 bits of its hash, by which windows are chosen whose digest is worth taking.
 DIGEST = np.dtype([("first", "<u8"), ("second", "<u4")])
 _RUN = np.uint64(0xA0761D6478BD642F)
 _PAIR = np.uint64(0xE7037ED1A0B428DB)
@@ -128,7 +128,13 @@ class Piece:
         at = np.cumsum(size + 1) - (size + 1)
         one = self.windows[chosen]
         digest = hashlib.blake2b
-        return np.frombuffer(b"".join(digest(raw[a:b], digest_size=DIGEST.itemsize).digest() for a, b in zip(at[one].tolist(), (at + size)[one + WINDOW - 1].tolist(), strict=True)), DIGEST)
+        own = np.frombuffer(b"".join(digest(raw[a:b], digest_size=10).digest() for a, b in zip(at[one].tolist(), (at + size)[one + WINDOW - 1].tolist(), strict=True)), np.dtype([("first", "<u8"), ("second", "<u2")]))
+        out = np.empty(len(own), DIGEST)
+        out["first"], out["second"] = own["first"], own["second"] | self.tags()[chosen].astype(np.uint32) << np.uint32(16)
+        return out
+
+    def tags(self) -> np.ndarray:
+        return (self.hash >> np.uint64(48)).astype(np.uint16)
 
 
 def _pieces(b: pa.RecordBatch) -> Iterator[tuple[int, int, Piece, np.ndarray]]:
@@ -237,8 +243,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 def _removed(p: Piece, data: np.ndarray, gone: bytes) -> np.ndarray:
     """Which words of the piece's one document go."""
     out = np.zeros(len(p.words.start) + 1, np.int64)
-    told = set(np.frombuffer(gone, DIGEST).tolist())
-    hit = p.windows[np.fromiter((d in told for d in p.digests(data, np.arange(len(p.windows))).tolist()), bool, len(p.windows))]
+    own = np.frombuffer(gone, DIGEST)
+    told, tagged = set(own.tolist()), np.zeros(1 << 16, bool)
+    tagged[own["second"] >> np.uint32(16)] = True
+    some = np.flatnonzero(tagged[p.tags()])
+    hit = p.windows[some[np.fromiter((d in told for d in p.digests(data, some).tolist()), bool, len(some))]]
     np.add.at(out, hit, 1)
     np.add.at(out, hit + WINDOW, -1)
     return np.cumsum(out)[:-1] > 0
