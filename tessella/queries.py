@@ -544,3 +544,17 @@ def stream_setting_requests(spark, d):
     write = lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/n={n}")
     st.follow(st.setting_requests(feed), write, f"{at}/state").awaitTermination()
     return spark.read.parquet(f"{at}/out").drop("n")
+
+
+@query(ORACLES["coalesce_bursts"].rstrip() + " HAVING max(ts) + INTERVAL 10 MINUTE < (SELECT max(ts) FROM changes) - INTERVAL 1 HOUR")
+def stream_bursts(spark, d):
+    """The runs that are over when the stream has ended: those a gap before its watermark, which is an hour behind the last event."""
+    at, key = shared_dir(spark), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        write = lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out/n={n}")
+        st.follow(st.stream_bursts(_feed(spark, d), 600, "1 hour"), write, f"{at}/state").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.parquet(f"{at}/out").drop("n", "root")

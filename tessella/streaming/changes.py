@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.window import Window
 
 from tessella.operators.scan import exclude_globs, ignore_file_events, is_indexable
@@ -46,11 +47,89 @@ def coalesce_bursts(changes: DataFrame, gap_seconds: int) -> DataFrame:
     return out.select("root", "began", (F.col("hi") + F.make_interval(secs=F.lit(gap_seconds))).alias("ended"), "n_events", "n_paths")
 
 
-def stream_bursts(changes: DataFrame, gap: str, late: str) -> DataFrame:
-    """``coalesce_bursts`` on a stream whose events come out of order by at most ``late``. The state holds the paths of the open runs only."""
-    changes = changes.withColumn("root", _root()).withWatermark("ts", late)
-    runs = changes.groupBy("root", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n_events"), F.size(F.collect_set("path")).cast("long").alias("n_paths"))
-    return runs.select("root", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n_events", "n_paths")
+BURST = "root string, began timestamp, ended timestamp, n_events long, n_paths long"
+
+
+class Bursts(StatefulProcessor):
+    """Of one root: its open runs, by slots as long as the gap, and for each path the slots in which it stands.
+
+    Events of one slot are always of one run, so a run is told from the slots alone; its paths are
+    counted one by one from the map when it ends, and are never held together.
+    """
+
+    def __init__(self, gap_seconds: int):
+        self.gap = gap_seconds * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slots = handle.getMapState("slots", "slot long", "lo long, hi long, n long")
+        self.paths = handle.getMapState("paths", "path string", "slots array<long>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for df in rows:
+            micros = df["ts"].astype("datetime64[us]").astype("int64")
+            for slot, own in micros.groupby(micros // self.gap):
+                lo, hi, n = int(own.min()), int(own.max()), len(own)
+                if self.slots.containsKey((slot,)):
+                    before = self.slots.getValue((slot,))
+                    lo, hi, n = min(lo, before[0]), max(hi, before[1]), n + before[2]
+                self.slots.updateValue((slot,), (lo, hi, n))
+                self.handle.registerTimer((hi + self.gap) // 1000 + 1)
+            for path, own in (micros // self.gap).groupby(df["path"]):
+                held = set(self.paths.getValue((path,))[0]) if self.paths.containsKey((path,)) else set()
+                self.paths.updateValue((path,), (sorted(held | set(own.tolist())),))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The runs whose last event lies a gap before the watermark: no later event can go on with them."""
+        over, run = [], []
+        slots = sorted((k[0], *v) for k, v in self.slots.iterator())
+        for slot, following in zip(slots, [*slots[1:], None], strict=True):
+            run.append(slot)
+            if following is not None and following[1] - slot[2] < self.gap:
+                continue
+            if slot[2] + self.gap < timerValues.getCurrentWatermarkInMs() * 1000:
+                over.append(run)
+            run = []
+        if over:
+            counts = self._take({r[0]: k for k, own in enumerate(over) for r in own}, len(over))
+            time = lambda x: pd.Timestamp(x, unit="us")
+            rows = [(key[0], time(own[0][1]), time(own[-1][2] + self.gap), sum(r[3] for r in own), n) for own, n in zip(over, counts, strict=True)]
+            for own in over:
+                for r in own:
+                    self.slots.removeKey((r[0],))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in BURST.split(", ")])
+
+    def _take(self, run_of: dict[int, int], runs: int) -> list[int]:
+        """Takes the slots of the runs that are over out of the paths; how many paths stood in each run."""
+        n, gone, less = [0] * runs, [], []
+        for (path,), (slots,) in self.paths.iterator():
+            own = {run_of[s] for s in slots if s in run_of}
+            if own:
+                rest = [s for s in slots if s not in run_of]
+                (less if rest else gone).append((path, rest))
+                for k in own:
+                    n[k] += 1
+            if len(gone) + len(less) >= 10_000:
+                self._drop(gone, less)
+                gone, less = [], []
+        self._drop(gone, less)
+        return n
+
+    def _drop(self, gone: list, less: list) -> None:
+        for path, _ in gone:
+            self.paths.removeKey((path,))
+        for path, rest in less:
+            self.paths.updateValue((path,), (rest,))
+
+    def close(self) -> None:
+        pass
+
+
+def stream_bursts(changes: DataFrame, gap_seconds: int, late: str) -> DataFrame:
+    """``coalesce_bursts`` on a stream: a run comes out once, when the watermark is a gap behind its last event. Events later than ``late`` are passed over. Keyed state: see ``Bursts``; the session must use the RocksDB state store."""
+    on_time = changes.withColumn("root", _root()).select("root", "path", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return on_time.groupBy("root").transformWithStateInPandas(Bursts(gap_seconds), BURST, "Append", "EventTime")
 
 
 def follow(changes: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:

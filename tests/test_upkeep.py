@@ -254,17 +254,25 @@ def test_stream(spark, tmp_path):
 
 
 def test_bursts_on_a_stream(spark, tmp_path):
+    """Runs come out once they are over, also when events of several batches or out of order make them up; the last one stays open, and an event that is too late is passed over."""
     feed = str(tmp_path / "feed")
-    rows = [(i, f"/w/p{i % 2}", "change", f"2024-01-01 00:00:{s:02d}", 1, 1) for i, s in enumerate((0, 1, 2, 10, 11, 40))]
-    events(spark, rows).coalesce(1).write.parquet(feed)
-    from tessella.sources.files import read_changes
-
-    bursts = st.stream_bursts(read_changes(spark, feed), "5 seconds", late="1 second")
-    write_ = lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/n={n}")
-    st.follow(bursts, write_, str(tmp_path / "c")).awaitTermination()
-    got = sorted((r["n_events"], r["n_paths"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
-    assert got == [(2, 2), (3, 2)]  # the last one stays open
-
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+
+        def run(*seconds):
+            rows_ = [(i, f"/w/p{i % 2}", "change", f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}", 1, 1) for i, s in enumerate(seconds)]
+            events(spark, rows_).coalesce(1).write.mode("append").parquet(feed)
+            write_ = lambda df, n: df.write.mode("overwrite").parquet(f"{tmp_path}/out/n={n}")
+            from tessella.sources.files import read_changes
+
+            st.follow(st.stream_bursts(read_changes(spark, feed), 5, late="20 seconds"), write_, str(tmp_path / "c")).awaitTermination()
+            return sorted((r["began"].second + 60 * r["began"].minute, r["ended"].second + 60 * r["ended"].minute, r["n_events"], r["n_paths"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+        assert run(0, 1, 2, 10, 11, 40) == [(0, 7, 3, 2), (10, 16, 2, 2)]  # the watermark stands at 20
+        assert run(33, 37, 90) == [(0, 7, 3, 2), (10, 16, 2, 2), (33, 45, 3, 2)]
+        assert run(3, 100) == [(0, 7, 3, 2), (10, 16, 2, 2), (33, 45, 3, 2)]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 def test_folders_are_compared_first(spark):
     """Of folders that are the same no file is joined; nulls and files without a folder are compared too."""
