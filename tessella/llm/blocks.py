@@ -166,7 +166,7 @@ def from_planes(b: bytes, kind: type) -> np.ndarray:
 
 def deal(keys: np.ndarray, targets: int) -> Iterator[tuple[int, np.ndarray]]:
     """Target number and the places of its keys, in their order."""
-    to = ((keys >> np.uint64(40)) % np.uint64(targets)).astype(np.int64)
+    to = ((keys * _GOLD >> np.uint64(40)) % np.uint64(targets)).astype(np.int64)
     order, begin = groups(to)
     for lo, hi in zip(begin, [*begin[1:], len(to)], strict=True):
         yield int(to[order[lo]]), order[lo:hi]
@@ -185,6 +185,8 @@ QUESTION = "target int, keys binary, owners binary, known binary"
 ANSWER = "target int, keys binary, owners binary"
 #: A block is closed at so many keys.
 BLOCK_KEYS = 1 << 20
+#: The bits of a key that is only asked for; two keys that agree in them cost a needless look.
+KEY_BITS = np.uint64((1 << 48) - 1)
 _question = pa.schema([("target", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary()), ("known", pa.binary())])
 _answer = pa.schema([("target", pa.int32()), ("keys", pa.binary()), ("owners", pa.binary())])
 
@@ -212,7 +214,7 @@ def ask(found: Iterator[tuple[np.ndarray, np.ndarray]], targets: int, distinct_o
         rows = [(-1, keys[every], owners[every], None)] if every.any() else []
         k, o = keys[begin], owners[begin]
         rows += [(t, k[at], o[at], twice[at]) for t, at in deal(k, targets)]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows]), pa.array([planes(r[2]) for r in rows]), pa.array([None if r[3] is None else r[3].tobytes() for r in rows], pa.binary())], schema=_question)
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([planes(r[1]) for r in rows]), pa.array([planes(r[2]) for r in rows]), pa.array([None if r[3] is None else r[3].tobytes() for r in rows], pa.binary())], schema=_question)
 
     for keys, owners in found:
         if len(keys):
@@ -230,14 +232,15 @@ def reply(keys: np.ndarray, owners: np.ndarray, targets: int) -> pa.RecordBatch:
     order = np.argsort(owners, kind="stable")
     keys, owners = keys[order], owners[order]
     rows = [(t, keys[at], owners[at]) for t, at in deal(mix(owners.astype(np.uint64)), targets)]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1].tobytes() for r in rows], pa.binary()), pa.array([planes(r[2]) for r in rows], pa.binary())], schema=_answer)
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([planes(r[1]) if r[1].dtype == np.uint64 else r[1].tobytes() for r in rows], pa.binary()), pa.array([planes(r[2]) for r in rows], pa.binary())], schema=_answer)
 
 
 def deliver(name: str, kind: np.dtype | type = np.uint64):
     """For mapInArrow over answers dealt by target: one row for each owner. kind: of a key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(np.frombuffer(k, kind), from_planes(o, np.int64)) for b in batches for k, o in zip(b.column("keys").to_pylist(), b.column("owners").to_pylist(), strict=True)]
+        unpack = from_planes if kind is np.uint64 else np.frombuffer
+        held = [(unpack(k, kind), from_planes(o, np.int64)) for b in batches for k, o in zip(b.column("keys").to_pylist(), b.column("owners").to_pylist(), strict=True)]
         if held:
             keys, owners = (np.concatenate(x) for x in zip(*held, strict=True))
             order, begin = groups(owners)
@@ -257,7 +260,7 @@ def answer(distinct_owners: bool, targets: int):
         held = []
         for b in batches:
             for t, k, o, known in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                k, o = np.frombuffer(k, np.uint64), from_planes(o, np.int64)
+                k, o = from_planes(k, np.uint64), from_planes(o, np.int64)
                 if t < 0:
                     yield reply(k, o, targets)
                 else:

@@ -118,7 +118,7 @@ class Piece:
         self.hash = window_hash(self.words.hash, WINDOW)[self.windows] if len(self.windows) else np.zeros(0, np.uint64)
 
     def keys(self) -> np.ndarray:
-        return anchors(self.words, self.windows, self.hash) if len(self.windows) else self.hash
+        return anchors(self.words, self.windows, self.hash) & blocks.KEY_BITS if len(self.windows) else self.hash
 
     def digests(self, data: np.ndarray, chosen: np.ndarray) -> np.ndarray:
         """Cryptographic digests of the words of the chosen windows, joined by one space. data: the piece's bytes."""

@@ -88,7 +88,7 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray
         first = np.flatnonzero(new)
         p1, p2, at = p[first], p[np.append(first[1:], len(p)) - 1], at[first]
         own = mix((g[p2 + LENGTH] - g[p1]) * powers(len(d), INVERSE)[p1] + (p2 - p1).astype(np.uint64))
-        yield h[at], p1 + lo, p2 + lo, np.searchsorted(offsets, p1 + lo, "right") - 1, own
+        yield h[at] & blocks.KEY_BITS, p1 + lo, p2 + lo, np.searchsorted(offsets, p1 + lo, "right") - 1, own
 
 
 def _texts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
