@@ -11,7 +11,7 @@ from pyspark.sql.types import BooleanType
 from pyspark.sql.window import Window
 
 from tessella.functions.globs import any_regex, glob_to_regex, literal_key
-from tessella.functions.paths import classify_ext
+from tessella.functions.paths import classify_ext, relativize
 from tessella.functions.text import trimmed
 from tessella.sources.store import materialized
 
@@ -109,6 +109,13 @@ def apply_ignore(files: DataFrame, capped: DataFrame, tree: bool = True) -> Data
     return left.join(hits, ["root", "path"], "left_anti").select(*files.columns)
 
 
+def not_ignored(changes: DataFrame, capped: DataFrame) -> DataFrame:
+    """The changes whose path no ignore glob of its root matches; the longest root (root, globs) above a path counts, and a path below none stays."""
+    roots = relativize(changes.select("path"), capped.select(F.col("root").alias("name"), "root")).select("path", F.coalesce("folder", F.lit("")).alias("root"))
+    left = apply_ignore(roots.distinct(), capped)
+    return changes.join(left.select("path"), "path", "left_semi")
+
+
 def _edges(b: bytes, begin: int) -> bool:
     """Whether the window at begin is text."""
 

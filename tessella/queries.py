@@ -73,9 +73,14 @@ def parse_ignore(spark, d):
 _CAPPED = f"{_PARSED}, capped AS (SELECT root, (count(*) FILTER (k > {scan.MAX_IGNORE}))::BIGINT AS dropped, list_sort(list(DISTINCT \"glob\") FILTER (k <= {scan.MAX_IGNORE})) AS globs FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY dir, line_no, variant) AS k FROM parsed) GROUP BY root)"
 
 
-@query(with_views("ignore_lines") + f", {_CAPPED} SELECT root, dropped, array_to_string(globs, ' ') AS globs FROM capped")
+@query(
+    with_views("ignore_lines", "settings")
+    + f""", {_CAPPED}, merged AS (SELECT "glob" FROM (SELECT "glob", arg_max(enabled, source_prio * 2 + enabled::INT) AS enabled FROM settings GROUP BY "glob") WHERE enabled)
+SELECT root, dropped, array_to_string(list_sort(list_distinct(list_concat(globs, (SELECT list("glob") FROM merged)))), ' ') AS globs FROM capped"""
+)
 def cap_ignore(spark, d):
-    return scan.cap_ignore(scan.parse_ignore(v.ignore_lines(spark, d))).withColumn("globs", F.array_join("globs", " "))
+    """The capped ignore globs of each root with the merged excludes."""
+    return scan.cap_ignore(scan.parse_ignore(v.ignore_lines(spark, d)), excludes=scan.merge_excludes(v.settings(spark, d))).withColumn("globs", F.array_join("globs", " "))
 
 
 # Of the lines in the view only *.dat and de/*.md can meet a file; the cap is above the lines of a root.

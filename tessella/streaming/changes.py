@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.window import Window
 
-from tessella.operators.scan import exclude_globs, ignore_file_events, is_indexable
+from tessella.operators.scan import exclude_globs, ignore_file_events, is_indexable, not_ignored
 from tessella.sources.store import update_index
 
 STATE = ["kind", "ts", "event_id", "mtime", "size"]
@@ -174,9 +174,12 @@ def setting_requests(controls: DataFrame) -> DataFrame:
     return rows.groupBy("what").applyInPandasWithState(_real_changes, REQUEST, "value string, ts long, event_id long", "append", GroupStateTimeout.NoTimeout)
 
 
-def apply_changes(changes: DataFrame, index_dir: str, load: Callable[[DataFrame], DataFrame], globs: list[str], checkpoint: str, rescan: Callable[[DataFrame], None] | None = None, once: bool = True) -> StreamingQuery:
+def apply_changes(changes: DataFrame, index_dir: str, load: Callable[[DataFrame], DataFrame], globs: list[str], checkpoint: str, rescan: Callable[[DataFrame], None] | None = None, once: bool = True, ignore: Callable[[], DataFrame] | None = None) -> StreamingQuery:
     """Follows a streaming table of changes.
 
+    By default ignore files have no say in changes. ignore: gives the rules (root, globs) of ``cap_ignore`` as they
+    stand at a batch; then a change that they match is passed over like an excluded one.
+
     In each batch the last event of a path counts. Deleted paths leave the
     index; created and changed ones that no glob excludes (by their exact path)
     and that may be indexed are loaded and replaced; only the buckets of these
@@ -192,6 +195,7 @@ def apply_changes(changes: DataFrame, index_dir: str, load: Callable[[DataFrame]
                 rescan(asked)
             gone = last.filter(F.col("kind") == "delete").select("path")
             fresh = is_indexable(exclude_globs(last.filter(F.col("kind") != "delete"), globs, tree=False))
+            fresh = not_ignored(fresh, ignore()) if ignore else fresh
             update_index(df.sparkSession, index_dir, load(fresh), gone)
         finally:
             last.unpersist()

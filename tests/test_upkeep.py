@@ -324,3 +324,19 @@ def test_highlights_of_short_queries(spark):
     q = spark.createDataFrame([(1, "lo"), (2, "hello WO"), (3, "zz")], "query_id long, query string")
     got = highlights(q, ix.build_index(docs(spark, a="say hello\nhello world", b="lo")))
     assert sorted(map(tuple, got.collect())) == [(1, "a", 1, 7, 9), (1, "a", 2, 3, 5), (1, "b", 1, 0, 2), (2, "a", 2, 0, 5), (2, "a", 2, 6, 8)]
+
+
+def test_changes_that_ignore_files_rule_out(spark, tmp_path):
+    """As an option: the longest root's rules count for a changed path; deletes go through."""
+    rules = spark.createDataFrame([("/w", ["**/*.log", "**/tmp/**"]), ("/w/in", ["**/x.txt"])], "root string, globs array<string>")
+    some = spark.createDataFrame([("/w/a.txt",), ("/w/a.log",), ("/w/tmp/b.txt",), ("/w/in/a.log",), ("/w/in/x.txt",), ("/else/x.log",)], "path string")
+    assert rows(scan.not_ignored(some, rules)) == [("/else/x.log",), ("/w/a.txt",), ("/w/in/a.log",)]
+    at, feed = str(tmp_path / "index"), str(tmp_path / "feed")
+    write_index(docs(spark, **{"/w/old.log": "old", "/w/a.txt": "old"}), at, parts=1)
+    day = "2024-01-01 00:00:0"
+    events(spark, [(1, "/w/a.txt", "change", f"{day}1", 5, 9), (2, "/w/new.log", "create", f"{day}2", 5, 9), (3, "/w/old.log", "delete", f"{day}3", 0, 0)]).coalesce(1).write.parquet(feed)
+    from tessella.sources.files import read_changes
+
+    load = lambda c: c.select("path", "mtime", F.lit("new").alias("text"))
+    st.apply_changes(read_changes(spark, feed), at, load, [], str(tmp_path / "c"), ignore=lambda: rules).awaitTermination()
+    assert rows(read_index(spark, at)["text"]) == [("/w/a.txt", "new")]
