@@ -225,14 +225,14 @@ def connect(edges: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of class representatives that are similar enough, by the words of their full texts."""
+    """The pairs (a, b) of class representatives that are similar enough, by the words of their full texts. Not written: to be read once."""
     pairs = cut(pairs)
     pairs = dealt(pairs, hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"]), ["a"], ["b"])
     partners = pairs.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "__part", "b", "text")
     heads = pairs.select("a", "__part").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "__part", F.lit(None).cast("long").alias("b"), "text")
     order = ["a", "__part", "b"]
     rows = heads.union(partners).repartition("a", "__part").sortWithinPartitions(*order)
-    return cut(rows.select(*order, "text").mapInArrow(_linked(k, percent), "a long, b long"))
+    return rows.select(*order, "text").mapInArrow(_linked(k, percent), "a long, b long")
 
 
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -259,27 +259,29 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(plausible("a", "b", percent)).select("a", "b").distinct()
     # An id that stands in several classes links them.
     ties = member.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("doc_id", "lo")
-    ties = cut(member.join(ties, "doc_id").filter("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct())
-    links = ties.union(_verified(pairs, texts, k, percent))
+    ties = member.join(ties, "doc_id").filter("rep <> lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
+    label = connect(ties.union(_verified(pairs, texts, k, percent)))
 
-    def undecided(links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of the buckets with more than one component: key, hub, rep, c (component), and with first (the hub's component) those outside it, with b and bc drawn from their bucket."""
-        label = connect(links).withColumnRenamed("node", "rep")
-        of = in_bucket.join(label, "rep", "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("c"))
+    def joined(label: DataFrame, pairs: DataFrame) -> DataFrame:
+        """The components when those of ``label`` are linked by the pairs that are similar enough: a star for each stands for all earlier links."""
+        return connect(label.select(F.col("component").alias("a"), F.col("node").alias("b")).union(_verified(pairs, texts, k, percent)))
+
+    def undecided(label: DataFrame) -> DataFrame:
+        """Of the buckets with more than one component: key, hub, rep, c (component), first (the hub's component), with b and bc drawn from their bucket."""
+        of = in_bucket.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("key", "hub", "rep", F.coalesce("component", "rep").alias("c"))
         drawn = F.min_by(F.struct(F.col("rep").alias("b"), F.col("c").alias("bc")), F.xxhash64("rep", "key")).alias("x")
         several = of.groupBy("key").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.when(F.col("rep") == F.col("hub"), F.col("c"))).alias("first"), drawn)
         several = cut(several.filter("lo <> hi").select("key", "n", "first", "x.*"))
-        rest = cut(spread_join(of, several, ["key"], ["rep"]))
-        return rest, rest.filter("c <> first")
+        return spread_join(of, several, ["key"], ["rep"])
 
-    _, outside = undecided(links)
-    near = outside.filter("c <> bc").select(F.col("rep").alias("a"), "b").distinct()
+    near = undecided(label).filter("c <> first AND c <> bc").select(F.col("rep").alias("a"), "b").distinct()
     near = near.join(side("a"), "a").join(side("b"), "b").filter(plausible("a", "b", percent)).select("a", "b", _differ("a", "b", _COLUMNS).alias("differ")).distinct()
     nearest = Window.partitionBy("a").orderBy("differ", "b")
     near = near.withColumn("k", F.row_number().over(nearest)).filter(F.col("k") <= NEAREST).select("a", "b")
-    links = links.union(_verified(near, texts, k, percent))
+    label = joined(label, near)
 
-    rest, outside = undecided(links)
+    rest = cut(undecided(label))
+    outside = rest.filter("c <> first")
     # The others of a bucket with very many of them are dealt in parts, and those outside come to each.
     hot = hot_keys(rest.groupBy("key").agg(F.count("*").alias("n")), ["key"])
     others = dealt(rest.select("key", F.col("rep").alias("b"), F.col("c").alias("bc")).join(side("b"), "b"), hot, ["key"], ["b"])
@@ -287,10 +289,9 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     minor = minor.withColumnsRenamed({"key": "k", "__part": "__p"})
     on = (F.col("k") == F.col("key")) & (F.col("__p") == F.col("__part")) & (F.col("ac") != F.col("bc")) & plausible("a", "b", percent)
     more = minor.join(others, on).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.union(_verified(more, texts, k, percent))
+    label = joined(label, more).withColumnRenamed("node", "rep")
 
     # A class's representative is its smallest id, so a component's smallest representative is its smallest id.
-    label = connect(links).withColumnRenamed("node", "rep")
     of_doc = member.join(label, "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = sig.select("doc_id", "n_shingles").join(of_doc, "doc_id", "left")
     component = F.coalesce("component", "doc_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -145,6 +146,31 @@ def test_near_copies_without_a_hub(spark, monkeypatch, hot):
     assert got == brute.links(some, 3, 85)
 
 
+def test_near_dedup_goes_on_from_components(spark, monkeypatch):
+    """A later search for components gets a star for each that is known, not all earlier links again, and what is read once is not written."""
+    base, r = passage(20, 120).split(), random.Random(5)
+    some = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = f"w{r.randint(0, 9999)}"
+        some.append((i, " ".join(w)))
+    written, searches, write, search = [], [], neardup.cut, neardup.connect
+    monkeypatch.setattr(neardup, "cut", lambda df: written.append(df) or write(df))
+
+    def watched(edges):
+        out = search(edges)
+        searches.append(({tuple(e) for e in edges.collect()}, {(x["component"], x["node"]) for x in out.collect()}))
+        return out
+
+    monkeypatch.setattr(neardup, "connect", watched)
+    got = {x["doc_id"]: x["component_id"] for x in neardup.components(spark.createDataFrame(some, "doc_id long, text string"), 3, 85).collect()}
+    assert got == brute.links(some, 3, 85)
+    for (before, stars), (now, _) in itertools.pairwise(searches):
+        assert stars <= now and not (now - stars) & before
+    assert len(searches) == 3 and len(written) <= 22
+
+
 def test_urls(spark):
     cases = {
         None: ("", "", None, "allow"), "no scheme": ("", "", None, "allow"), "http://EXAMPLE.com/en/x?y": ("example.com", "/en/x", "example.com/en/", "block"),
