@@ -199,29 +199,34 @@ def plausible(x: str, y: str, percent: int) -> Column:
     return (100 * n >= percent * m) & (100 * m >= percent * n) & apart
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every larger end of the (distinct) edges stands in one edge only and is no smaller end."""
+    role = lambda x, larger: F.struct(F.col(x).alias("node"), F.lit(larger).alias("larger"))
+    of = edges.select(F.inline(F.array(role("a", 0), role("b", 1)))).groupBy("node").agg(F.sum("larger").alias("up"), F.count("*").alias("n"))
+    return of.agg(F.count_if((F.col("up") > 0) & (F.col("n") > 1))).first()[0] == 0
+
+
 def connect(edges: DataFrame) -> DataFrame:
-    """node, component: the smallest node that can be reached. edges: a, b. Stars are merged until nothing changes.
+    """node, component: the smallest node that can be reached. edges: a, b. Stars are merged until no two of them meet.
 
     Each round links every node's larger neighbours, then its smaller ones, with
     its smallest; minima are aggregated before they are joined, so a node with
     very many neighbours is no single task's work. Each round is written to the
-    checkpoint folder.
+    checkpoint folder. Edges are made distinct as one column, so that what is written
+    has no partitioning by their ends: Spark takes two scans of a table that has one for
+    different, and would run a round's exchanges twice.
     """
-    edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    print_of = lambda e: e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
-    before = print_of(edges)
-    while True:
-        pair = lambda x, y: F.struct(F.col(x).alias("a"), F.col(y).alias("b"))
-        both = edges.select(F.inline(F.array(pair("a", "b"), pair("b", "a"))))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    a, b, m = F.col("a"), F.col("b"), F.col("m")
+    edges = cut(edges.filter("a <> b").select(pair(F.least("a", "b"), F.greatest("a", "b")).alias("e")).distinct().select("e.*"))
+    while not _are_stars(edges):
+        both = edges.select(F.inline(F.array(pair(a, b), pair(b, a))))
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(b.alias("a"), m.alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        star = large.join(least, "a").select(F.inline(F.array(pair("m", "b"), pair("m", "a")))).filter("a <> b").distinct()
-        edges = cut(star)
-        now = print_of(edges)
-        if now == before:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
-        before = now
+        star = large.join(least, "a").select(F.explode(F.array(pair(m, b), pair(m, a))).alias("e"))
+        edges = cut(star.filter("e.a <> e.b").distinct().select("e.*"))
+    return edges.select(b.alias("node"), a.alias("component"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -242,7 +247,8 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     full = sig.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = cut(full.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     member = cut(spread_join(full.select("doc_id", "d1", "d2"), classes, ["d1", "d2"], ["doc_id"]).select("doc_id", "rep", "d1", "d2"))
-    slim = full.join(member.filter("doc_id = rep").select("doc_id", "d1", "d2").distinct(), ["doc_id", "d1", "d2"], "left_semi")
+    # Asked of the classes, not of the members that are representatives: for a filter Spark would build Bloom filters in the driver and send them with every task.
+    slim = full.join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
     # Of rows with one doc_id and several texts, each is a representative of its own class.
     reps = slim.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *_COLUMNS, "bands", "d1", "d2").dropDuplicates(["rep", "d1", "d2"])
     keyed = reps.select("rep", F.explode("bands").alias("key"))
