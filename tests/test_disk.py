@@ -9,7 +9,8 @@ import numpy as np
 import pyarrow as pa
 
 from tessella.operators import index as ix
-from tessella.sources.store import read_index, write_index
+from tessella.operators import search as s
+from tessella.sources.store import read_index, update_index, write_index
 
 
 def docs(spark, texts):
@@ -51,6 +52,19 @@ def test_postings_are_not_shuffled_row_by_row(spark, tmp_path):
     assert at_rest < 3.5 * sum(map(len, texts.values()))
 
 
+def test_odd_rows_are_stored(spark, tmp_path):
+    """A null path, a null and an empty text, characters of every width, and places beyond two bytes."""
+    at = str(tmp_path / "i")
+    some = spark.createDataFrame([(None, 1, "no path here"), ("a", 2, None), ("b", 3, ""), ("c", 4, "𝔸𝔹ℂ dé ÉTÉ 𝔸𝔹ℂ"), ("d", 5, "x" * 300 + "y" * 20_000 + "needle")], "path string, mtime long, text string")
+    write_index(some, at, parts=3)
+    full, index = ix.build_index(some), read_index(spark, at)
+    for k in ("trigram_posting", "word_posting", "text"):
+        assert rows(index[k]) == rows(full[k])
+    update_index(spark, at, docs(spark, {"b": "needle again needle"}), spark.createDataFrame([("d",)], "path string"))
+    got = s.term_hits(spark.createDataFrame([("needle",), ("𝔸𝔹ℂ",), ("nothing",)], "term string"), read_index(spark, at))
+    assert rows(got) == [("b", "needle", 2), ("c", "𝔸𝔹ℂ", 2)] or rows(got) == sorted([("b", "needle", 2), ("c", "𝔸𝔹ℂ", 2)], key=str)
+
+
 def test_numbers_in_bytes():
     own = np.array([0, 127, 128, 5, 16_383, 16_384, 2**30, 0])
     data, at = ix.leb(own)
@@ -62,3 +76,22 @@ def test_numbers_in_bytes():
     for part in (blobs, blobs.slice(1, 2)):
         assert ix.unpacked.func(part).to_pylist() == lists[1:3] if len(part) == 2 else lists
     assert ix.unpacked.func(pa.array([], pa.binary())).to_pylist() == []
+
+
+def test_positions_travel_once_for_all_terms(spark, monkeypatch):
+    """However many terms share a trigram, its positions in a file are dealt once; counts of overlapping terms are those of a look at every text, in pieces of any size and also where terms are too many for one task."""
+    texts = some_texts(60, 80) | {"/w/over": "aaaaaaa abab ababab", "/w/zé": "zéé éz"}
+    index = ix.build_index(docs(spark, texts))
+    index["trigram_posting"] = index["trigram_posting"].persist()
+    words = sorted({w[:k] for t in texts.values() for w in t.split() for k in (3, 4, 5) if len(w) >= k})
+    terms = [*words[::3], "aaa", "aaaa", "abab", "zéé", " ab", "none of it", "aaaaaaaaaa"]
+    df = spark.createDataFrame([(t,) for t in terms], "term string")
+    want = sorted([(p, t, n) for t in set(terms) for p, x in texts.items() if (n := sum(x.lower().startswith(t, i) for i in range(len(x))))], key=str)
+    assert rows(s.term_hits(df, index)) == want
+    n, _ = shuffled(spark, lambda: s.term_hits(df, index).write.format("noop").mode("overwrite").save())
+    assert n < len(want)  # before: a row for each term, file and trigram of the term
+    monkeypatch.setattr(s, "_PLACES", 50)
+    assert rows(s.term_hits(df, index)) == want
+    monkeypatch.setattr(s, "BROADCAST_ROWS", 0)
+    assert rows(s.term_hits(df.filter("term in ('aaa', 'abab', 'zéé', 'none of it')"), index)) == [x for x in want if x[1] in ("aaa", "abab", "zéé")]
+    index["trigram_posting"].unpersist()
