@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.window import Window
 
+from tessella.operators.index import leb, unleb
 from tessella.operators.scan import exclude_globs, ignore_file_events, is_indexable, not_ignored
 from tessella.sources.store import update_index
 
@@ -50,11 +52,41 @@ def coalesce_bursts(changes: DataFrame, gap_seconds: int) -> DataFrame:
 BURST = "root string, began timestamp, ended timestamp, n_events long, n_paths long"
 
 
+#: Tasks that share the paths of one root. A stream must keep to it.
+SHARES = 16
+_DEALT = "root string, share int, times binary, paths array<string>, own binary"
+#: So that no time is negative; paths that are held before they go to the state.
+_SHIFT, _HELD = 1 << 61, 50_000
+
+
+def _times(micros: np.ndarray) -> bytes:
+    """Rising times, packed."""
+    return leb(np.diff(micros, prepend=-_SHIFT))[0].tobytes()
+
+
+def _untimes(data: bytes) -> np.ndarray:
+    return np.cumsum(unleb(np.frombuffer(data, np.uint8))[0]) - _SHIFT
+
+
+def _to_shares(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each share of a root gets the times of all its events, a few bytes each, and the paths that are its own."""
+    for df in batches:
+        df = df.assign(at=df["ts"].astype("datetime64[us]").astype("int64"), path=df["path"].fillna("")).sort_values("at")
+        df["share"] = pd.util.hash_array(df["path"].to_numpy(object)) % SHARES
+        out = []
+        for root, rows in df.groupby("root", dropna=False):
+            times, of = _times(rows["at"].to_numpy()), dict(list(rows.groupby("share")))
+            for k in range(SHARES):
+                own = of.get(k, rows[:0])
+                out.append((None if pd.isna(root) else root, k, times, own["path"].tolist(), _times(own["at"].to_numpy())))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _DEALT.split(", ")])
+
+
 class Bursts(StatefulProcessor):
-    """Of one root: its open runs, by slots as long as the gap, and for each path the slots in which it stands.
+    """Of one share of a root: the open runs, as first and last time and number of events, and for each path of the share one time in each run in which it stands.
 
-    Events of one slot are always of one run, so a run is told from the slots alone; its paths are
-    counted one by one from the map when it ends, and are never held together.
+    Every share sees the times of all events of its root, so all have the same runs at the same time, and
+    only paths are counted in shares. Runs grow and join but never part, so a time tells its run for good.
     """
 
     def __init__(self, gap_seconds: int):
@@ -62,54 +94,82 @@ class Bursts(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slots = handle.getMapState("slots", "slot long", "lo long, hi long, n long")
-        self.paths = handle.getMapState("paths", "path string", "slots array<long>")
+        self.runs = handle.getValueState("runs", "lo array<long>, hi array<long>, n array<long>")
+        self.due = handle.getValueState("due", "at long")
+        self.paths = handle.getMapState("paths", "path string", "times array<long>")
+
+    def _joined(self, lo: np.ndarray, hi: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs less than the gap apart are one."""
+        order = np.argsort(lo, kind="stable")
+        lo, hi, n = lo[order], np.maximum.accumulate(hi[order]), n[order]
+        begin = np.flatnonzero(np.append(True, lo[1:] - hi[:-1] >= self.gap)) if len(lo) else np.zeros(0, np.int64)
+        return lo[begin], hi[np.append(begin[1:], len(hi)) - 1] if len(lo) else hi, np.add.reduceat(n, begin) if len(lo) else n
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        late = timerValues.getCurrentWatermarkInMs() * 1000
+        on_time = lambda at: at > late if late > 0 else np.ones(len(at), bool)
+        runs, held = self._held(), {}
         for df in rows:
-            micros = df["ts"].astype("datetime64[us]").astype("int64")
-            for slot, own in micros.groupby(micros // self.gap):
-                lo, hi, n = int(own.min()), int(own.max()), len(own)
-                if self.slots.containsKey((slot,)):
-                    before = self.slots.getValue((slot,))
-                    lo, hi, n = min(lo, before[0]), max(hi, before[1]), n + before[2]
-                self.slots.updateValue((slot,), (lo, hi, n))
-                self.handle.registerTimer((hi + self.gap) // 1000 + 1)
-            for path, own in (micros // self.gap).groupby(df["path"]):
-                held = set(self.paths.getValue((path,))[0]) if self.paths.containsKey((path,)) else set()
-                self.paths.updateValue((path,), (sorted(held | set(own.tolist())),))
+            for times, paths, own in zip(df["times"], df["paths"], df["own"], strict=True):
+                at = _untimes(times)
+                at = at[on_time(at)]
+                runs = self._joined(*(np.concatenate(x) for x in zip(runs, (at, at, np.ones(len(at), np.int64)), strict=True)))
+                at = _untimes(own)
+                good = on_time(at)
+                which = np.searchsorted(runs[0], at[good], "right") - 1
+                for path, run in set(zip(np.asarray(paths, object)[good].tolist(), which.tolist(), strict=True)):
+                    held.setdefault(path, set()).add(int(runs[0][run]))
+            if len(held) > _HELD:
+                self._keep(held, runs[0])
+                held = {}
+        self._keep(held, runs[0])
+        self._put(runs)
         return iter(())
 
+    def _held(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.array(x, np.int64) for x in (self.runs.get() if self.runs.exists() else ((), (), ())))
+
+    def _put(self, runs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """Keeps the runs, and one timer: for the first that may be over."""
+        self.runs.update(tuple(x.tolist() for x in runs))
+        due = int(runs[1].min() + self.gap) // 1000 + 1 if len(runs[1]) else None
+        before = self.due.get()[0] if self.due.exists() else None
+        if before is not None and before != due:
+            self.handle.deleteTimer(before)
+            self.due.clear()
+        if due is not None and before != due:
+            self.handle.registerTimer(due)
+            self.due.update((due,))
+
+    def _keep(self, held: dict[str, set[int]], lo: np.ndarray) -> None:
+        """One time of each run is kept of a path."""
+        for path, times in held.items():
+            before = self.paths.getValue((path,))[0] if self.paths.containsKey((path,)) else []
+            own = {int(np.searchsorted(lo, t, "right")): int(t) for t in (*times, *before)}
+            if sorted(own.values()) != sorted(before):
+                self.paths.updateValue((path,), (sorted(own.values()),))
+
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The runs whose last event lies a gap before the watermark: no later event can go on with them."""
-        over, run = [], []
-        slots = sorted((k[0], *v) for k, v in self.slots.iterator())
-        for slot, following in zip(slots, [*slots[1:], None], strict=True):
-            run.append(slot)
-            if following is not None and following[1] - slot[2] < self.gap:
-                continue
-            if slot[2] + self.gap < timerValues.getCurrentWatermarkInMs() * 1000:
-                over.append(run)
-            run = []
-        if over:
-            counts = self._take({r[0]: k for k, own in enumerate(over) for r in own}, len(over))
-            time = lambda x: pd.Timestamp(x, unit="us")
-            rows = [(key[0], time(own[0][1]), time(own[-1][2] + self.gap), sum(r[3] for r in own), n) for own, n in zip(over, counts, strict=True)]
-            for own in over:
-                for r in own:
-                    self.slots.removeKey((r[0],))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in BURST.split(", ")])
-
-    def _take(self, run_of: dict[int, int], runs: int) -> list[int]:
-        """Takes the slots of the runs that are over out of the paths; how many paths stood in each run."""
-        n, gone, less = [0] * runs, [], []
-        for (path,), (slots,) in self.paths.iterator():
-            own = {run_of[s] for s in slots if s in run_of}
-            if own:
-                rest = [s for s in slots if s not in run_of]
+        lo, hi, n = self._held()
+        over = hi + self.gap < timerValues.getCurrentWatermarkInMs() * 1000
+        self.due.clear()
+        if over.any():
+            counts = self._take(lo, over)
+            time = lambda x: pd.to_datetime(x[over], unit="us")
+            yield pd.DataFrame({"root": [key[0]] * int(over.sum()), "began": time(lo), "ended": time(hi + self.gap), "n_events": n[over], "n_paths": counts[over]})
+        self._put((lo[~over], hi[~over], n[~over]))
+
+    def _take(self, lo: np.ndarray, over: np.ndarray) -> np.ndarray:
+        """Takes the times of the runs that are over out of the paths; how many paths stood in each run."""
+        n, gone, less = np.zeros(len(lo), np.int64), [], []
+        for (path,), (times,) in self.paths.iterator():
+            which = np.searchsorted(lo, np.array(times, np.int64), "right") - 1
+            own = np.unique(which[over[which]])
+            if len(own):
+                n[own] += 1
+                rest = [int(t) for t, k in zip(times, which, strict=True) if not over[k]]
                 (less if rest else gone).append((path, rest))
-                for k in own:
-                    n[k] += 1
             if len(gone) + len(less) >= 10_000:
                 self._drop(gone, less)
                 gone, less = [], []
@@ -126,10 +186,22 @@ class Bursts(StatefulProcessor):
         pass
 
 
+def _summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All shares of a run, which come in one batch, as one."""
+    runs: dict[tuple, int] = {}
+    for df in batches:
+        for *run, n in df.astype({"root": object}).itertuples(index=False):
+            run = tuple(run)
+            runs[run] = runs.get(run, 0) + n
+    if runs:
+        yield pd.DataFrame([(*run, n) for run, n in runs.items()], columns=[c.split()[0] for c in BURST.split(", ")])
+
+
 def stream_bursts(changes: DataFrame, gap_seconds: int, late: str) -> DataFrame:
     """``coalesce_bursts`` on a stream: a run comes out once, when the watermark is a gap behind its last event. Events later than ``late`` are passed over. Keyed state: see ``Bursts``; the session must use the RocksDB state store."""
     on_time = changes.withColumn("root", _root()).select("root", "path", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
-    return on_time.groupBy("root").transformWithStateInPandas(Bursts(gap_seconds), BURST, "Append", "EventTime")
+    shares = on_time.mapInPandas(_to_shares, _DEALT).groupBy("root", "share").transformWithStateInPandas(Bursts(gap_seconds), BURST, "Append", "EventTime")
+    return shares.repartition("root", "began").mapInPandas(_summed, BURST)
 
 
 def follow(changes: DataFrame, batch: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
