@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from tessella.jobs.search import highlights
 from tessella.operators import index as ix
 from tessella.operators import search as s
 from tessella.sources.store import read_index, update_index, write_index
@@ -95,3 +96,19 @@ def test_positions_travel_once_for_all_terms(spark, monkeypatch):
     monkeypatch.setattr(s, "BROADCAST_ROWS", 0)
     assert rows(s.term_hits(df.filter("term in ('aaa', 'abab', 'zéé', 'none of it')"), index)) == [x for x in want if x[1] in ("aaa", "abab", "zéé")]
     index["trigram_posting"].unpersist()
+
+
+def test_highlights_carry_numbers_of_queries(spark, monkeypatch):
+    """For each text the numbers of its queries are kept, not the terms of each of them."""
+    r = random.Random(2)
+    own = sorted({"".join(r.choice("abcdefghijklmnop") for _ in range(12)) for _ in range(40)})
+    texts = {f"/w/p{i}": f"{' '.join(own[:20])}\n{' '.join(own)}\nlz{i}" for i in range(40)}
+    asked = {k: r.sample(own, 10) for k in range(200)}
+    q = spark.createDataFrame([(k, " ".join(x)) for k, x in asked.items()] + [(999, "LZ"), (1000, None), (1001, " ")], "query_id long, query string")
+    index = ix.build_index(docs(spark, texts))
+    want = sorted([(k, p, n + 1, line.index(t), line.index(t) + 12) for k, x in asked.items() for p, text in texts.items() for n, line in enumerate(text.split("\n")) if all(t in line for t in x) for t in x] + [(999, p, 3, 0, 2) for p in texts])
+    assert sorted(map(tuple, highlights(q, index).collect())) == want
+    _, size = shuffled(spark, lambda: highlights(q, index).write.format("noop").mode("overwrite").save())
+    assert size < 600_000
+    monkeypatch.setattr(s, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, highlights(q.filter("query_id > 150"), index).collect())) == [x for x in want if x[0] > 150]
